@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import exact_dedup, packing, toxicity
+from tracemill.llm import exact_dedup, minhash, packing, suffix, toxicity
 from tracemill.llm.common import scratch, table
 from tracemill.llm.vocabulary import path
 
@@ -17,11 +17,25 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, path("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack),
+]
 
 #: Classifier, tokenizer and suffix sort are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
