@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     first = rows.join(F.broadcast(groups.filter(hot)), keys, "left")
     light = first.filter(F.col(size).isNull()).drop(*rest).join(groups.filter(~hot), keys, "left")
     return first.filter(F.col(size).isNotNull()).unionByName(light)
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each by the links."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

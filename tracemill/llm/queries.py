@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, minhash, packing, quality, suffix, toxicity
+from . import bpe, chat, embeddings, exact_dedup, licenses, minhash, packing, quality, suffix, toxicity
 from .common import table
 from .vocabulary import path
 
@@ -27,6 +27,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removals(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -58,7 +66,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(turns.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_bpe, op4_suffix_dedup, op7_minhash, op8_quality, op9_packing, op10_chat)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_exact_dedup, op3_bpe, op4_suffix_dedup, op5_embedding_dedup,
+        op6_licenses, op7_minhash, op8_quality, op9_packing, op10_chat,
+    )
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
