@@ -30,6 +30,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ from .common import scratch, text_of
 from .hashing import mix, prefix, slices
 
 CHUNK = 4
-BATCH = 1 << 20  # bytes of text worked on at once
+BUCKET_ROWS = 400_000  # rows a bucket is made for; one bucket at a time is sorted in memory
+BATCH = 1 << 19  # bytes of text worked on at once
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -107,126 +109,135 @@ def _batches(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         start = stop
 
 
-RUN = "k1 long, k2 long, doc_id long, start int, many int, lead int"
 KEY = ["k1", "k2", "doc_id", "start"]
+RUN = "k1 long, k2 long, doc_id long, start int, many int, lead int"
+#: Columns of packed rows: their bytes follow one another in a blob.
+PACKED = [("k1", "<i8"), ("k2", "<i8"), ("doc_id", "<i8"), ("start", "<i4"), ("many", "<i4"), ("lead", "<i4")]
+ROW_BYTES = 36
+
+
+def pack_rows(rows: dict[str, np.ndarray], bucket: np.ndarray) -> pd.DataFrame:
+    """One blob for each bucket: Spark moves a few blobs where it would move thousands of rows."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    numbers, blobs = [], []
+    for at in np.split(order, cuts) if len(order) else []:
+        numbers.append(int(bucket[at[0]]))
+        blobs.append(b"".join(rows[c][at].astype(t).tobytes() for c, t in PACKED))
+    return pd.DataFrame({"bucket": pd.Series(numbers, dtype="int32"), "rows": pd.Series(blobs, dtype=object)})
+
+
+def unpack_rows(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in PACKED}
+    for blob in blobs:
+        n, at = len(blob) // ROW_BYTES, 0
+        for c, t in PACKED:
+            parts[c].append(np.frombuffer(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {c: np.concatenate(x) for c, x in parts.items()}
 
 
 def _runs(length: int, gram: int, splitters: np.ndarray | None):
+    """The runs of documents: as rows, or packed by bucket when there are splitters."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, texts in _batches(b):
                 r = runs(texts, length, gram)
-                out = pd.DataFrame({
-                    "k1": r["gram"], "k2": r["run"], "doc_id": ids[r["text"]],
-                    "start": r["start"].astype(np.int32), "many": r["many"].astype(np.int32), "lead": r["lead"].astype(np.int32),
-                })
+                out = {"k1": r["gram"], "k2": r["run"], "doc_id": ids[r["text"]], "start": r["start"], "many": r["many"], "lead": r["lead"]}
                 if splitters is not None:
-                    out["bucket"] = bucket_of(out, splitters)
-                yield out
+                    yield pack_rows(out, bucket_of(out, splitters))
+                else:
+                    yield pd.DataFrame(out).astype({c: np.int32 for c in ("start", "many", "lead")})
 
     return run
 
 
-def bucket_of(rows: pd.DataFrame, splitters: np.ndarray) -> np.ndarray:
+def bucket_of(rows: dict[str, np.ndarray], splitters: np.ndarray) -> np.ndarray:
     """How many splitters are at or below the row's key (k1, k2, doc_id, start)."""
-    k1 = rows["k1"].to_numpy()
+    k1 = rows["k1"]
     lo = np.searchsorted(splitters[:, 0], k1, side="left")
     hi = np.searchsorted(splitters[:, 0], k1, side="right")
     tied = np.flatnonzero(lo < hi)
     if len(tied):
-        key = rows[KEY].to_numpy()[tied]
         cut = [tuple(s) for s in splitters.tolist()]
-        from bisect import bisect_right
-
-        lo[tied] = [bisect_right(cut, tuple(k)) for k in key.tolist()]
+        keys = zip(*(rows[c][tied].tolist() for c in KEY), strict=True)
+        lo[tied] = [bisect_right(cut, k) for k in keys]
     return lo.astype(np.int32)
 
 
-def _splitters(rows: DataFrame, buckets: int, per_bucket: int = 60) -> np.ndarray:
-    """Quantiles of a bounded sample of keys (``per_bucket`` for each bucket)."""
+def _splitters(rows: DataFrame, share: int, least_buckets: int, per_bucket: int = 60) -> tuple[np.ndarray, int]:
+    """Splitters and the number of buckets, for keys of which ``rows`` hold one in ``share``.
+
+    Buckets are made for BUCKET_ROWS keys each; the splitters are quantiles of a bounded sample."""
+    buckets = max(least_buckets, rows.count() * share // BUCKET_ROWS)
     got = rows.select(*KEY).orderBy(F.xxhash64(*KEY)).limit(buckets * per_bucket).toPandas()
     keys = sorted(map(tuple, got.to_numpy(np.int64).tolist()))
     step = max(1, len(keys) // buckets)
-    return np.array(keys[step::step][: buckets - 1], np.int64).reshape(-1, 4)
+    return np.array(keys[step::step][: buckets - 1], np.int64).reshape(-1, 4), buckets
 
 
 FLAGGED = RUN + ", repeat boolean, shared boolean, border boolean, edge int, bucket int"
 
 
+def flag_bucket(rows: dict[str, np.ndarray], bucket: int) -> pd.DataFrame:
+    """Sorts a bucket by key and gives the rows that repeat an earlier place of their run, are first
+    runs sharing their gram, or belong to the first or last gram (``border``), which may go on in
+    the next bucket. ``edge`` 1 marks the bucket's first row and 2 its last."""
+    order = np.lexsort([rows[c] for c in reversed(KEY)])
+    rows = {c: v[order] for c, v in rows.items()}
+    k1, k2, doc, start = (rows[c] for c in KEY)
+    n = len(k1)
+    new_gram, new_run, new_place = np.ones(n, bool), np.ones(n, bool), np.ones(n, bool)
+    new_gram[1:] = k1[1:] != k1[:-1]
+    new_run[1:] = new_gram[1:] | (k2[1:] != k2[:-1])
+    new_place[1:] = new_run[1:] | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    group, run_no, place = np.cumsum(new_gram) - 1, np.cumsum(new_run) - 1, np.cumsum(new_place)
+    repeat = place != place[np.flatnonzero(new_run)][run_no]
+    shared = (np.bincount(group, new_run) > 1)[group]
+    border = (group == 0) | (group == group[-1])
+    edge = np.zeros(n, np.int32)
+    edge[0] |= 1
+    edge[-1] |= 2
+    keep = repeat | shared | border
+    out = pd.DataFrame({c: v[keep] for c, v in rows.items()})
+    return out.assign(repeat=repeat[keep], shared=shared[keep], border=border[keep], edge=edge[keep], bucket=np.int32(bucket))
+
+
 def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over buckets sorted by key: repeat (the same run stands earlier) or a first run that shares
-    its gram. Runs alone with their gram are left out unless a border touches it.
-
-    ``edge`` 1 marks the row that opens a bucket and 2 the one that closes it; ``border`` is set
-    for first runs whose gram may go on beyond the bucket."""
-
-    def done(rows: pd.DataFrame, opens: bool, closes: bool) -> pd.DataFrame:
-        # Whole groups of one gram, in order.
-        k1, k2 = rows["k1"].to_numpy(), rows["k2"].to_numpy()
-        doc, start = rows["doc_id"].to_numpy(), rows["start"].to_numpy()
-        n = len(rows)
-        new_gram, new_run, new_place = np.ones(n, bool), np.ones(n, bool), np.ones(n, bool)
-        new_gram[1:] = k1[1:] != k1[:-1]
-        new_run[1:] = new_gram[1:] | (k2[1:] != k2[:-1])
-        new_place[1:] = new_run[1:] | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
-        group, run_no = np.cumsum(new_gram) - 1, np.cumsum(new_run) - 1
-        place = np.cumsum(new_place)
-        rows["repeat"] = place != place[np.flatnonzero(new_run)][run_no]
-        rows["shared"] = (np.bincount(group, new_run) > 1)[group]
-        border = np.zeros(n, bool)
-        edge = np.zeros(n, np.int32)
-        if opens:
-            border |= group == 0
-            edge[0] |= 1
-        if closes:
-            border |= group == group[-1]
-            edge[-1] |= 2
-        rows["border"], rows["edge"] = border, edge
-        return rows[rows["repeat"] | rows["shared"] | border]
-
-    held, opened, bucket = None, False, None
+    held: dict[int, list[bytes]] = {}
     for b in batches:
-        for number, part in b.groupby("bucket", sort=False):
-            if bucket is not None and number != bucket and held is not None:
-                yield done(held, not opened, True)
-                held, opened = None, False
-            bucket = number
-            held = part.copy() if held is None else pd.concat([held, part], ignore_index=True)
-            cut = int(np.searchsorted(held["k1"].to_numpy(), held["k1"].iloc[-1], side="left"))
-            if cut:
-                yield done(held.iloc[:cut].copy(), not opened, False)
-                held, opened = held.iloc[cut:].copy(), True
-    if held is not None:
-        yield done(held, not opened, True)
-
-
-def first_runs(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows (with ``bucket``) that repeat an earlier run, or are first but share their gram
+        for number, blob in zip(b["bucket"], b["rows"], strict=True):
+            held.setdefault(int(number), []).append(blob)
+    for number in sorted(held):
+        flagged = flag_bucket(unpack_rows(held.pop(number)), number)
+        for at in range(0, len(flagged), 100_000):
+            yield flagged.iloc[at : at + 100_000]
+
+
+def first_runs(packed: DataFrame, buckets: int) -> DataFrame:
+    """Runs (packed by bucket) that repeat an earlier one, or are first but share their gram
     (repeat false); resolved across the borders of buckets."""
-    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", *KEY)
-    flagged = scratch(dealt.mapInPandas(_flag, FLAGGED), "flagged")
+    flagged = scratch(packed.repartition(buckets, "bucket").mapInPandas(_flag, FLAGGED), "flagged")
     # Two rows a bucket: the runs that open and close it.
-    edges = flagged.filter("edge > 0").select("bucket", "edge", *KEY, "shared", "repeat").toPandas()
-    edges = edges.sort_values(["bucket", *KEY])
-    seen: dict[int, tuple] = {}
-    again, more = [], []
-    runs_of: dict[int, set] = {}
-    for e in edges.itertuples(index=False):
-        runs_of.setdefault(e.k1, set()).add(e.k2)
-        if e.shared:
-            more.append(e.k1)
+    edges = flagged.filter("edge > 0").select("bucket", "edge", *KEY, "shared").toPandas().sort_values(["bucket", *KEY])
+    first: dict[tuple, tuple] = {}
+    again, more, runs_of = [], set(), {}
     before = None
     for e in edges.itertuples(index=False):
-        if e.edge & 1 and before is not None and (before.k1, before.k2) == (e.k1, e.k2):
-            # The run goes on: its place in this bucket repeats the one before, unless it is
-            # the very place (a repeated row).
-            first = seen.get((e.k1, e.k2), (before.doc_id, before.start))
-            seen[(e.k1, e.k2)] = first
-            if (e.doc_id, e.start) != first:
-                again.append((int(e.bucket), int(e.k1), int(e.k2)))
-        before = e
-    more = {int(k) for k in more} | {int(k) for k, v in runs_of.items() if len(v) > 1}
-    spark = rows.sparkSession
+        key, place = (int(e.k1), int(e.k2)), (int(e.doc_id), int(e.start))
+        runs_of.setdefault(key[0], set()).add(key[1])
+        if e.shared:
+            more.add(key[0])
+        if e.edge & 1 and before is not None and before[0] == key:
+            # The run goes on in this bucket: what stands here repeats its first place, unless it is that
+            # very place (a repeated row).
+            first.setdefault(key, before[1])
+            if place != first[key]:
+                again.append((int(e.bucket), *key))
+        before = key, place
+    more |= {k for k, v in runs_of.items() if len(v) > 1}
+    spark = packed.sparkSession
     again_df = F.broadcast(spark.createDataFrame(again, "bucket int, k1 long, k2 long").withColumn("again", F.lit(True)))
     more_df = F.broadcast(spark.createDataFrame([(k,) for k in more], "k1 long").withColumn("more", F.lit(True)))
     out = flagged.join(again_df, ["bucket", "k1", "k2"], "left").join(more_df, ["k1"], "left")
@@ -249,8 +260,9 @@ def _bytes_of(length: int):
     return run
 
 
-def _chunks(length: int, gram: int):
-    """Chunks of the runs: strings whose distance to the anchor has the same quotient by CHUNK."""
+def _chunks(length: int, splitters: np.ndarray | None):
+    """Chunks of the runs: strings whose distance to the anchor has the same quotient by CHUNK.
+    ``lead`` is the start of the run they are from."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -267,13 +279,18 @@ def _chunks(length: int, gram: int):
             anchor = base[row] + lead[row]
             core = slices(run_, anchor - c * CHUNK, anchor - (c * CHUNK + CHUNK - 1) + length)
             whole = slices(run_, anchor - far, anchor - near + length) + far.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + near.astype(np.uint64)
-            yield pd.DataFrame({
-                "k1": mix(core + c.astype(np.uint64)).view(np.int64), "k2": (mix(whole) & LOW48).view(np.int64),
+            out = {
+                "k1": mix(core + c.astype(np.uint64)).view(np.int64),
+                "k2": (mix(whole) & LOW48).view(np.int64),
                 "doc_id": b["doc_id"].to_numpy(np.int64)[row],
-                "start": (b["start"].to_numpy(np.int64)[row] + lead[row] - far).astype(np.int32),
-                "many": (far - near + 1).astype(np.int32),
-                "lead": b["start"].to_numpy(np.int32)[row],
-            })
+                "start": b["start"].to_numpy(np.int64)[row] + lead[row] - far,
+                "many": far - near + 1,
+                "lead": b["start"].to_numpy(np.int64)[row],
+            }
+            if splitters is not None:
+                yield pack_rows(out, bucket_of(out, splitters))
+            else:
+                yield pd.DataFrame(out).astype({c: np.int32 for c in ("start", "many", "lead")})
 
     return run
 
@@ -353,22 +370,17 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     # A sample of documents, a bounded number for each bucket, places the splitters.
     share = max(1, rows // (20 * buckets))
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    splitters = _splitters(some.mapInPandas(_runs(length, gram, None), RUN), buckets)
-    anchors = first_runs(docs.mapInPandas(_runs(length, gram, splitters), RUN + ", bucket int"), buckets)
+    splitters, n = _splitters(some.mapInPandas(_runs(length, gram, None), RUN), share, buckets)
+    anchors = first_runs(docs.mapInPandas(_runs(length, gram, splitters), "bucket int, rows binary"), n)
 
     place = F.struct("start", "many", "lead")
     wanted = anchors.filter("not repeat").groupBy("doc_id").agg(F.collect_list(place).alias("runs"))
     data = scratch(docs.join(wanted, "doc_id").mapInPandas(_bytes_of(length), "doc_id long, start int, many int, lead int, bytes binary"), "runs")
 
-    cut = data.mapInPandas(_chunks(length, gram), RUN)
-    splitters = _splitters(cut.sample(min(1.0, buckets * 400 / max(1, data.count())), seed=3), buckets)
-
-    def place_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["bucket"] = bucket_of(b, splitters)
-            yield b
-
-    chunks = first_runs(cut.mapInPandas(place_in, RUN + ", bucket int"), buckets)
+    share = max(1, data.count() // (20 * buckets))
+    some = data.filter(F.pmod(F.xxhash64("doc_id", "start"), F.lit(share)) == 0)
+    splitters, n = _splitters(some.mapInPandas(_chunks(length, None), RUN), share, buckets)
+    chunks = first_runs(data.mapInPandas(_chunks(length, splitters), "bucket int, rows binary"), n)
     open_ = chunks.filter("not repeat").select("doc_id", F.col("lead").alias("run"), "start", "many")
     strings = open_.join(data.select("doc_id", F.col("start").alias("run"), "bytes").distinct(), ["doc_id", "run"])
     strings = strings.select("doc_id", "run", F.explode(F.expr("sequence(start, start + many - 1)")).alias("start"), "bytes")
