@@ -6,11 +6,13 @@ everything to bin i, so every coordinate is filled. Two sketches agree in a coor
 probability equal to the Jaccard similarity, and the mean over coordinates concentrates.
 ``bands`` x ``rows`` coordinates are hashed into band keys; documents that share one are candidates.
 
-Documents with equal shingle sets are one class, stood for by its smallest id. In each bucket
-a hub is compared with the others that are not known to be connected to it (``hubs`` rounds with
-other hubs, components being merged in between), then what is still apart in a bucket is
-compared in full. Every candidate pair is so either verified on the full sets or already
-connected; groups of thousands of copies take a number of comparisons in line with their size.
+Documents with equal shingle sets are one class, stood for by its smallest id. The smallest id of a
+bucket is its hub, and all members of the hub's buckets are its members. Members are first
+verified against their hub, on the full sets. Those not connected to it by then are verified
+against all other members of the hub, in pairs of blocks of ``block`` documents: a task counts the
+common shingles of its two blocks by one matrix product and gives only a spanning forest of
+the links found, so neither pairs nor links are ever listed. Every pair of documents that
+share a band key is so verified, or connected through others.
 
 Edge cases: null text is empty; documents without words link with nothing; with fewer words
 than a shingle the whole sequence is one. Rows repeated with one id are one document when
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, text_of
-from .graph import components, join_groups
+from .graph import components, join_groups, local_roots
 from .hashing import mix, salt, shingles
 
 CHUNK = 1 << 20  # bytes of text worked on at once
@@ -125,8 +127,58 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").filter(both * 100 >= union * percent).select("a", "b")
 
 
+def _compare(percent: int):
+    """Links between the two sides of a block, as (node, smallest node reached within the block)."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        left, right = g[g["side"] == 0], g[g["side"] == 1]
+        none = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        if left.empty or right.empty:
+            return none
+        sides = []
+        for part in (left, right):
+            size = part["shingles"].map(len).to_numpy()
+            sides.append((np.concatenate(part["shingles"].to_numpy()).astype(np.int64), np.repeat(np.arange(len(part)), size), size))
+        (lh, lo, ln), (rh, ro, rn) = sides
+        words = np.intersect1d(lh, rh)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ones = []
+            for h, o, n in ((lh, lo, len(left)), (rh, ro, len(right))):
+                pos = np.minimum(np.searchsorted(some, h), len(some) - 1)
+                hit = some[pos] == h
+                m = np.zeros((n, len(some)), np.float32)
+                m[o[hit], pos[hit]] = 1
+                ones.append(m)
+            both += ones[0] @ ones[1].T
+        linked = both * 100 >= (ln[:, None] + rn[None, :] - both) * percent
+        i, j = np.nonzero(linked)
+        a, b = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
+        nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        if not len(nodes):
+            return none
+        root = nodes[local_roots(len(nodes), index[: len(a)], index[len(a) :])]
+        return pd.DataFrame({"a": nodes, "b": root})[nodes != root]
+
+    return run
+
+
+def _blocks(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The members (hub, rep, apart) of each hub as pairs of blocks: those apart against all."""
+    sized = members.groupBy("hub").agg(
+        F.ceil(F.count(F.when(F.col("apart"), 1)) / block).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cols")
+    )
+    dealt = members.join(sized, "hub").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    number = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.filter("apart").select("hub", number("rows").alias("i"), every("cols").alias("j"), F.lit(0).alias("side"), "rep", "shingles")
+    right = dealt.select("hub", every("rows").alias("i"), number("cols").alias("j"), F.lit(1).alias("side"), "rep", "shingles")
+    return left.unionByName(right)
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, hubs: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, block: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -137,40 +189,28 @@ def near_duplicates(
         "classes",
     )
     entry = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    # A set equal to no other by any band is done; the buckets left are few.
-    entries = scratch(entry.join(shared, "key"), "buckets")
-    involved = entries.select(F.col("rep").alias("doc_id")).distinct()
+    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("h")).filter("m > 1")
+    shared = shared.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
+    # Each bucket is known by its hub from here on: the pairs of a bucket are pairs of its hub's members.
+    members = scratch(entry.join(shared, "key").select("hub", "hub_n", "rep", "n").distinct(), "members")
+    involved = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch(shingle_sets(source.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
 
+    # Every member against its hub.
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    links, label = None, None
-    for turn in range(hubs + 1):
-        now = entries
-        if label is not None:
-            now = now.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            now = now.withColumn("component", F.coalesce("component", "rep"))
-        else:
-            now = now.withColumn("component", F.col("rep"))
-        # Buckets in which more than one component is left.
-        open_ = now.groupBy("key").agg(
-            F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m_"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("o") if turn else F.lit(0).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"))).alias("h"),
-        ).filter("c0 < c1")
-        now = now.join(open_.select("key", "h.hub", "h.hub_n", "h.hub_c"), "key")
-        if turn < hubs:
-            pairs = now.filter((F.col("component") != F.col("hub_c")) & fits)
-            pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        else:
-            apart = scratch(now.select("key", "rep", "n", "component", "hub_c"), "apart")
-            outside = apart.filter("component != hub_c").select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("other"))
-            cross = apart.join(outside, "key").filter((F.col("component") != F.col("other")) & fits)
-            pairs = cross.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        new = scratch(verified(pairs.distinct(), sets, percent), "links")
-        if links is not None and not new.take(1):
-            continue
-        links = new if links is None else links.unionByName(new)
-        label = scratch(components(links), "components")
+    to_hub = members.filter(fits & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    links = scratch(verified(to_hub, sets, percent), "links")
+    label = scratch(components(links), "components")
+
+    # Members still apart from their hub against all its members.
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    now = members.join(of("rep"), "rep", "left").join(of("hub"), "hub", "left")
+    apart = F.coalesce("rep_c", "rep") != F.coalesce("hub_c", "hub")
+    now = scratch(now.select("hub", "rep", apart.alias("apart")), "apart")
+    open_ = now.filter("apart").select("hub").distinct()
+    blocks = _blocks(now.join(open_, "hub", "left_semi"), sets, block)
+    more = scratch(blocks.groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long"), "links")
+    label = scratch(components(links.unionByName(more)), "components")
     found = classes.select("k1", "k2", "n_shingles", "rep", "members").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = scratch(found.select("k1", "k2", "n_shingles", "members", F.coalesce("component", "rep").alias("component_id")), "found")
     out = join_groups(rows_.select("doc_id", "n_shingles", "k1", "k2"), found, ["k1", "k2", "n_shingles"], "members", rows_.count())
