@@ -18,49 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .common import scratch, text_of
 
-BLOCK_BITS = 32_768  # cells of one bitmap of bitmap_construct_agg: 4 KB
-BROADCAST_BYTES = 64 << 20
-
-
 def digest(text: Column) -> Column:
     return F.sha2(text_of(text).cast("binary"), 256)
 
 
-def _cells(sha: Column, blocks: int) -> tuple[Column, Column, Column]:
-    """Block number and the two cells within the block."""
-    a, b = F.xxhash64(sha), F.xxhash64(sha, F.lit(1))
-    return F.pmod(a, F.lit(blocks)), F.pmod(b, F.lit(BLOCK_BITS)), F.pmod(F.shiftright(b, 24), F.lit(BLOCK_BITS))
-
-
-def _bit(bitmap: Column, cell: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(cell / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(cell, F.lit(8)))), F.lit(2)) == 1
-
-
 class PossibleRepeats:
-    """The Bloom filter over a table of digests: ``probe`` tells unique rows from possible repeats."""
+    """The filter of cells that digests hit at least twice; a digest with a cell hit once is unique."""
 
-    def __init__(self, digests: DataFrame, bits_per_row: int = 16):
+    def __init__(self, digests: DataFrame):
         self.rows = digests.count()
-        need = max(1, self.rows * bits_per_row // BLOCK_BITS)
-        self.blocks = 1 << (need - 1).bit_length()
-        block, one, two = _cells(F.col("text_sha256"), self.blocks)
-        hits = digests.select(block.alias("block"), F.explode(F.array_distinct(F.array(one, two))).alias("cell"))
-        repeated = hits.groupBy("block", "cell").count().filter("count > 1")
-        self.filter = scratch(
-            repeated.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bitmap")), "bloom"
-        ).withColumnsRenamed({"block": "_block", "bitmap": "_bitmap"})
-        # blocks * 4 KB bounds the filter whatever the data; beyond it the join is by block.
-        if self.blocks * (BLOCK_BITS // 8) <= BROADCAST_BYTES:
-            self.filter = F.broadcast(self.filter)
+        self.filter = Bloom(digests.select(F.col("text_sha256").alias("key")), self.rows, least_hits=2)
 
     def probe(self, df: DataFrame) -> DataFrame:
-        """``df`` (with text_sha256) and ``_maybe``: whether the text may occur more than once."""
-        block, one, two = _cells(F.col("text_sha256"), self.blocks)
-        maybe = F.coalesce(_bit(F.col("_bitmap"), one) & _bit(F.col("_bitmap"), two), F.lit(False))
-        return df.join(self.filter, block == F.col("_block"), "left").withColumn("_maybe", maybe).drop("_block", "_bitmap")
+        return self.filter.probe(df, F.col("text_sha256"))
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

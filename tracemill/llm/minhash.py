@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .common import scratch, text_of
 from .graph import components, join_groups, local_roots
 from .hashing import mix, salt, shingles
@@ -193,8 +194,11 @@ def near_duplicates(
     shared = shared.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
     # Each bucket is known by its hub from here on: the pairs of a bucket are pairs of its hub's members.
     members = scratch(entry.join(shared, "key").select("hub", "hub_n", "rep", "n").distinct(), "members")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch(shingle_sets(source.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
+    # Texts of the few documents with candidates; the others are told by the filter and not moved.
+    involved = scratch(members.select(F.col("rep").alias("doc_id")).distinct(), "involved")
+    known_ids = Bloom(involved.select(F.col("doc_id").alias("key")), involved.count())
+    some = known_ids.matches(source, F.col("doc_id")).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = scratch(shingle_sets(some, width), "sets")
 
     # Every member against its hub.
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
@@ -221,5 +225,9 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicates, all columns."""
-    lost = near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    lost = scratch(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    gone = Bloom(lost.select(F.col("_lost").alias("key")), lost.count())
+    # Packed, so columns of any name are safe.
+    packed, key = docs.select(F.struct("*").alias("_row")), F.col("_row.doc_id").cast("long")
+    stays = gone.matches(packed, key).join(lost, key == F.col("_lost"), "left_anti")
+    return gone.others(packed, key).unionByName(stays).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
