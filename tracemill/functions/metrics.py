@@ -276,3 +276,48 @@ def metric_by_name(dataset: Column | str, text: Column | str, gold: Column | str
         names = [n for n, r in metrics.items() if r is rule]
         out = F.when(col(dataset).isin(names), rule(text, gold)).otherwise(out)
     return out
+
+
+# Whole benchmark rules -----------------------------------------------------------------------
+
+
+def math_correct(text: Column | str, target: Column | str) -> Column:
+    """The boxed target in the answer sentence, both in one LaTeX spelling. Coordinates told without
+    brackets get them; times of day end with a period."""
+    goal = T.latex(T.drop_units(target))
+    said = T.extract_sentence(T.drop_units(text))
+    bare = said.contains(",") & goal.contains("(") & goal.contains(")") & ~said.contains("(") & ~said.contains(")")
+    pairs = F.concat(F.lit("("), F.array_join(F.transform(F.split(said, ",", -1), T.latex), ","), F.lit(")"))
+    answer = F.when(bare, pairs).otherwise(T.latex(said))
+    answer = F.when((answer.contains("p.m") | answer.contains("a.m")) & ~answer.endswith("."), F.concat(answer, F.lit("."))).otherwise(answer)
+    return flag(F.coalesce(answer.contains(goal), F.lit(False)))
+
+
+def calculation(text: Column | str, gold: Column | str, calculator: Column | str, low: Column | str, high: Column | str) -> Column:
+    """A medical calculator's answer checked by its kind; null for unknown calculators."""
+    from . import python_functions as P
+
+    said = P.calculator_answer_udf(T.cut_calculation(diagnosis(text)), col(calculator))
+    return P.calculator_correct_udf(said, col(gold), col(calculator), col(low), col(high))
+
+
+def last_candidate(acc: Column, candidates: Column) -> Column:
+    """The headline metric of a row with candidates is that of its last one."""
+    return F.coalesce(F.try_element_at(candidates, F.lit(-1)), acc)
+
+
+def rouge(text: Column | str, gold: Column | str) -> Column:
+    """(rouge_1, rouge_2, rouge_l): recalls of words, pairs of words and the longest common subsequence."""
+    from . import python_functions as P
+
+    return F.struct(
+        ngram_recall(text, gold, 1).alias("rouge_1"), ngram_recall(text, gold, 2).alias("rouge_2"), P.lcs_recall_udf(col(text), col(gold)).alias("rouge_l")
+    )
+
+
+#: The letters a data set's answers may have.
+CHOICE_LETTERS = {"pubmedqa": "ABC", "bioasq": "AB", "pubhealth": "ABCD", "MedMCQA": "ABCD", "MedQA": "ABCDE", "biomrc": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def choice_letters(dataset: Column | str, default: str = "ABCDE") -> Column:
+    return T.by_name(dataset, CHOICE_LETTERS, default)

@@ -188,3 +188,16 @@ def from_chains(records_: DataFrame) -> DataFrame:
     parent = F.when(F.col("depth") > 0, F.to_json(F.slice("steps", F.lit(1), F.col("depth"))))
     rows = terms.select("tree_id", key.alias("key"), parent.alias("parent_key"), "depth", "x.step", F.col("x.value").alias("v"), "x.sim")
     return rows.dropDuplicates(["tree_id", "key"])
+
+
+def nested(rows: list[dict]) -> dict:
+    """One tree's node rows (a budget bounds their number) as a nested document: step, value, parent text, type, children."""
+    made = {r["nid"]: {"step": r["step"], "value": r["v"], "parent": None, "type": r["type"], "children": []} for r in rows}
+    root: dict = {}
+    for r in sorted(rows, key=lambda r: r["nid"]):
+        if r["pid"] is None:
+            root = made[r["nid"]]
+        else:
+            made[r["nid"]]["parent"] = made[r["pid"]]["step"]
+            made[r["pid"]]["children"].append(made[r["nid"]])
+    return root

@@ -14,6 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
 from ..functions import text as T
 
 OPS = ("mean", "prod", "gmean", "min", "sum", "last", "max")
@@ -197,3 +198,23 @@ def score_summary(scored_rows: DataFrame, by: list[str]) -> DataFrame:
 
 def wrong_rows(scored_rows: DataFrame) -> DataFrame:
     return scored_rows.filter("acc = 0")
+
+
+def score_cache(rows: DataFrame, metric: Column, prediction: Column, gold: Column, candidates: Column | None = None) -> DataFrame:
+    """``id, acc, pred, ground_truth, text_answer, pass_at_k, all_acc`` of rows (id, text): a metric, what
+    it judged, and pass@1 and pass@2 over candidate outputs (an array column) where there are any."""
+    hits = F.array().cast("array<int>") if candidates is None else M.candidate_correct(candidates, gold)
+    passes = F.array().cast("array<double>") if candidates is None else M.pass_at(candidates, gold)
+    return rows.select(
+        "id", metric.cast("double").alias("acc"), prediction.alias("pred"), gold.alias("ground_truth"),
+        F.col("text").alias("text_answer"), passes.alias("pass_at_k"), hits.alias("all_acc"),
+    )
+
+
+def result_row(cache: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean acc and mean pass@k, position by position, of a score cache; a row without candidates
+    empties pass_at_k, as positions are zipped to the shortest."""
+    shortest = F.min(F.size("pass_at_k")).alias("_n")
+    means = [F.avg(F.get("pass_at_k", F.lit(i))).alias(f"_p{i}") for i in range(2)]
+    out = cache.groupBy(*(by or [])).agg(F.avg("acc").alias("acc"), shortest, *means)
+    return out.select(*(by or []), "acc", F.slice(F.array("_p0", "_p1"), F.lit(1), F.greatest("_n", F.lit(0))).alias("pass_at_k"))

@@ -1012,3 +1012,98 @@ def text_lines(spark, d):
     rows = V.table(spark, d, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
     files.write_any(rows, path)
     return files.read_any(spark, path)
+
+
+@query("convert_jsonl", "SELECT n_nationkey, n_name FROM nation")
+def convert_jsonl(spark, d):
+    folder, nation = _folder(spark), V.table(spark, d, "nation").select("n_nationkey", "n_name")
+    files.write_jsonl(nation, f"{folder}/a.jsonl")
+    files.convert_jsonl(spark, f"{folder}/a.jsonl", f"{folder}/a.json")
+    assert files.list_names(spark, folder) == ["a.json"]
+    return files.read_any(spark, f"{folder}/a.json", f"n_nationkey {nation.schema['n_nationkey'].dataType.simpleString()}, n_name string")
+
+
+@query("combine_folders", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
+def combine_folders(spark, d):
+    folder, nation = _folder(spark), V.table(spark, d, "nation").select("n_nationkey", "n_name")
+    for sub in ("a", "b"):
+        files.write_json(nation, f"{folder}/{sub}/both.json")
+    files.write_json(nation, f"{folder}/a/one.json")
+    common = files.combine_folders(spark, [f"{folder}/a", f"{folder}/b"])
+    assert list(common) == ["both.json"]
+    kind = nation.schema["n_nationkey"].dataType.simpleString()
+    return common["both.json"].select(F.col("n_nationkey").cast(kind).alias("n_nationkey"), "n_name")
+
+
+@query("csv_records", "SELECT n_nationkey, n_name FROM nation")
+def csv_records(spark, d):
+    path, nation = _folder(spark) + "/q.csv", V.table(spark, d, "nation").select("n_nationkey", "n_name")
+    nation.write.option("header", True).csv(path)
+    return files.read_table(spark, path, f"n_nationkey {nation.schema['n_nationkey'].dataType.simpleString()}, n_name string")
+
+
+@query("whole_text", "SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS value FROM nation")
+def whole_text(spark, d):
+    path = _folder(spark) + "/names.txt"
+    files.write_any(V.table(spark, d, "nation").orderBy("n_nationkey").select(F.col("n_name").alias("value")).coalesce(1), path)
+    return files.read_any(spark, path)
+
+
+@query("question_tags", "SELECT doc_id, source || ' Let''s write a program.' AS tagged, source AS bare FROM documents")
+def question_tags(spark, d):
+    tagged = T.add_tag("source", "pot_prompt")
+    return V.table(spark, d, "documents").select("doc_id", tagged.alias("tagged"), T.remove_tag(tagged, "pot_prompt").alias("bare"))
+
+
+@query("choice_letters", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ABC' ELSE 'ABCDE' END AS letters FROM documents")
+def choice_letters(spark, d):
+    name = F.when(F.col("doc_id") % 2 == 0, "pubmedqa").otherwise("other")
+    return V.table(spark, d, "documents").select("doc_id", M.choice_letters(name).alias("letters"))
+
+
+@query("math_correct", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS acc FROM part")
+def math_correct(spark, d):
+    s = F.col("p_size").cast("string")
+    said = F.concat(F.lit("So. The answer is \\dfrac{1}{"), s, F.when(F.col("p_size") % 3 == 0, "").otherwise("9"), F.lit("}."))
+    target = P.boxed_all_udf(F.concat(F.lit("it is \\boxed{\\frac{1}{"), s, F.lit("}}")))
+    return V.table(spark, d, "part").select("p_partkey", M.math_correct(said, F.get(target, F.lit(0))).alias("acc"))
+
+
+@query("calculation", "SELECT p_partkey, CASE WHEN p_size % 10 >= 3 AND p_size % 10 <= 6 THEN 1 ELSE 0 END AS acc FROM part")
+def calculation(spark, d):
+    said = F.concat(F.lit("Sum up.\nThe answer is "), (F.col("p_size") % 10).cast("string"), F.lit(" mg (dose)."))
+    return V.table(spark, d, "part").select("p_partkey", M.calculation(said, F.lit("5"), F.lit(2), F.lit("3"), F.lit("6.5")).alias("acc"))
+
+
+@query("rouge", "SELECT p_partkey, 0.75::DOUBLE AS r1, round(1 / 3.0::DOUBLE, 6) AS r2, 0.75::DOUBLE AS rl FROM part")
+def rouge(spark, d):
+    s = F.col("p_size").cast("string")
+    r = M.rouge(F.concat(F.lit("a b x "), s), F.concat(F.lit("a b c "), s))
+    return V.table(spark, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", rounded_field("rouge_1", "r1"), rounded_field("rouge_2", "r2"), rounded_field("rouge_l", "rl"))
+
+
+def rounded_field(field: str, name: str):
+    return F.round(F.col(f"r.{field}"), 6).alias(name)
+
+
+@query(
+    "score_cache",
+    f"""WITH c AS (SELECT doc_id, source, chr(CAST(65 + doc_id % 5 AS INTEGER)) AS pred, gold, CAST({_ACC} AS DOUBLE) AS acc FROM qa),
+        s AS (SELECT source, avg(acc) AS acc, avg((acc + CASE WHEN gold = 'A' THEN 1 ELSE 0 END) / 2) AS p1, avg(CASE WHEN acc + CASE WHEN gold = 'A' THEN 1 ELSE 0 END >= 1 THEN 1.0::DOUBLE ELSE 0 END) AS p2 FROM c GROUP BY source)
+        SELECT source, round(acc, 6) AS acc, round(p1, 6) AS pass1, round(p2, 6) AS pass2 FROM s""",
+    "qa",
+)
+def score_cache(spark, d):
+    rows = V.qa(spark, d).withColumnRenamed("doc_id", "id")
+    both = F.array("text", F.lit("The answer is A."))
+    cache = voting.score_cache(rows, M.multiple_choice("text", "gold"), T.extract_answer("text"), F.col("gold"), both)
+    result = voting.result_row(cache.join(rows.select("id", "source"), "id"), ["source"])
+    return result.select("source", rounded("acc"), F.round(F.get("pass_at_k", F.lit(0)), 6).alias("pass1"), F.round(F.get("pass_at_k", F.lit(1)), 6).alias("pass2"))
+
+
+@query("sample_outputs", "SELECT CAST(n_nationkey AS VARCHAR) AS id, k AS cand_idx, n_name || ' ' || k AS text FROM nation, (SELECT CAST(range AS INTEGER) AS k FROM range(4))")
+def sample_outputs(spark, d):
+    from ..operators.generate import sample_outputs as sample
+
+    prompts = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("prompt"))
+    return sample(prompts, lambda texts, n: [[f"{t} {k}" for k in range(n)] for t in texts], n=4, threads=2).select("id", "cand_idx", "text")
