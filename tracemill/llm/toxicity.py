@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import scratch, text_of
 from .sampling import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -64,24 +64,27 @@ class Grader:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - strength[:, None], -50, 50)))
 
 
-def choose_features(docs: list[tuple[Counter, int]], n_features: int) -> tuple[list[str], set[str]]:
-    """The features that tell the classes apart best, and those that clean texts hardly use."""
-    df = (Counter(), Counter())
-    size = [sum(1 for _, y in docs if y == k) for k in (0, 1)]
-    for c, y in docs:
-        df[y].update({f for w in c for f in word_features(w)})
-    score, toxic_only = {}, set()
-    for f, n in df[1].items():
-        m = df[0][f]
-        if n < 3:
-            continue
-        p, q = (n + 0.5) / (size[1] + 1), (m + 0.5) / (size[0] + 1)
-        ratio = np.log(p / q)
-        score[f] = abs(ratio) * np.sqrt(n + m)
-        if ratio > 3 and n >= max(5, size[1] // 500):
-            toxic_only.add(f)
-    ranked = sorted(score, key=lambda f: (-score[f], f))[:n_features]
-    return ranked, toxic_only
+def choose_features(sample: DataFrame, n_features: int) -> DataFrame:
+    """(feature, marks): the ``n_features`` features of the sample (text, label) that tell the classes
+    apart best; ``marks`` tells those that clean texts hardly use. Counted on the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            df = (Counter(), Counter())
+            for text, label in zip(b["text"], b["label"], strict=True):
+                df[label].update({f for w in set(WORD.findall(text.lower())) for f in word_features(w)})
+            names = list(df[0].keys() | df[1].keys())
+            yield pd.DataFrame({"feature": names, "clean": [df[0][f] for f in names], "toxic": [df[1][f] for f in names]})
+
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    seen = sample.select("text", "label").mapInPandas(run, "feature string, clean long, toxic long")
+    seen = seen.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 3")
+    p = (F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)
+    q = (F.col("clean") + 0.5) / (sizes.get(0, 0) + 1)
+    ratio = F.ln(p / q)
+    marks = (ratio > 3) & (F.col("toxic") >= max(5, sizes.get(1, 0) // 500))
+    scored = seen.select("feature", marks.alias("marks"), (F.abs(ratio) * F.sqrt(F.col("clean") + F.col("toxic"))).alias("score"))
+    return scored.orderBy(F.desc("score"), "feature").limit(n_features)
 
 
 def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, weight: np.ndarray, n_features: int, rounds: int = 400, ridge: float = 1e-4):
@@ -122,40 +125,36 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, weight: np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, n_features: int = 3000, doses: tuple[int, ...] = (3, 8)) -> Grader:
-    sample = labelled_sample(docs, labels, "toxic", per_class)
+    sample = scratch(labelled_sample(docs, labels, "toxic", per_class).dropDuplicates(["text"]), "sample")
+    chosen = choose_features(sample, n_features).collect()
+    index = {r["feature"]: i for i, r in enumerate(chosen)}
+    marks = {r["feature"] for r in chosen if r["marks"]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [counts(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "label": b["label"], "weight": b["weight"],
-                "words": [list(c) for c in found], "n": [list(c.values()) for c in found],
-            })
-
-    sample = sample.dropDuplicates(["text"])
-    rows = sample.mapInPandas(run, "label int, weight double, words array<string>, n array<int>")
-    # A bounded sample: 2 * per_class rows of word counts, streamed to the driver.
-    got = [(Counter(dict(zip(r["words"], r["n"], strict=True))), r["label"], r["weight"]) for r in rows.toLocalIterator()]
-    got.sort(key=lambda r: (r[1], sorted(r[0].items())[:20]))
-    if len({y for _, y, _ in got}) < 2:
+            out = []
+            for text in b["text"]:
+                row: Counter = Counter()
+                dose = 0
+                for w, n in counts(text).items():
+                    fs = word_features(w)
+                    dose += n * any(f in marks for f in fs)
+                    for f in fs:
+                        if f in index:
+                            row[index[f]] += n
+                out.append((list(row), list(row.values()), dose))
+            ids, n, dose = zip(*out, strict=True) if out else ((), (), ())
+            yield pd.DataFrame({"label": b["label"], "weight": b["weight"], "ids": ids, "n": n, "dose": dose})
+
+    # Only the chosen features of the bounded sample come to the driver.
+    got = sample.mapInPandas(run, "label int, weight double, ids array<int>, n array<int>, dose int").toPandas()
+    if got["label"].nunique() < 2 or not chosen:
         return Grader({}, np.zeros(0), np.array([40.0]))
-    chosen, toxic_only = choose_features([(c, y) for c, y, _ in got], n_features)
-    index = {f: i for i, f in enumerate(chosen)}
-    matrix, grades = [], []
-    for c, y, _ in got:
-        row: Counter = Counter()
-        dose = 0
-        for w, n in c.items():
-            fs = word_features(w)
-            dose += n * any(f in toxic_only for f in fs)
-            for f in fs:
-                if f in index:
-                    row[index[f]] += n
-        matrix.append({i: float(np.log1p(n)) for i, n in row.items()})
-        grades.append(y and 1 + sum(dose >= d for d in doses))
-    grades = np.array(grades)
+    got = got.sort_values(["label", "dose", "ids"], key=lambda c: c.map(tuple) if c.name == "ids" else c, ignore_index=True)
+    matrix = [dict(zip(map(int, i), np.log1p(np.asarray(n)).tolist(), strict=True)) for i, n in zip(got["ids"], got["n"], strict=True)]
+    grades = got["label"].to_numpy() * (1 + sum((got["dose"].to_numpy() >= d).astype(int) for d in doses))
     levels = np.unique(np.concatenate([[0], grades]))
-    w, theta = fit_ordinal(matrix, np.searchsorted(levels, grades), np.array([x for *_, x in got]), len(chosen))
+    w, theta = fit_ordinal(matrix, np.searchsorted(levels, grades), got["weight"].to_numpy(), len(chosen))
     return Grader(index, w, theta)
 
 
