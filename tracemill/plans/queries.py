@@ -785,11 +785,11 @@ def dpo_level(spark, d):
 
 @query(
     "dpo_finish",
-    f"WITH RECURSIVE {_LEVEL}, {_UP}, {_PMIN}, ends AS (SELECT l.tree_id, l.nid, l.v, p.value FROM leaf l JOIN pmin p ON p.tree_id = l.tree_id AND p.nid = l.nid) SELECT c.tree_id, c.nid AS chosen, r.nid AS rejected FROM ends c JOIN ends r ON c.tree_id = r.tree_id WHERE c.v = 1 AND r.v = 0 AND c.value - r.value > 0.8 AND NOT EXISTS (SELECT 1 FROM lev x WHERE x.tree_id = c.tree_id AND x.chosen = c.nid AND x.rejected = r.nid)",
+    f"WITH RECURSIVE {_LEVEL.replace('0.8', '0.3')}, {_UP}, {_PMIN}, ends AS (SELECT l.tree_id, l.nid, l.v, p.value FROM leaf l JOIN pmin p ON p.tree_id = l.tree_id AND p.nid = l.nid) SELECT c.tree_id, c.nid AS chosen, r.nid AS rejected FROM ends c JOIN ends r ON c.tree_id = r.tree_id WHERE c.v = 1 AND r.v = 0 AND c.value - r.value > 0.3 AND NOT EXISTS (SELECT 1 FROM lev x WHERE x.tree_id = c.tree_id AND x.chosen = c.nid AND x.rejected = r.nid)",
     "node",
 )
 def dpo_finish(spark, d):
-    return D.finish_pairs(V.node(spark, d))
+    return D.finish_pairs(V.node(spark, d), 0.3)
 
 
 @query("dpo_sibling", "SELECT tree_id, pid AS parent, arg_max(nid, row(v, -nid)) AS chosen, arg_min(nid, row(v, nid)) AS rejected FROM node WHERE pid IS NOT NULL GROUP BY tree_id, pid HAVING max(v) > min(v)", "node")
@@ -822,15 +822,15 @@ def _labels_sql(soft: bool) -> str:
         r AS (SELECT traj, idx, v AS label, v FROM s WHERE idx = 0 UNION ALL SELECT s.traj, s.idx, {rule}, s.v FROM r JOIN s ON s.traj = r.traj AND s.idx = r.idx + 1)"""
 
 
-@query("prm_labels", _labels_sql(False) + " SELECT traj, idx, round(label, 6) AS label FROM r", "steps")
+@query("prm_labels", _labels_sql(False) + " SELECT traj, idx, round(label, 6) + 0.0 AS label FROM r", "steps")
 def prm_labels(spark, d):
-    return D.reward_label_rows(V.steps(spark, d)).select("traj", "idx", rounded("label"))
+    return D.reward_label_rows(V.steps(spark, d)).select("traj", "idx", (F.round("label", 6) + 0.0).alias("label"))
 
 
-@query("prm_soft_labels", _labels_sql(True) + " SELECT traj, idx, round(label, 6) AS label FROM r", "steps")
+@query("prm_soft_labels", _labels_sql(True) + " SELECT traj, idx, round(label, 6) + 0.0 AS label FROM r", "steps")
 def prm_soft_labels(spark, d):
     # Ties of a float with itself are exact: both engines read the same doubles.
-    return D.reward_label_rows(V.steps(spark, d), soft=True).select("traj", "idx", rounded("label"))
+    return D.reward_label_rows(V.steps(spark, d), soft=True).select("traj", "idx", (F.round("label", 6) + 0.0).alias("label"))
 
 
 def _hard(spark: SparkSession, d: str, hrm: bool) -> DataFrame:
