@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .vocabulary import byte_letters
+from .vocabulary import byte_letters, settled
 
 NEVER = 1 << 30
 
@@ -44,11 +44,12 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
-        self.normalizer = Tokenizer.from_file(vocabulary).normalizer
+        self.library = Tokenizer.from_file(vocabulary)
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_added = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")")
-        self.letters = {b: c for b, c in byte_letters().items()}
-        self.table = [self.letters[b] for b in range(256)]
+        letters = byte_letters()
+        self.table = [letters[b] for b in range(256)]
+        self.bytes_of = {c: b for b, c in letters.items()}
         self.longest = max(map(len, self.vocab)) - len(self.suffix) + 1
         self.limit = memo
         self.memo: dict[str, tuple[int, str, str]] = {}
@@ -176,10 +177,13 @@ class WordBpe:
             if i % 2:
                 out.append(self.added[part])
             elif part:
-                # Most texts are in composed form already, where lower() is all that is left to do
-                # (white space is dropped later); it differs from the file's only for final sigma.
-                plain = part.isascii() or ("Σ" not in part and is_normalized("NFC", part))
-                out += self.words.findall(part.lower() if plain else self.normalizer.normalize_str(part))
+                # Most texts are in composed form already, where lower() is all that is left to do:
+                # white space is dropped later.
+                if settled(part) and is_normalized("NFC", part):
+                    out += self.words.findall(part.lower())
+                else:
+                    split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                    out += [bytes([self.bytes_of[c] for c in w]).decode() for w, _ in split]
         return out
 
     def encode_batch(self, texts: list[str], chunk: int = 1 << 21) -> Iterator[list[tuple[int, str, str]]]:

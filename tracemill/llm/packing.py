@@ -98,7 +98,7 @@ def _first_round(vocabulary: str, capacity: int, small: int, end_id: int):
             rows: list[list] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
-                ids = np.append(encoder.encode_to_numpy(text, allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
                 n, at = len(ids), 0
                 full = n // capacity
                 for size, k in [(capacity, 1)] * full + cuts(n - full * capacity, capacity, small):
