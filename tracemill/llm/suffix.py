@@ -35,11 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .common import scratch, text_of
 from .hashing import mix, prefix, slices
+from .sampling import hashed_part
 
 CHUNK = 4
 BUCKET_ROWS = 400_000  # rows a bucket is made for; one bucket at a time is sorted in memory
@@ -170,8 +172,9 @@ def _splitters(rows: DataFrame, share: int, least_buckets: int, per_bucket: int
     """Splitters and the number of buckets, for keys of which ``rows`` hold one in ``share``.
 
     Buckets are made for BUCKET_ROWS keys each; the splitters are quantiles of a bounded sample."""
-    buckets = max(least_buckets, rows.count() * share // BUCKET_ROWS)
-    got = rows.select(*KEY).orderBy(F.xxhash64(*KEY)).limit(buckets * per_bucket).toPandas()
+    total = rows.count()
+    buckets = max(least_buckets, total * share // BUCKET_ROWS)
+    got = hashed_part(rows.select(*KEY), KEY, buckets * per_bucket, total).toPandas()
     keys = sorted(map(tuple, got.to_numpy(np.int64).tolist()))
     step = max(1, len(keys) // buckets)
     return np.array(keys[step::step][: buckets - 1], np.int64).reshape(-1, 4), buckets
@@ -375,7 +378,10 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     place = F.struct("start", "many", "lead")
     wanted = anchors.filter("not repeat").groupBy("doc_id").agg(F.collect_list(place).alias("runs"))
-    data = scratch(docs.join(wanted, "doc_id").mapInPandas(_bytes_of(length), "doc_id long, start int, many int, lead int, bytes binary"), "runs")
+    wanted = scratch(wanted, "wanted")
+    holders = Bloom(wanted.select(F.col("doc_id").alias("key")), wanted.count())
+    texts = holders.matches(docs, F.col("doc_id")).join(wanted, "doc_id")
+    data = scratch(texts.mapInPandas(_bytes_of(length), "doc_id long, start int, many int, lead int, bytes binary"), "runs")
 
     share = max(1, data.count() // (20 * buckets))
     some = data.filter(F.pmod(F.xxhash64("doc_id", "start"), F.lit(share)) == 0)
@@ -421,7 +427,15 @@ def cut_out(text: str, spans) -> tuple[bytes, list[tuple[int, int]], int]:
 def _with_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     spans = scratch(repeated_spans(source.filter("doc_id is not null"), length, gram), "spans")
-    return source.join(spans, "doc_id", "left")
+    return _join_spans(source, spans, F.col("doc_id"))
+
+
+def _join_spans(docs: DataFrame, spans: DataFrame, key: Column) -> DataFrame:
+    """``docs`` and their spans (null without any); only documents that may have spans are moved."""
+    cut = Bloom(spans.select(F.col("doc_id").alias("key")), spans.count())
+    spans = spans.withColumnRenamed("doc_id", "_id")
+    found = cut.matches(docs, key).join(spans, key == F.col("_id"), "left").drop("_id")
+    return cut.others(docs, key).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).unionByName(found)
 
 
 def removals(docs: DataFrame, length: int = 100, gram: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -448,9 +462,12 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = 50) -> DataF
     def keep(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([cut_out(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, found, strict=True)])
 
-    cut = docs.join(spans.withColumnsRenamed({"doc_id": "_id", "spans": "_spans"}), F.col("doc_id") == F.col("_id"), "left")
-    out = {"text": keep(text_of("text"), F.col("_spans"))}
-    cut = cut.withColumns(out)
+    # Packed, so columns of any name are safe.
+    packed = docs.select(F.struct("*").alias("_row"))
+    cut = _join_spans(packed, spans, F.col("_row.doc_id").cast("long"))
+    text = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(keep(text_of("_row.text"), F.col("spans")))
+    cut = cut.select("_row", text.alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+        new["n_chars"] = F.char_length(text_of("_text")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
