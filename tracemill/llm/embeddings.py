@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are vectors of a bounded sample (``sample`` distinct vectors at most). Each vector is
+Pivots are vectors of a bounded sample (about ``sample`` distinct vectors). Each vector is
 described by its ``near`` nearest pivots in order, and stands in the inverted lists of those.
 Vectors of one list that share at least ``shared`` pivots are candidates and are verified by their
 cosine in double precision. A pair met in several lists counts in the list of its smallest shared
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 from .graph import components, join_groups, local_roots
+from .sampling import hashed_part
 
 
 def unit(vectors) -> np.ndarray:
@@ -38,7 +39,7 @@ def unit(vectors) -> np.ndarray:
 
 
 def spread(x: np.ndarray, n: int) -> np.ndarray:
-    """``n`` pivots: evenly spaced rows of the sample, which is in hashed order."""
+    """``n`` pivots: evenly spaced rows of the sample, which is in the order of a hash."""
     return x[np.unique(np.linspace(0, len(x) - 1, min(n, len(x))).astype(int))]
 
 
@@ -131,7 +132,7 @@ def near_vectors(
     )
     classes = scratch(classes, "classes")
     total = classes.count()
-    some = classes.select("vector").orderBy(F.xxhash64("k1"), "k1").limit(sample).toPandas()["vector"]
+    some = hashed_part(classes.select("k1", "vector"), ["k1"], sample, total).toPandas().sort_values("k1")["vector"]
     n_pivots = int(min(max_pivots, max(64, 4 * math.sqrt(total))))
     by_size: dict[int, list] = {}
     for x in some:
