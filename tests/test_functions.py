@@ -112,6 +112,15 @@ def test_chunks(spark):
     assert partition.split_chunks(df.filter("id < 0"), ["id"], 4).count() == 0
 
 
+def test_positions_over_many_ranges(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k"), F.lit("x").alias("wide")).repartition(7)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = sorted((r["k"], r["pos"]) for r in partition.with_position(df, ["k"]).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert [p for _, p in got] == list(range(20_000))
+
+
 def test_ucb_and_back_propagation(spark):
     columns = "tree_id int, nid int, pid int, depth int, type string, v double, n int, correct boolean, completed boolean, refine_cnt int, refine_limit int"
     rows = [(1, 0, None, 0, "Root", 0.5, 4, False, False, 0, 0), (1, 1, 0, 1, "Reason", 1.0, 1, False, False, 0, 0), (1, 2, 0, 1, "Reason", 0.0, 3, False, False, 0, 0), (1, 3, 0, 1, "Finish", 1.0, 0, True, True, 0, 0)]

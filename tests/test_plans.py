@@ -39,7 +39,7 @@ def test_joins_and_python(spark, name):
     [
         ("vote_sum", "event_id:bigint,user_id:bigint,event_type:string,value:double"),
         ("resume_anti", "o_custkey:bigint,o_orderstatus:string"),
-        ("chunk", "o_orderkey:bigint"),
+        ("first_n", "event_id:bigint,user_id:bigint,event_type:string"),
         ("leaves", "p_partkey:bigint,p_size:int"),
     ],
 )

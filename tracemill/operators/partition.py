@@ -11,21 +11,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import token_len
+from ..sources.shared import materialise
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Number of the row in the order of the columns, from 0.
 
-    Rows are range-partitioned by the order; a row's position is the count of the ranges before it
-    and its number within its own. Only one count per range is gathered. Ties are numbered in any order,
-    so the order should be unique."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count()
+    Rows are range-partitioned and sorted by the order and numbered within their range; a row's position
+    is that number and the count of the ranges before it. The ranges come from a sample, so they are
+    written once for both uses. Only one count per range is gathered. Ties are numbered in any order, so the
+    order should be unique."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    # The id is the number of the partition above that of the row in it.
+    numbered = materialise(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    part, own = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = numbered.groupBy(part.alias("_part")).count()
     # One row per partition, so a window over all of them is small.
-    before = counts.select("_part", (F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    out = ranged.withColumn("_own", own).join(F.broadcast(before), "_part")
-    return out.withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+    before = counts.select("_part", F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    out = numbered.join(F.broadcast(before), part == F.col("_part"))
+    return out.withColumn(name, (F.coalesce("_before", F.lit(0)) + own).cast("long")).drop("_id", "_part", "_before")
 
 
 def split_chunks(df: DataFrame, order: list[str], n: int) -> DataFrame:

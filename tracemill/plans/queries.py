@@ -14,6 +14,7 @@ from ..operators import datasets as D
 from ..operators import partition as part
 from ..operators import search, tree, voting
 from ..sources import files
+from ..sources.shared import shared_folder
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,17 +514,17 @@ def candidate_pass(spark, d):
 
 @query("chunk", "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // ((SELECT count(*) + 6 FROM orders) // 7) AS BIGINT) AS chunk FROM orders")
 def chunk(spark, d):
-    return part.split_chunks(V.table(spark, d, "orders"), ["o_orderkey"], 7).select("o_orderkey", "chunk")
+    return part.split_chunks(V.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 7).select("o_orderkey", "chunk")
 
 
 @query("get_chunk", "SELECT o_orderkey FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // ((SELECT count(*) + 6 FROM orders) // 7) AS chunk FROM orders) WHERE chunk = 2")
 def get_chunk(spark, d):
-    return part.get_chunk(V.table(spark, d, "orders"), ["o_orderkey"], 7, 2).select("o_orderkey")
+    return part.get_chunk(V.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 7, 2).select("o_orderkey")
 
 
 @query("batches", "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 16 AS BIGINT) AS batch FROM orders")
 def batches(spark, d):
-    return part.batches(V.table(spark, d, "orders"), ["o_orderkey"], 16).select("o_orderkey", "batch")
+    return part.batches(V.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 16).select("o_orderkey", "batch")
 
 
 @query("head", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 16")
@@ -550,7 +551,7 @@ def resume_watermark(spark, d):
 
 @query("test_split", "SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderkey * 7919) % 10007, o_orderkey) <= CAST(floor((SELECT count(*) FROM orders) * 0.01) AS BIGINT) AS is_test FROM orders")
 def test_split(spark, d):
-    return part.test_split(V.table(spark, d, "orders"), (F.col("o_orderkey") * 7919) % 10007, ["o_orderkey"], 0.01).select("o_orderkey", "is_test")
+    return part.test_split(V.table(spark, d, "orders").select("o_orderkey"), (F.col("o_orderkey") * 7919) % 10007, ["o_orderkey"], 0.01).select("o_orderkey", "is_test")
 
 
 @query("first_n", "SELECT id, cand_idx FROM (SELECT id, cand_idx, row_number() OVER (PARTITION BY id ORDER BY cand_idx) AS k FROM cand WHERE answer <> '') WHERE k <= 5", "cand")
@@ -960,12 +961,7 @@ def svamp(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared one the session names, else a temporary one (tests)."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracemill-")
-    return f"{base.rstrip('/')}/files/{uuid.uuid4().hex}"
+    return shared_folder(spark, "files")
 
 
 @query("jsonl_roundtrip", "SELECT event_id, user_id, event_type, value FROM events")
