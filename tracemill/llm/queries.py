@@ -80,4 +80,49 @@ ORACLE_SQL = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+            n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+            w AS (SELECT doc_id, unnest(range(1, n - 98)) AS p, b FROM n WHERE n >= 100),
+            h AS (SELECT doc_id, p, array_slice(b, p, p + 99) AS s FROM w),
+            f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM h) WHERE k > 1),
+            g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM f),
+            i AS (SELECT doc_id, p, sum(CASE WHEN gap IS NULL OR gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
+            r AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS z FROM i GROUP BY doc_id, island),
+            k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+            t AS (SELECT k.doc_id, count(*) AS n_spans, sum(z - a + 1) AS gone, max(z) AS last, string_agg(hex(array_slice(b, before + 1, a - 1)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(CASE WHEN t.doc_id IS NULL THEN n.b ELSE unhex(t.kept || CASE WHEN t.last < n.n THEN hex(array_slice(n.b, t.last + 1, n.n)) ELSE '' END) END) AS kept_sha256 FROM n LEFT JOIN t USING (doc_id)
+    """,
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+            u AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+            c AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.vec_id),
+            n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, min(c.root) AS component_id, v.vec_id = min(c.root) AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id) GROUP BY v.vec_id, n.n_links
+    """,
+    "op7_minhash": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+            e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+                GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+            l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+            c AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.doc_id)
+        SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id) r USING (doc_id)
+    """,
+    "op10_chat": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(k)),
+            a AS (SELECT *, row_number() OVER o AS k, coalesce(sum(CAST(ceil(length(text) / 4) AS BIGINT) + 4) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1024 AS cell,
+                length('<|im_start|>' || replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\' || chr(10)) || chr(10) || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|im_end|>' || chr(10)) AS chars
+                FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+            b AS (SELECT *, CASE WHEN cell <> lag(cell) OVER (PARTITION BY conv_id ORDER BY k) THEN 1 ELSE 0 END AS opens FROM a),
+            c AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY k) AS win FROM b),
+            d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY k DESC) AS remaining, max(win) OVER (PARTITION BY conv_id) AS last FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(chars * CASE WHEN k = 1 AND role = 'system' THEN 1 + last WHEN remaining <= 2 AND win < last THEN 2 ELSE 1 END) AS BIGINT) AS formatted_chars FROM d GROUP BY conv_id
+    """,
 }
