@@ -34,7 +34,7 @@ from .common import scratch, text_of
 from .graph import components, join_groups, local_roots
 from .hashing import mix, salt, shingles
 
-CHUNK = 1 << 20  # bytes of text worked on at once
+CHUNK = 1 << 19  # bytes of text worked on at once
 
 
 def sketch(hashes: np.ndarray, owner: np.ndarray, docs: int, t: int) -> np.ndarray:

@@ -44,8 +44,8 @@ from .hashing import mix, prefix, slices
 from .sampling import hashed_part
 
 CHUNK = 4
-BUCKET_ROWS = 400_000  # rows a bucket is made for; one bucket at a time is sorted in memory
-BATCH = 1 << 19  # bytes of text worked on at once
+BUCKET_ROWS = 200_000  # rows a bucket is made for; one bucket at a time is sorted in memory
+BATCH = 1 << 18  # bytes of text worked on at once
 LOW48 = np.uint64((1 << 48) - 1)
 
 

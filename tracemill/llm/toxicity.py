@@ -47,14 +47,15 @@ class Grader:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def strength(self, text: str, memo: dict[str, list[int]]) -> float:
+    def strength(self, text: str, memo: dict[str, tuple[int, ...]]) -> float:
         seen: dict[int, int] = {}
         for w in WORD.findall(text.lower()):
             ids = memo.get(w)
             if ids is None:
-                if len(memo) > 300_000:
+                if len(memo) > 100_000:
                     memo.clear()
-                memo[w] = ids = [self.features[f] for f in word_features(w) if f in self.features]
+                # Most words have no feature and share one empty tuple.
+                memo[w] = ids = tuple([self.features[f] for f in word_features(w) if f in self.features])
             for i in ids:
                 seen[i] = seen.get(i, 0) + 1
         return float(sum(self.weights[i] * np.log1p(n) for i, n in seen.items()))
@@ -162,7 +163,7 @@ def grade(docs: DataFrame, grader: Grader, id_col: str = "doc_id", text_col: str
     """doc_id, severity (expected grade), grade, toxic."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
             above = grader.above(np.array([grader.strength(t, memo) for t in b["text"]], dtype=float))
             yield pd.DataFrame({
@@ -182,7 +183,7 @@ def reject(docs: DataFrame, grader: Grader) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, tuple[int, ...]] = {}
         for text in batches:
             above = grader.above(np.array([grader.strength(t, memo) for t in text], dtype=float))
             yield pd.Series(above[:, 0] >= 0.5)

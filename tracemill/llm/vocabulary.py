@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -31,7 +31,6 @@ class ByteEncoder:
 
     def __init__(self, vocabulary: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         with open(vocabulary, encoding="utf-8") as f:
@@ -40,7 +39,14 @@ class ByteEncoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special.values()}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.library = Tokenizer.from_file(vocabulary)
+        self.vocabulary = vocabulary
+
+    @cached_property
+    def library(self):
+        """Loaded for the first unsettled text."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
 
     def encode(self, text: str) -> np.ndarray:
         if settled(text):
