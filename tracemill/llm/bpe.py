@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,7 +32,7 @@ NEVER = 1 << 30
 
 
 class WordBpe:
-    def __init__(self, vocabulary: str, memo: int = 200_000):
+    def __init__(self, vocabulary: str, memo: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -216,18 +217,25 @@ class WordBpe:
         return " ".join(self.names[i] for i in ids)
 
 
+@lru_cache(maxsize=1)
+def word_bpe(vocabulary: str) -> WordBpe:
+    """One for all tasks of a worker, with what it remembers."""
+    return WordBpe(vocabulary)
+
+
 def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(vocabulary)
+        bpe = word_bpe(vocabulary)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             out = []
             for words in bpe.encode_batch(list(b["text"])):
-                # A word without any known letter has no ids and leaves no gap.
-                said = [w for w in words if w[0]]
-                out.append((sum(w[0] for w in said), sha(" ".join([w[1] for w in said])), sha(" ".join([w[2] for w in said]))))
+                n, ids, tokens = zip(*words, strict=True) if words else ((), (), ())
+                if 0 in n:  # a word without any known letter has no ids and leaves no gap
+                    ids, tokens = filter(None, ids), filter(None, tokens)
+                out.append((sum(n), sha(" ".join(ids)), sha(" ".join(tokens))))
             n, ids, decoded = zip(*out, strict=True) if out else ((), (), ())
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
 
@@ -239,7 +247,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """doc_id, ids (array of int)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(vocabulary)
+        bpe = word_bpe(vocabulary)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [bpe.encode(t) for t in b["text"]]})
 
