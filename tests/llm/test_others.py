@@ -33,6 +33,27 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(df.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [0.92, 0.87])
+def test_near_vectors_dense(spark, cosine):
+    """A group of a third of all rows, its pairs ``cosine`` apart on average: no link is lost."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1000] = x[0] + np.sqrt(1 / cosine - 1) * x[:1000]
+    x[1001:1500:2] = x[1000:1500:2] + 0.3 * x[1001:1500:2]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(df, block=256).collect()}
+    linked = x @ x.T >= 0.9
+    n = linked.sum(axis=1) - 1
+    found = np.array([got[i]["n_links"] for i in range(3000)])
+    assert (found[:1000] == n[:1000]).all()
+    assert (found[1000:] <= n[1000:]).all() and found[1000:].sum() >= 0.95 * n[1000:].sum()
+    pairs = [(int(a), int(b)) for a, b in np.argwhere(linked) if a < b < 1000]
+    want = brute.components(range(1000), pairs)
+    assert all(got[i]["component_id"] == want[i] for i in range(1000))
+
+
 @pytest.fixture(scope="module")
 def turns(spark):
     rows = [(1, 0, "system", "be <|im_start|> kind \\"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "user", ""), (1, 4, "assistant", "x" * 9000)]

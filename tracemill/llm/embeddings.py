@@ -1,13 +1,23 @@
-"""Near-duplicate vectors by a pivot-permutation index.
-
-Pivots are vectors of a bounded sample (about ``sample`` distinct vectors). Each vector is
+"""Near-duplicate vectors: exact lists for dense areas, a pivot-permutation index for the rest.
+
+Dense areas. A bounded sample (about ``sample`` distinct vectors) is grouped around leaders: a vector
+within a cosine of ``dense`` of a leader belongs to it, any other becomes a leader. The mean directions of
+groups of ``near`` or more are centres. The home of a vector is its nearest centre, if within
+``dense``. With d the angle to the home (at most that of ``dense``) and t the angle of the threshold, a
+partner of x whose own home is not nearer is within d + t of the home of x, so each vector
+also visits the centres within min(d, angle of ``dense``) + t. Every list of a centre is verified in
+full, those at home against all, so no link of a vector with a home is missed.
+
+The rest, vectors without a home. Pivots are vectors of the sample that have no home; there are fewer
+than ``near`` of them in a group that is not dense, so they do not crowd one another out. Each vector is
 described by its ``near`` nearest pivots in order, and stands in the inverted lists of those.
 Vectors of one list that share at least ``shared`` pivots are candidates and are verified by their
 cosine in double precision. A pair met in several lists counts in the list of its smallest shared
 pivot alone. There are ``4 * sqrt(n)`` pivots (64 at least, ``max_pivots`` at most), so lists grow
-with the square root of the input; lists over ``block`` vectors are dealt out as pairs of blocks.
-A task gives each vector's number of links and its root within the task, never the pairs
-themselves, so its output is as long as its input.
+with the square root of the input. Links between two vectors of the rest can be missed.
+
+Lists over ``block`` vectors are dealt out as pairs of blocks. A task gives each vector's number of links
+and its root within the task, never the pairs themselves, so its output is as long as its input.
 
 Equal vectors are one class, stood for by its smallest id; links count all members.
 
@@ -43,52 +53,102 @@ def spread(x: np.ndarray, n: int) -> np.ndarray:
     return x[np.unique(np.linspace(0, len(x) - 1, min(n, len(x))).astype(int))]
 
 
-def _permutations(pivots: dict[int, np.ndarray], near: int):
+def centres(x: np.ndarray, dense: float, least: int) -> np.ndarray:
+    """Mean directions of the groups of ``least`` or more rows within ``dense`` of a leader."""
+    leaders, sums, many = np.zeros_like(x), np.zeros_like(x), np.zeros(len(x), np.int64)
+    n = 0
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
+        best, at = np.full(len(part), -2.0), np.zeros(len(part), np.int64)
+        if n:
+            close = part @ leaders[:n].T
+            at = close.argmax(axis=1)
+            best = close[np.arange(len(part)), at]
+        inside = part @ part.T
+        for i in range(len(part)):
+            if best[i] < dense:
+                leaders[n], best[i], at[i] = part[i], 1.0, n
+                later = np.arange(i + 1, len(part))
+                nearer = later[inside[i, later] > best[later]]
+                best[nearer], at[nearer] = inside[i, nearer], n
+                n += 1
+        np.add.at(sums, at, part)
+        many += np.bincount(at, minlength=len(x))
+    c = sums[many >= least]
+    return c / np.sqrt((c * c).sum(axis=1, keepdims=True))
+
+
+def _describe(centre: dict[int, np.ndarray], pivots: dict[int, np.ndarray], near: int, dense: float, threshold: float):
+    """Adds to each vector ``home`` (-1 - its centre, 0 for none), ``close`` (the cosine to it), ``pivots``
+    (of those without a home) and ``lists``: its pivots and, as -1 - number, the centres it visits."""
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    edge = math.acos(dense)
+
     def run(batches):
         for b in batches:
-            perms: list = [None] * len(b)
+            homes, closes = np.zeros(len(b), np.int32), np.full(len(b), -2.0)
+            perms: list = [np.zeros(0, np.int32)] * len(b)
+            visits: list = [np.zeros(0, np.int32)] * len(b)
             sizes = b["vector"].map(len).to_numpy()
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                p = pivots.get(int(size))
-                if p is None:
-                    found = np.zeros((len(at), 1), np.int32)
-                else:
+                c, p = centre.get(int(size)), pivots.get(int(size))
+                for lo in range(0, len(at), 1024):
+                    part = at[lo : lo + 1024]
+                    x = unit(b["vector"].iloc[part])
+                    if c is not None and len(c):
+                        close = x @ c.T
+                        top = close.argmax(axis=1)
+                        best = close[np.arange(len(part)), top]
+                        home = best >= dense
+                        homes[part[home]], closes[part[home]] = -1 - top[home], best[home]
+                        far = np.minimum(np.arccos(np.clip(best, -1, 1)), edge) + reach
+                        visit = close >= np.cos(np.minimum(far, math.pi))[:, None]
+                        visit[np.arange(len(part))[home], top[home]] = True
+                        for i, row in zip(part, visit, strict=True):
+                            visits[i] = (-1 - np.flatnonzero(row)).astype(np.int32)
+                        part, x = part[~home], x[~home]
+                    if p is None or not len(part):
+                        for i in part:
+                            perms[i] = np.zeros(1, np.int32)
+                        continue
                     k = min(near, len(p))
-                    for lo in range(0, len(at), 1024):
-                        part = at[lo : lo + 1024]
-                        close = unit(b["vector"].iloc[part]) @ p.T
-                        top = np.argpartition(-close, k - 1, axis=1)[:, :k]
-                        order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
-                        for i, row in zip(part, np.take_along_axis(top, order, 1).astype(np.int32), strict=True):
-                            perms[i] = row
-                    continue
-                for i, row in zip(at, found, strict=True):
-                    perms[i] = row
-            yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "vector": b["vector"], "size": sizes, "pivots": perms})
+                    close = x @ p.T
+                    top = np.argpartition(-close, k - 1, axis=1)[:, :k]
+                    order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
+                    for i, row in zip(part, np.take_along_axis(top, order, 1).astype(np.int32), strict=True):
+                        perms[i] = row
+            lists = [np.concatenate(x) for x in zip(perms, visits, strict=True)]
+            yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "vector": b["vector"], "size": sizes, "home": homes, "close": closes, "pivots": perms, "lists": lists})
 
     return run
 
 
 def _link(threshold: float, shared: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        pivot, left, right = int(key[1]), int(key[2]), int(key[3])
-        g = g.sort_values("rep", ignore_index=True)
+        number, left, right = int(key[1]), int(key[2]), int(key[3])
+        # The nearer to its home comes first: a pair counts in the home of the first of the two.
+        g = g.sort_values(["close", "rep"], ascending=[False, True], ignore_index=True)
         x = unit(g["vector"])
-        lists = [np.asarray(p) for p in g["pivots"]]
-        need = min(shared, min(map(len, lists)))
-        used, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        member = np.zeros((len(g), len(used)), np.float32)
-        member[np.repeat(np.arange(len(g)), [len(p) for p in lists]), inverse] = 1
-        lower = member[:, used < pivot]
+        at_home = (g["home"] == number).to_numpy()
+        if number >= 0:
+            lists = [np.asarray(p) for p in g["pivots"]]
+            need = min(shared, min(map(len, lists)))
+            used, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+            member = np.zeros((len(g), len(used)), np.float32)
+            member[np.repeat(np.arange(len(g)), [len(p) for p in lists]), inverse] = 1
+            lower = member[:, used < number]
         block = g["block"].to_numpy()
         rows, cols = [], []
         for lo in range(0, len(g), 512):
             part = slice(lo, min(len(g), lo + 512))
-            ok = member[part] @ member.T >= need
-            if lower.shape[1]:
-                ok &= lower[part] @ lower.T == 0
-            ok &= np.arange(len(g))[None, :] > np.arange(part.start, part.stop)[:, None]
+            ok = np.arange(len(g))[None, :] > np.arange(part.start, part.stop)[:, None]
+            if number >= 0:
+                ok &= member[part] @ member.T >= need
+                if lower.shape[1]:
+                    ok &= lower[part] @ lower.T == 0
+            else:
+                ok &= at_home[part][:, None]
             if left != right:
                 ok &= block[part][:, None] != block[None, :]
             # The whole block is verified in one product; only candidates count.
@@ -114,6 +174,7 @@ def near_vectors(
     sample: int = 16_384,
     max_pivots: int = 4096,
     block: int = 2048,
+    dense: float = 0.75,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -137,20 +198,32 @@ def near_vectors(
     by_size: dict[int, list] = {}
     for x in some:
         by_size.setdefault(len(x), []).append(x)
-    pivots = {n: spread(unit(xs), n_pivots) for n, xs in by_size.items()}
+    samples = {n: unit(xs) for n, xs in by_size.items()}
+    centre = {n: centres(x, dense, near) for n, x in samples.items()}
+    rest = {n: x[(x @ centre[n].T).max(axis=1, initial=-2.0) < dense] for n, x in samples.items()}
+    pivots = {n: spread(x, n_pivots) for n, x in rest.items() if len(x)}
 
     described = classes.select("rep", "members", "vector").mapInPandas(
-        _permutations(pivots, near), "rep long, members long, vector array<double>, size int, pivots array<int>"
+        _describe(centre, pivots, near, dense, threshold),
+        "rep long, members long, vector array<double>, size int, home int, close double, pivots array<int>, lists array<int>",
     )
     described = scratch(described, "described")
-    lists = described.select("*", F.explode("pivots").alias("pivot"))
-    # One short row per list: at most max_pivots for each vector length.
-    sizes = lists.groupBy("size", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = lists.join(sizes, ["size", "pivot"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("rep", "members", "vector", "size", "pivots", "pivot", "block", with_)
+    lists = described.select("*", F.explode("lists").alias("list")).drop("lists")
+    lists = lists.withColumn("own", (F.col("list") >= 0) | (F.col("list") == F.col("home")))
+    # One short row per list: at most max_pivots and sample / near for each vector length.
+    blocks_of = lambda which: F.ceil(F.count_if(which) / block).cast("int")
+    sizes = lists.groupBy("size", "list").agg(blocks_of(F.col("own")).alias("own_blocks"), blocks_of(~F.col("own")).alias("other_blocks"))
+    # Visitors have blocks after those of the vectors at home, and meet only the latter.
+    hashed = F.xxhash64("rep")
+    placed = lists.join(sizes, ["size", "list"]).withColumn(
+        "block",
+        F.when(F.col("own"), F.pmod(hashed, F.col("own_blocks"))).otherwise(F.col("own_blocks") + F.pmod(hashed, F.col("other_blocks"))).cast("int"),
+    )
+    last = F.col("own_blocks") + F.when(F.col("own"), F.col("other_blocks")).otherwise(0) - 1
+    placed = placed.filter("own_blocks > 0").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.select("rep", "members", "vector", "size", "home", "close", "pivots", "list", "block", "other")
     placed = placed.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    links = placed.groupBy("size", "pivot", "left", "right").applyInPandas(_link(threshold, shared), "rep long, root long, n long")
+    links = placed.groupBy("size", "list", "left", "right").applyInPandas(_link(threshold, shared), "rep long, root long, n long")
     links = scratch(links, "links")
 
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
