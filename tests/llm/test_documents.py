@@ -124,6 +124,25 @@ def test_suffix_buckets_cut_groups(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix.removals(df).collect()} == brute.suffix_removals(rows)
 
 
+def test_run_hash_is_its_own(monkeypatch):
+    """Where the gram's hash sees nothing, the 64 bits of runs and chunks still tell them apart."""
+    import numpy as np
+    import pandas as pd
+
+    plain = suffix.prefix
+    monkeypatch.setattr(suffix, "prefix", lambda data, seed=1: plain(np.zeros_like(data) if seed == 1 else data, seed))
+    rng = random.Random(4)
+    texts = [rng.randbytes(120) for _ in range(50)] * 2
+    r = suffix.runs(texts, 100, 50)
+    by_text = {t: tuple(r["run"][r["text"] == t].tolist()) for t in range(100)}
+    assert len(set(by_text.values())) == 50 and all(by_text[t] == by_text[t + 50] for t in range(50))
+    assert (r["run"].view(np.uint64) >> np.uint64(48)).max() > 0
+    b = pd.DataFrame({"doc_id": range(100), "start": 0, "many": 1, "lead": 3, "bytes": [t[:100] for t in texts]})
+    c = next(suffix._chunks(100, None)(iter([b])))
+    assert c["k1"].nunique() == 1 and c["k2"].nunique() == 50
+    assert (c["k2"].to_numpy().view(np.uint64) >> np.uint64(48)).max() > 0
+
+
 def test_multikey_quicksort():
     import numpy as np
 

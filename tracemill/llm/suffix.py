@@ -19,7 +19,7 @@ places, so it is enough to compare the strings of each anchor, and strings of on
    a bucket is compared with the last of the one before.
 
 Only steps 2 and 3 read bytes again, for first runs alone. Runs and chunks are compared by 64 bits
-for the gram and 48 for the rest, strings by their bytes.
+for the gram or core and, from another seed, 64 for the whole; strings by their bytes.
 
 Edge cases: null text is empty; texts shorter than ``length`` lose nothing; matches never cross
 documents. Rows repeated with one id and text are the same place and get the same result. Rows
@@ -46,7 +46,6 @@ from .sampling import hashed_part
 CHUNK = 4
 BUCKET_ROWS = 200_000  # rows a bucket is made for; one bucket at a time is sorted in memory
 BATCH = 1 << 18  # bytes of text worked on at once
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +72,7 @@ def runs(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     if len(data) < length:
         return empty
     ends = np.cumsum(sizes)
-    run = prefix(data)
+    run, other = prefix(data), prefix(data, 2)
     at = np.arange(len(data) - gram + 1)
     hashes = mix(slices(run, at, at + gram))
     anchor = least(hashes, length - gram + 1)
@@ -87,14 +86,15 @@ def runs(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     stops = np.flatnonzero(np.concatenate([~inside | new, [True]]))
     last = stops[np.searchsorted(stops, first, side="right")] - 1
     lead, many = anchor[first] - first, last - first + 1
-    whole = slices(run, first, last + length) + lead.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + many.astype(np.uint64)
+    # Two runs of one gram are told by this hash alone, so it shares no seed with the gram's.
+    whole = slices(other, first, last + length) + lead.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + many.astype(np.uint64)
     return {
         "text": text[first],
         "start": first - (ends - sizes)[text[first]],
         "many": many,
         "lead": lead,
         "gram": hashes[anchor[first]].view(np.int64),
-        "run": (mix(whole) & LOW48).view(np.int64),
+        "run": mix(whole).view(np.int64),
     }
 
 
@@ -272,7 +272,8 @@ def _chunks(length: int, splitters: np.ndarray | None):
             lead, many = b["lead"].to_numpy(np.int64), b["many"].to_numpy(np.int64)
             size = np.array([len(x) for x in b["bytes"]], np.int64)
             base = np.cumsum(size) - size
-            run_ = prefix(np.frombuffer(b"".join(b["bytes"]), np.uint8))
+            joined = np.frombuffer(b"".join(b["bytes"]), np.uint8)
+            run_, other = prefix(joined), prefix(joined, 2)
             # Distances of a run: lead (its first string) down to lead - many + 1.
             top, low = lead // CHUNK, (lead - many + 1) // CHUNK
             n = top - low + 1
@@ -281,10 +282,10 @@ def _chunks(length: int, splitters: np.ndarray | None):
             far, near = np.minimum(lead[row], c * CHUNK + CHUNK - 1), np.maximum(lead[row] - many[row] + 1, c * CHUNK)
             anchor = base[row] + lead[row]
             core = slices(run_, anchor - c * CHUNK, anchor - (c * CHUNK + CHUNK - 1) + length)
-            whole = slices(run_, anchor - far, anchor - near + length) + far.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + near.astype(np.uint64)
+            whole = slices(other, anchor - far, anchor - near + length) + far.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + near.astype(np.uint64)
             out = {
                 "k1": mix(core + c.astype(np.uint64)).view(np.int64),
-                "k2": (mix(whole) & LOW48).view(np.int64),
+                "k2": mix(whole).view(np.int64),
                 "doc_id": b["doc_id"].to_numpy(np.int64)[row],
                 "start": b["start"].to_numpy(np.int64)[row] + lead[row] - far,
                 "many": far - near + 1,
