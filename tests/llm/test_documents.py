@@ -200,6 +200,19 @@ def test_cuts():
         assert all(p * k <= 2048 for p, k in pieces)
 
 
+def test_license_with_words_inside():
+    """A notice with foreign words in its middle is found wherever the blocks fall."""
+    rng = random.Random(6)
+    notice = licenses.TEMPLATES[2][1].split()
+    index = licenses.Templates(licenses.TEMPLATES, 32)
+    for inserted in (16, 60):
+        half = len(notice) // 2
+        texts = [f"{words(rng, n)} {' '.join(notice[:half])} {words(rng, inserted)} {' '.join(notice[half:])} {words(rng, 90)}".encode() for n in range(60)]
+        found = {d for d, i, share, _ in index.scan(texts, 0.8) if i == 2 and share >= 0.8}
+        assert found == set(range(60))
+    assert not index.scan([f"{' '.join(notice[:half])} {words(rng, 90)}".encode()], 0.8)
+
+
 def test_licenses(docs, empty):
     rng = random.Random(3)
     texts = [f"{words(rng, n)}\n{t}\n{words(rng, 50)}" for n, (_, t) in zip((0, 3, 10, 50, 999), licenses.TEMPLATES, strict=False)]
