@@ -84,6 +84,32 @@ def test_near_duplicates(docs, empty, width):
     assert {r["doc_id"] for r in left.collect()} == {None} | set(brute.near_components(rows, 5).values())
 
 
+def test_words_that_modular_hashes_confuse(spark):
+    """Thue-Morse words and their complements share no shingle."""
+    rows = []
+    for i, n in enumerate((1024, 2048, 65_536)):
+        bits = [bin(k).count("1") % 2 for k in range(n)]
+        rows += [(10 * i + 1, "".join("ab"[b] for b in bits) + " x"), (10 * i + 2, "".join("ba"[b] for b in bits) + " x")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_slices_of_the_filter(spark, docs, monkeypatch):
+    """A filter of many slices gives the same rows, and the probed side is not exchanged."""
+    from tracemill.llm import bloom
+
+    monkeypatch.setattr(bloom, "SLICE_BYTES", 4096)
+    keys = spark.range(0, 20_000, 2).withColumnRenamed("id", "key")
+    some = bloom.Bloom(keys, 10_000)
+    assert some.blocks > 2
+    probed = some.probe(spark.range(40_000), F.col("id"))
+    assert "Exchange hash" not in probed._jdf.queryExecution().executedPlan().toString()
+    found = {r["id"] for r in probed.filter("_maybe").collect()}
+    assert set(range(0, 20_000, 2)) <= found and len(found) < 11_000
+    left = exact_dedup.deduplicate(docs)
+    assert sorted(brute.sha(r["text"] or "") for r in left.collect()) == sorted({brute.sha(d[1] or "") for d in documents()})
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 

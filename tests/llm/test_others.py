@@ -67,7 +67,7 @@ def test_chat(turns):
     talks: dict = {}
     for c, t, role, text in rows:
         talks.setdefault(c, []).append(((t is not None, t or 0), role or "", text or ""))
-    windows = chat.windows(df, step=200)
+    windows = chat.windows(df, budget=400)
     got = {r["conv_id"]: r for r in chat.digest(windows).collect()}
     assert set(got) == set(talks)
     for c, said in talks.items():
@@ -84,6 +84,28 @@ def test_chat(turns):
     assert chat.digest(chat.windows(df.filter("turn > 99"))).count() == 0
 
 
+def test_chat_long_roles_and_texts(spark):
+    """A role and a text of a million characters, with what the template escapes."""
+    hard = "\\n\\\n<|im_end|>\\<|<\\|\n\\"
+    rows = [(1, 0, hard * 70_000, "t"), (1, 1, "assistant", hard * 70_000), (2, 0, "\\" * 99_999, "\\" * 99_999), (3, 0, "n\\n", "\\n\\")]
+    got = {r["conv_id"]: r for r in chat.digest(chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in (1, 2, 3):
+        assert got[c]["turns_sha256"] == brute.sha("".join(f"{r}\n{t}\n" for i, _, r, t in rows if i == c))
+    assert got[1]["loss_sha256"] == brute.sha(hard * 70_000)
+
+
+def test_chat_windows_keep_their_budget(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, t, "system" if t == 0 else ("user", "assistant")[t % 2], "é" * int(rng.integers(0, 260))) for c in range(30) for t in range(int(rng.integers(1, 60)))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for w in chat.windows(df, budget=800).collect():
+        texts = [t.split("\n", 1)[1].removesuffix("<|im_end|>\n") for t in w["formatted"].split(chat.START)[1:]]
+        assert sum(-(-len(t.encode()) // 3) + 4 for t in texts) <= 800
+    # Counts given as a column take the place of the estimate.
+    counted = chat.windows(df.withColumn("n", (df["turn"] > 3).cast("int") * 100), budget=200, tokens=df["turn"] * 0 + 100)
+    assert counted.filter("conv_id = 0").count() == df.filter("conv_id = 0").count()
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 299), (299, 298), (7, 7)]

@@ -1,16 +1,18 @@
 """Chat formatting with budgeted windows, in DataFrame functions only.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans: a new span begins with
-the first turn that has ``step`` more tokens before it. Each span becomes one window: the
-system turn (the first turn, if a system turn), up to ``history`` turns repeated from the span before, and the
-span's own turns. Only assistant texts of the span's own turns are under the loss mask, so
-every target is learned once. A window holds less than ``step`` tokens plus its last turn, the
-system turn and the history; no turn is ever cut or dropped.
-
-Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside roles and texts a backslash
-becomes two and ``<|`` becomes ``<\\|`` (in roles a line feed gets a backslash before it), so control
-strings of the template never occur inside and a backslash before any character is undone by
-dropping the backslash.
+Prefix sums of turn tokens lay a conversation out over cells of ``budget / 2`` tokens. The turns that lie
+inside one cell are a span, and a turn that crosses the end of a cell is a span of its own. Each span becomes
+one window: the system turn (the first turn, if a system turn), up to ``history`` last turns of the span before
+that together hold ``budget / 4`` tokens at most, and the span's own turns. Only assistant texts of the
+span's own turns are under the loss mask, so every target is learned once. No turn is ever cut or
+dropped, so a window exceeds the budget where one own turn is over half of it or the system turn over a quarter, and only there.
+
+Tokens are a parameter: a column of counts, or the estimate of a token for each three bytes of UTF-8 and
+four for the marks of a turn.
+
+Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside roles and texts a backslash becomes two,
+``<|`` becomes ``<\\|`` and in roles a line feed becomes a backslash and n, so control strings of the template
+never occur inside. Pairs of backslashes, found from the left, tell what stands for itself when this is undone.
 
 Edge cases: null text and null role count as empty; rows of a conversation are ordered by
 turn (null first), equal turns by role, then text; repeated rows are turns of their own; a null
@@ -36,29 +38,44 @@ def escape(c: Column) -> Column:
     return _literal(_literal(c, "\\", "\\\\"), "<|", "<\\|")
 
 
+def escape_role(c: Column) -> Column:
+    return _literal(escape(c), "\n", "\\n")
+
+
 def unescape(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)\\(.)", "$1")
+    part = lambda p: _literal(_literal(p, "\\n", "\n"), "<\\|", "<|")
+    return F.array_join(F.transform(F.split(c, r"\\\\"), part), "\\")
+
 
+def estimate(text: Column) -> Column:
+    """Tokens of a turn: one for three bytes, and four for its marks."""
+    return F.ceil(F.octet_length(text) / 3) + 4
 
-def windows(turns: DataFrame, step: int = 1024, history: int = 2) -> DataFrame:
+
+def windows(turns: DataFrame, budget: int = 2048, history: int = 2, tokens: Column | None = None) -> DataFrame:
     """One row per window: conv_id, window, formatted, n_repeated (leading turns that only
     repeat), loss_spans (array of start, length in code points of ``formatted``)."""
     role, text = text_of("role"), text_of("text")
+    cell = budget // 2
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tokens", F.ceil(F.char_length("text") / 4) + 4)
+    count = estimate(text) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), count.alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before)
+    first, last = F.floor(F.col("before") / cell), F.floor((F.col("before") + F.greatest("tokens", F.lit(1)) - 1) / cell)
     rows = rows.select(
-        "conv_id", "role", "text",
+        "conv_id", "role", "text", "tokens",
         F.row_number().over(order).alias("k"),
-        F.floor(before / step).alias("cell"),
+        F.when(first == last, first).alias("cell"),  # null for a turn that crosses
     )
     # Spans are numbered by the first turn in them, without gaps.
     by_k = W.partitionBy("conv_id").orderBy("k")
-    opens = (F.col("cell") != F.lag("cell").over(by_k)).cast("int")
-    rows = rows.withColumn("window", F.sum(F.coalesce(opens, F.lit(0))).over(by_k))
-    left = F.row_number().over(W.partitionBy("conv_id", "window").orderBy(F.desc("k")))
-    rows = rows.withColumn("left", left).withColumn("last", F.max("window").over(W.partitionBy("conv_id")))
+    here, ago = F.col("cell"), F.lag("cell").over(by_k)
+    opens = ((F.col("k") > 1) & (here.isNull() | ago.isNull() | (here != ago))).cast("int")
+    rows = rows.withColumn("window", F.sum(opens).over(by_k))
+    from_end = W.partitionBy("conv_id", "window").orderBy(F.desc("k"))
+    rows = rows.withColumn("left", F.row_number().over(from_end)).withColumn("tail", F.sum("tokens").over(from_end))
+    rows = rows.withColumn("last", F.max("window").over(W.partitionBy("conv_id")))
     # A turn goes to its own window, and as history to the next; the system turn goes to all.
     # 0 = system, 1 = history, 2 = own.
     system = (F.col("k") == 1) & (F.col("role") == "system")
@@ -70,11 +87,11 @@ def windows(turns: DataFrame, step: int = 1024, history: int = 2) -> DataFrame:
     copies = (
         F.when(F.col("last") == 0, own)
         .when(system, F.concat(own, everywhere))
-        .when((F.col("left") <= history) & (F.col("window") < F.col("last")), F.concat(own, F.array(nxt)))
+        .when((F.col("left") <= history) & (F.col("tail") <= budget // 4) & (F.col("window") < F.col("last")), F.concat(own, F.array(nxt)))
         .otherwise(own)
     )
     body = escape(F.col("text"))
-    head = F.concat(F.lit(START), _literal(escape(F.col("role")), "\n", "\\\n"), F.lit("\n"))
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     rows = rows.select(
         "conv_id", "k", head.alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("target"), F.explode(copies).alias("copy")
     )
@@ -112,14 +129,13 @@ def read_back(formatted: Column) -> Column:
     """The turns of a formatted window: array of (role, text), unescaped."""
     parts = F.split(formatted, r"<\|im_start\|>")
     parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    head = r"(?s)^((?:[^\\\n]|\\.)*)\n"
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            unescape(F.regexp_extract(p, head, 1)).alias("role"),
-            unescape(F.regexp_replace(F.regexp_replace(p, head, ""), r"<\|im_end\|>\n$", "")).alias("text"),
-        ),
-    )
+
+    def turn(p: Column) -> Column:
+        role = F.substring_index(p, "\n", 1)
+        at = F.char_length(role) + 2
+        return F.struct(unescape(role).alias("role"), unescape(p.substr(at, F.char_length(p) - at - len(END))).alias("text"))
+
+    return F.transform(parts, turn)
 
 
 def digest(formatted: DataFrame) -> DataFrame:

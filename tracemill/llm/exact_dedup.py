@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .common import scratch, text_of
+from .common import drop_scratch, scratch, text_of
+from .graph import join_groups
+
 
 def digest(text: Column) -> Column:
     return F.sha2(text_of(text).cast("binary"), 256)
@@ -52,20 +54,6 @@ def _groups(maybe: DataFrame) -> DataFrame:
     )
 
 
-def _join_groups(maybe: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
-    """Left join by digest; groups with over a thousandth of all rows, at most 1000, are broadcast.
-
-    The hot digests so never meet in one task, whatever share of the rows they hold.
-    """
-    hot = F.col("group_size") > F.lit(max(1, rows // 1000))
-    heavy = F.broadcast(groups.filter(hot))
-    names = ["keep_id", "group_size", "n_keep"]
-    first = maybe.join(heavy, "text_sha256", "left")
-    found = first.filter(F.col("group_size").isNotNull())
-    light = first.filter(F.col("group_size").isNull()).drop(*names).join(groups.filter(~hot), "text_sha256", "left")
-    return found.unionByName(light)
-
-
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = _digests(docs, id_col, text_col)
@@ -75,7 +63,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     single = probed.filter(~F.col("_maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    joined = _join_groups(maybe, scratch(_groups(maybe), "groups"), repeats.rows)
+    joined = join_groups(maybe, scratch(_groups(maybe), "groups"), ["text_sha256"], "group_size", repeats.rows)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return single.unionByName(
         joined.select(
@@ -89,16 +77,30 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns and one row for each text."""
+    """The rows of ``docs`` that stay, with all their columns and one row for each text.
+
+    Groups are settled on short rows of digest and id. Texts of possible repeats then meet the decision on
+    their digest and id together, so copies of one text spread over all tasks.
+    """
     digests = _digests(docs, id_col, text_col)
     repeats = PossibleRepeats(digests)
-    maybe_small = repeats.probe(digests).filter("_maybe").drop("_maybe")
-    groups = scratch(_groups(maybe_small), "groups")
+    maybe = repeats.probe(digests).filter("_maybe").drop("_maybe")
+    ids = maybe.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = scratch(_groups(maybe), "groups")
+    known = join_groups(ids, groups, ["text_sha256"], "group_size", repeats.rows).filter("group_size is not null")
+    known = scratch(
+        known.select(
+            F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_keep"), (F.col("n") > 1).alias("_twice")
+        ),
+        "known",
+    )
+    drop_scratch(groups, digests)
+    # Packed, so columns of any name are safe.
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"))
     probed = repeats.probe(packed)
-    joined = _join_groups(probed.filter("_maybe").drop("_maybe"), groups, repeats.rows)
-    stays = joined.filter(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    twice = F.coalesce(F.col("n_keep"), F.lit(1)) > 1
+    found = probed.filter("_maybe").join(known, (F.col("text_sha256") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    stays = found.filter(F.coalesce("_keep", F.lit(True)))
+    twice = F.coalesce("_twice", F.lit(False))
     return (
         probed.filter(~F.col("_maybe"))
         .select("row.*")

@@ -41,8 +41,9 @@ def components(links: DataFrame) -> DataFrame:
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Left join of ``rows`` with one row per group.
 
-    Groups whose ``size`` (a count of ``rows``) is over a thousandth of ``total`` are at most 1000,
-    so they are broadcast and their rows never meet in one task.
+    Groups whose ``size`` (a count of ``rows``) is over a thousandth of ``total`` are at most 1000 for each
+    time ``total`` goes into the rows, so they are broadcast and their rows never meet in one task. What is left of a
+    smaller group is a shuffle partition's worth, and adaptive execution splits it should it be more.
     """
     hot = F.col(size) > F.lit(max(1, total // 1000))
     rest = [c for c in groups.columns if c not in keys]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -52,20 +53,46 @@ def slices(run: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return (run[stop] - run[start]) * powers(_room(len(run)), True)[start]
 
 
+#: A-Z in lower case, all other bytes as they are.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LONG = 256  # words of more bytes are hashed one by one
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of each word of the texts, A-Z lower-cased, split at white space."""
-    data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    space = SPACE[data]
+def hash_slices(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:stop] for each pair.
+
+    Eight bytes at a time go through a bijection, so slices of one length up to 8 never collide and no
+    structure of the text can make longer ones collide; slices over ``LONG`` bytes take BLAKE2b.
+    """
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    size = stop - start
+    h = mix(size.astype(np.uint64) * salt(3) + salt(5))
+    many = np.flatnonzero(size > LONG)
+    at = np.flatnonzero((size > 0) & (size <= LONG))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        chunk = eight[start[at] + done]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h[at] = mix((h[at] ^ chunk) * BASE + salt(7))
+        done += 8
+        at = at[left > 8]
+    for i in many:
+        h[i] = int.from_bytes(blake2b(data[start[i] : stop[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def words(texts: list[bytes], letters: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of each word of the texts, their bytes replaced by ``letters``, split at white space."""
+    data = (b"\n".join(texts) + b"\n").translate(letters)
+    space = SPACE[np.frombuffer(data, np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return mix(slices(prefix(data), start, stop)), np.searchsorted(ends, start, side="right")
+    return hash_slices(data, start, stop), np.searchsorted(ends, start, side="right")
 
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .hashing import mix, prefix, salt, slices
+from .hashing import mix, salt, words
 
 WIDTH = 5
 BATCH = 1 << 20
@@ -51,20 +51,12 @@ TEMPLATES = [
 ]
 
 #: Letters and digits in lower case, bytes of other scripts as they are, everything else a space.
-LETTERS = np.full(256, 32, np.uint8)
-LETTERS[128:] = np.arange(128, 256)
-for _a, _z in ((48, 57), (97, 122)):
-    LETTERS[_a : _z + 1] = np.arange(_a, _z + 1)
-LETTERS[65:91] = np.arange(97, 123)
+LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, word number) of every shingle, in order."""
-    data = LETTERS[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], data == 32]).astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    h = mix(slices(prefix(data), start, stop))
-    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    h, doc = words(texts, LETTERS)
     n = len(h) - WIDTH + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
@@ -72,7 +64,8 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.zeros(n, np.uint64)
     for i in range(WIDTH):
         out = mix(out * salt(1) + h[i : n + i] + np.uint64(i + 1))
-    number = np.arange(n) - (np.cumsum(np.bincount(doc, minlength=len(texts))) - np.bincount(doc, minlength=len(texts)))[doc[:n]]
+    many = np.bincount(doc, minlength=len(texts))
+    number = np.arange(n) - (np.cumsum(many) - many)[doc[:n]]
     whole = doc[WIDTH - 1 :] == doc[:n]
     return out[whole], doc[:n][whole], number[whole]
 

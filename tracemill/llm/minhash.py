@@ -6,7 +6,8 @@ everything to bin i, so every coordinate is filled. Two sketches agree in a coor
 probability equal to the Jaccard similarity, and the mean over coordinates concentrates.
 ``bands`` x ``rows`` coordinates are hashed into band keys; documents that share one are candidates.
 
-Documents with equal shingle sets are one class, stood for by its smallest id. The smallest id of a
+Words are hashed eight bytes at a time by bijections, so shingle sets are sets of 64-bit hashes that no
+structure of a text makes collide. Documents with equal shingle sets are one class, stood for by its smallest id. The smallest id of a
 bucket is its hub, and all members of the hub's buckets are its members. Members are first
 verified against their hub, on the full sets. Those not connected to it by then are verified
 against all other members of the hub, in pairs of blocks of ``block`` documents: a task counts the
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .common import scratch, text_of
+from .common import drop_scratch, scratch, text_of
 from .graph import components, join_groups, local_roots
 from .hashing import mix, salt, shingles
 
@@ -119,13 +120,20 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    An ``a`` with many partners is dealt to several tasks, about ``block`` partners each.
+    """
+    many = scratch(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many")), "partners")
+    parts = F.ceil(F.col("many") / block).cast("int")
+    dealt = join_groups(pairs, many, ["a"], "many", pairs.count()).withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("many")
     left = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = many.join(right, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "b").join(right, "a").filter(both * 100 >= union * percent).select("a", "b")
+    return dealt.join(left, "b").join(right, ["a", "part"]).filter(both * 100 >= union * percent).select("a", "b")
 
 
 def _compare(percent: int):
@@ -167,10 +175,9 @@ def _compare(percent: int):
 
 def _blocks(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """The members (hub, rep, apart) of each hub as pairs of blocks: those apart against all."""
-    sized = members.groupBy("hub").agg(
-        F.ceil(F.count(F.when(F.col("apart"), 1)) / block).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cols")
-    )
-    dealt = members.join(sized, "hub").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    sized = members.groupBy("hub").agg(F.count(F.lit(1)).alias("many"), F.ceil(F.count(F.when(F.col("apart"), 1)) / block).cast("int").alias("rows"))
+    sized = scratch(sized.withColumn("cols", F.ceil(F.col("many") / block).cast("int")), "sized")
+    dealt = join_groups(members, sized, ["hub"], "many", members.count()).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     number = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.filter("apart").select("hub", number("rows").alias("i"), every("cols").alias("j"), F.lit(0).alias("side"), "rep", "shingles")
@@ -191,9 +198,10 @@ def near_duplicates(
     )
     entry = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("h")).filter("m > 1")
-    shared = shared.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
+    shared = scratch(shared.select("key", "m", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "shared")
     # Each bucket is known by its hub from here on: the pairs of a bucket are pairs of its hub's members.
-    members = scratch(entry.join(shared, "key").select("hub", "hub_n", "rep", "n").distinct(), "members")
+    met = join_groups(entry, shared, ["key"], "m", classes.count()).filter("hub is not null")
+    members = scratch(met.select("hub", "hub_n", "rep", "n").distinct(), "members")
     # Texts of the few documents with candidates; the others are told by the filter and not moved.
     involved = scratch(members.select(F.col("rep").alias("doc_id")).distinct(), "involved")
     known_ids = Bloom(involved.select(F.col("doc_id").alias("key")), involved.count())
@@ -203,7 +211,7 @@ def near_duplicates(
     # Every member against its hub.
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     to_hub = members.filter(fits & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = scratch(verified(to_hub, sets, percent), "links")
+    links = scratch(verified(to_hub, sets, percent, block), "links")
     label = scratch(components(links), "components")
 
     # Members still apart from their hub against all its members.
@@ -214,9 +222,11 @@ def near_duplicates(
     open_ = now.filter("apart").select("hub").distinct()
     blocks = _blocks(now.join(open_, "hub", "left_semi"), sets, block)
     more = scratch(blocks.groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long"), "links")
-    label = scratch(components(links.unionByName(more)), "components")
+    first, label = label, scratch(components(links.unionByName(more)), "components")
     found = classes.select("k1", "k2", "n_shingles", "rep", "members").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = scratch(found.select("k1", "k2", "n_shingles", "members", F.coalesce("component", "rep").alias("component_id")), "found")
+    drop_scratch(classes, shared, members, involved, sets, links, first, now, more, label)
+    known_ids.drop()
     out = join_groups(rows_.select("doc_id", "n_shingles", "k1", "k2"), found, ["k1", "k2", "n_shingles"], "members", rows_.count())
     # Without shingles or without an id a row stands alone.
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))

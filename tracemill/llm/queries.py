@@ -115,14 +115,16 @@ ORACLE_SQL = {
     "op10_chat": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                 UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(k)),
-            a AS (SELECT *, row_number() OVER o AS k, coalesce(sum(CAST(ceil(length(text) / 4) AS BIGINT) + 4) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1024 AS cell,
-                length('<|im_start|>' || replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\' || chr(10)) || chr(10) || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|im_end|>' || chr(10)) AS chars
-                FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-            b AS (SELECT *, CASE WHEN cell <> lag(cell) OVER (PARTITION BY conv_id ORDER BY k) THEN 1 ELSE 0 END AS opens FROM a),
+            u AS (SELECT *, CAST(ceil(strlen(text) / 3) AS BIGINT) + 4 AS tokens FROM t),
+            a AS (SELECT *, row_number() OVER o AS k, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                length('<|im_start|>' || replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n') || chr(10) || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|im_end|>' || chr(10)) AS chars
+                FROM u WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+            p AS (SELECT *, CASE WHEN before // 1024 = (before + tokens - 1) // 1024 THEN before // 1024 END AS cell FROM a),
+            b AS (SELECT *, CASE WHEN k = 1 OR cell = lag(cell) OVER (PARTITION BY conv_id ORDER BY k) THEN 0 ELSE 1 END AS opens FROM p),
             c AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY k) AS win FROM b),
-            d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY k DESC) AS remaining, max(win) OVER (PARTITION BY conv_id) AS last FROM c)
+            d AS (SELECT *, row_number() OVER e AS remaining, sum(tokens) OVER e AS tail, max(win) OVER (PARTITION BY conv_id) AS last FROM c WINDOW e AS (PARTITION BY conv_id, win ORDER BY k DESC))
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
             CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(chars * CASE WHEN k = 1 AND role = 'system' THEN 1 + last WHEN remaining <= 2 AND win < last THEN 2 ELSE 1 END) AS BIGINT) AS formatted_chars FROM d GROUP BY conv_id
+            CAST(sum(chars * CASE WHEN k = 1 AND role = 'system' THEN 1 + last WHEN remaining <= 2 AND tail <= 512 AND win < last THEN 2 ELSE 1 END) AS BIGINT) AS formatted_chars FROM d GROUP BY conv_id
     """,
 }
