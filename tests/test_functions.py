@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import pytest
@@ -131,17 +132,130 @@ def test_ucb_and_back_propagation(spark):
     assert {r["nid"]: r["value"] for r in tree.back_propagate(node, "comp").collect()}[0] == pytest.approx(0.375)
 
 
+def chain_tree(spark, depth):
+    """A chain with a leaf beside each node."""
+    rows = [(1, 0, None, 0, 0.0, 1, "r")]
+    for k in range(depth):
+        rows += [(1, 2 * k + 1, 2 * k - 1 if k else 0, k + 1, 0.5, 1, f"s{k}"), (1, 2 * k + 2, 2 * k - 1 if k else 0, k + 1, 1.0, 1, f"t{k}")]
+    return spark.createDataFrame(rows, "tree_id int, nid int, pid int, depth int, v double, n int, step string")
+
+
+@pytest.mark.parametrize("depth", [1, 3, 8, 60])
+def test_walks_of_deep_trees(spark, depth):
+    node = chain_tree(spark, depth)
+    values = {0: None}
+    for k in range(depth - 1, -1, -1):
+        below = values.get(2 * k + 1, 0.5)
+        values[2 * k - 1 if k else 0] = (below + 1.0) / 2
+    got = {r["nid"]: r["value"] for r in tree.back_propagate(node).collect()}
+    assert got[0] == pytest.approx(values[0]) and len(got) == 2 * depth + 1
+    lines = {r["nid"]: [x["step"] for x in r["path"]] for r in tree.paths(node, ["step"]).collect()}
+    assert lines[2 * depth] == ["r", *[f"s{k}" for k in range(depth - 1)], f"t{depth - 1}"]
+    assert tree.ancestors(node, ["v"]).filter(f"nid = {2 * depth}").count() == depth + 1
+    text = tree.back_propagate(node)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LogicalRDD") + text.count("LocalRelation") == 1 and "Join" not in text
+
+
+def test_trees_with_odd_nodes(spark):
+    columns = "tree_id int, nid int, pid int, depth int, v double, n int, step string"
+    rows = [(1, 0, None, 0, 0.2, 0, "r"), (1, 1, 0, 1, None, None, None), (1, 2, 0, 1, 1.0, 0, "a"), (2, 5, 9, 1, 0.4, 1, "lost")]
+    node = spark.createDataFrame(rows, columns)
+    assert {(r["tree_id"], r["nid"]): r["value"] for r in tree.back_propagate(node).collect()} == {(1, 0): 0.2, (1, 1): None, (1, 2): 1.0, (2, 5): 0.4}
+    assert tree.ancestors(node, []).count() == 6
+    assert tree.back_propagate(node.filter("nid < 0")).count() == 0 and tree.paths(node.filter("nid < 0"), ["v"]).count() == 0
+
+
+def test_nodes_of_one_text_are_one(spark):
+    """A repeated sibling is not walked into; a finished child of a walked node counts even if repeated."""
+    columns = "tree_id int, nid int, pid int, depth int, type string, v double, n int, step string"
+    rows = [
+        (1, 0, None, 0, "Root", 0.5, 1, "r"), (1, 1, 0, 1, "Reason", 0.9, 1, "a"), (1, 2, 0, 1, "Reason", 0.1, 1, "a"), (1, 3, 0, 1, "Reason", 0.5, 1, "b"),
+        (1, 4, 1, 2, "Finish", 1.0, 1, "x"), (1, 5, 1, 2, "Finish", 1.0, 1, "x"), (1, 6, 2, 2, "Finish", 0.0, 1, "y"), (1, 7, 3, 2, "Finish", 0.0, 1, "z"), (1, 8, 3, 2, "Reason", 1.0, 1, "w"),
+    ]
+    node = spark.createDataFrame(rows, columns)
+    first = {r["nid"] for r in tree.walked(node).filter("first").collect()}
+    assert first == {0, 1, 3, 4, 7, 8}
+    level = {(r["chosen"], r["rejected"]) for r in D.level_pairs(node, 0.8).collect()}
+    assert level == {(4, 7)}
+    assert {(r["chosen"], r["rejected"]) for r in D.finish_pairs(node, 0.8).collect()} == {(5, 7)}
+
+
 def test_search_properties():
-    found = search.Search("p", "A", search.HashModel(), search.Config(max_nodes=30)).run()
+    config = search.Config(max_nodes=30)
+    found = search.Search("p", "A", search.HashModel(), config).run()
     nodes = list(found.root.walk())
     assert len(nodes) == found.count
-    assert found.root.visits == sum(n.visits for n in found.root.children)
+    assert found.root.visits >= len(found.root.children)
     assert all(0 <= n.value <= 1 for n in nodes)
-    again = search.Search("p", "A", search.HashModel(), search.Config(max_nodes=30)).run()
+    assert all(n.children or n.kind == "Finish" for n in nodes)
+    again = search.Search("p", "A", search.HashModel(), config).run()
     assert [n.text for n in again.root.walk()] == [n.text for n in nodes]
     assert search.Search("w " * 9000, "A", search.HashModel(), search.Config()).run() is None
 
 
+def grown(problem="B x slow", **changes):
+    return search.Search(problem, "B", search.ScriptModel(), dataclasses.replace(search.PIPELINE, **changes))
+
+
+def test_answers_of_several_steps_become_nodes():
+    s = grown()
+    s.root.visits, s.root.value = 1, 0.25
+    last = s.answer_nodes(s.root, "First. Step 1: Second. Step 2: Third. The answer is B. The answer is C.")
+    assert [n.text for n in s.root.walk()][1:] == ["First.", "Second.", "Third. The answer is B."]
+    assert [n.kind for n in s.root.walk()][1:] == ["Reason", "Reason", "Finish"]
+    assert (last.correct, last.completed, s.budget) == (True, True, 62)
+    other = s.answer_nodes(s.root, "Step 1: no end. Step 2: none")
+    assert (other.kind, other.text) == ("Reason", "")
+
+
+def test_what_becomes_of_steps():
+    s = grown(actions=("Reason", "Finish", "Reflect"))
+    low = s.add(s.root, "Finish", "The answer is C.")
+    s.score(low)
+    assert (low.kind, low.value, low.completed) == ("Reason", 0.0, False)  # low finished nodes are opened again
+    said = grown("B x sure")
+    said.model = type("Telling", (search.ScriptModel,), {"generate": lambda *a: ["So. The answer is B."] * a[-1]})()
+    said.expand(said.root)
+    assert {n.kind for n in said.root.children} == {"Finish"}  # a step that answers is finished
+
+
+def test_a_search_without_gold_answers():
+    s = search.Search("B x long", "", search.HashModel(), dataclasses.replace(search.PIPELINE, value_model=True, training=False, correct_nodes=None)).run()
+    nodes = list(s.root.walk())
+    assert not any(n.correct for n in nodes) and all(n.sim is None for n in nodes)
+    a, b = s.root.children[:2]
+    a.trajectory, a.completed, b.completed = [0.5, 0.5], False, False
+    a.kind = b.kind = "Reason"
+    assert s.priority(a, s.root) == pytest.approx(0.25 + 2 * math.sqrt(math.log(s.root.visits) / a.visits))
+    changing = dataclasses.replace(s.config, constant=lambda parent, child: 0.0)
+    s.config = changing
+    assert s.priority(a, s.root) == pytest.approx(0.25)
+
+
+def test_leaves_are_closed():
+    assert all(n.kind == "Finish" for n in grown().run().leaves())
+    some = grown("B x long").run()
+    assert sum(n.kind != "Finish" for n in some.leaves()) == 1  # six right answers, the rest stays open
+    every = grown("B x long", finish_uncompleted=True).run()
+    assert all(n.kind == "Finish" for n in every.leaves())
+
+
+def test_search_table_equals_searches_alone(spark):
+    problems = [(str(i), f"B {i} {k}", "B") for i, k in enumerate(("sure", "lost", "long", "slow", "drawn", ""))]
+    df = spark.createDataFrame(problems, "id string, question string, answer string")
+    for model in (search.ScriptModel(), search.HashModel()):
+        got = sorted(tuple(r) for r in search.tree_search(df, model).collect())
+        assert got == sorted(r for p in problems for r in search.rows_of(*p, model, search.PIPELINE))
+
+
+def test_actions():
+    model = type("Saying", (search.ScriptModel,), {"generate": lambda *a: ["x\n\nPlan 1: 1. a\n\nStep 3: b"] * a[-1]})()
+    known = {n: f for kind in search.ACTIONS.values() for n, f in kind.items()}
+    assert set(known) == {"Reason", "Finish", "Reflect", "Think", "Refine", "Simulation", "Decompose"}
+    assert known["Reflect"](model, "p", [], 2) == ["But wait, x\n\nPlan 1: 1. a"] * 2
+    assert known["Decompose"](model, "p", [], 2) == [T.PLAN_LEAD + "1. a"]
+
+
 def test_python_functions():
     assert P.boxed_all("\\boxed{a{b}c} \\boxed{d") == ["a{b}c"]
     assert P.boxed_last("boxed 5$ x") == "5"
@@ -159,8 +273,63 @@ def test_python_functions():
     assert P.calculator_correct("N/A", "x", 2, "4", "6") == 0
     assert P.lcs_recall("a b c", "a c d") == pytest.approx(2 / 3)
     assert P.lcs_recall("", "a") == 0
-    assert P.clean_answer("math", ("The answer is",), "The answer is \\boxed{7}.") == "7"
-    assert P.clean_answer("theoremqa", ("The answer is",), "The answer is x = 1/4.") == "0.25"
+    assert P.raw_answer("theoremqa", ("The answer is",), "The answer is x = 1/4.") == "0.25"
+    assert P.raw_answer("numglue", ("The answer is",), "The answer is 3/4 or 1.50") == "0.75"
+    assert [P.trimmed(n) for n in ("007", "-0", "2.50", "1/8", "12/", "1000000000000000.0")] == ["7", "0", "2.5", "0.125", "12/", "1000000000000000"]
+    with pytest.raises(ValueError, match="unknown data set"):
+        P.readers_of("what")
+    assert P.calculator_answer("str(round(2 * (3 + 4)", 2) == "14"
+    assert P.calculator_answer("str(3 * 2) # why", 2) == "6"
+    assert P.calculator_answer("53.1%", 2) == "0.531"
+    assert P.calculator_answer("['5 weeks', '3 days']", 69) == "(5, 3)"
+    assert P.calculator_answer("1/2/2024", 13) == "01/02/2024"
+    with pytest.raises(NotImplementedError):
+        M.program_correct("print(1)")
+
+
+@pytest.mark.parametrize(
+    ("name", "said", "answer"),
+    [
+        ("math", "The answer is \\boxed{7}.", "7"),
+        ("math", "The answer is \\boxed{\\dfrac12}.", "\\frac{1}{2}"),
+        ("math", "The answer is x = 3 cm", "3"),
+        ("math", "one 2 or .5", "0.5"),
+        ("gsm8k", "The answer is 007.", "7"),
+        ("gsm8k", "3 and 4", "4"),
+        ("mmlu", "The answer is (C) or (D).", "C"),
+        ("mmlu", "maybe c or D", "D"),
+        ("gpqa_diamond", "The answer is E", "E"),
+        ("bbh_x", "The answer is so/", "so"),
+        ("math", None, None),
+    ],
+)
+def test_clean_answer(spark, name, said, answer):
+    assert one(spark, said, lambda c: P.clean_answer(c, name)) == answer
+
+
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [
+        ("a\n\nb. The answer is C.", "But wait, a\n\nb. The answer is C."),
+        ("a\n\nStep 4: b", "But wait, a"),
+        ("a\nStep 4\n\n<step>c\n\n<problem>d", "But wait, a\nStep 4"),
+        (None, None),
+    ],
+)
+def test_reflection(spark, text, kept):
+    assert one(spark, text, T.reflection) == kept
+
+
+def test_plans(spark):
+    lead = T.PLAN_LEAD
+    assert one(spark, "x\n\nPlan 1: 1. a\n2. b\n\nPlan 12: 1. c\n\n1. d\n\nPlan 3: none", T.plans) == [lead + "1. a\n2. b", lead + "1. d"]
+    assert one(spark, None, T.plans) is None
+
+
+def test_units(spark):
+    for text, plain in (("3\\pi", "3*3.14"), ("\\pi r", "3.14 r"), ("\\sqrt{2}π", "\\sqrt{2}π"), ("$5%", "5/100"), ("20° C", "20"), ("3ππ", "3*3.143.14")):
+        assert one(spark, text, T.clean_units) == plain
+        assert P.without_signs(text) == plain
 
 
 def test_softmax(spark):

@@ -34,7 +34,7 @@ def test_functions_take_any_text(text):
     for kind in (2, 4, 13, 69, 1):
         P.calculator_answer(text, kind)
     for name in ("gsm8k", "math", "mmlu", "gpqa", "theoremqa", "numglue", "bbh"):
-        assert isinstance(P.clean_answer(name, ("The answer is",), text), str)
+        assert isinstance(P.raw_answer(name, ("The answer is",), text), str)
 
 
 @settings(max_examples=30, deadline=None)
@@ -45,4 +45,4 @@ def test_search_always_ends(problem, children, nodes, skill):
     rows = list(found.root.walk())
     assert sorted(n.nid for n in rows) == list(range(len(rows)))
     assert all(n.visits == 0 or 0 <= n.value <= 1 for n in rows)
-    assert sum(n.kind == "Finish" for n in rows) >= 1
+    assert found.root.completed or all(n.kind == "Finish" for n in found.leaves())

@@ -252,10 +252,12 @@ Metric = Callable[[Column | str, Column | str], Column]
 
 #: Rules by data set, for scoring benchmark outputs.
 BENCH_METRICS: dict[str, Metric] = {
-    **dict.fromkeys(("MedQA", "MedMCQA", "med_mmlu", "pubmedqa", "bioasq", "pubhealth", "biomrc", "mmlu_pro", "gpqa"), multiple_choice),
+    **dict.fromkeys(("MedQA", "MedMCQA", "med_mmlu", "pubmedqa", "bioasq", "pubhealth", "biomrc", "medexpert"), multiple_choice),
     **dict.fromkeys(("healthfact", "drugdose", "ddxplus", "seer"), medical_text),
-    "rdc": mutual_substring,
+    **dict.fromkeys(("rdc", "rds"), mutual_substring),
 }
+#: A data set whose metric needs a row's calculator and limits too: :func:`calculation`.
+CALCULATION = "medcalc"
 
 #: Rules by data set, for exact-match scoring of plain outputs.
 EXACT_METRICS: dict[str, Metric] = {
@@ -269,9 +271,18 @@ EXACT_METRICS: dict[str, Metric] = {
 }
 
 
-def metric_by_name(dataset: Column | str, text: Column | str, gold: Column | str, metrics: dict[str, Metric] = BENCH_METRICS) -> Column:
-    """Each row's metric by the name of its data set; null for unknown names."""
+def metric_by_name(
+    dataset: Column | str,
+    text: Column | str,
+    gold: Column | str,
+    metrics: dict[str, Metric] = BENCH_METRICS,
+    limits: tuple[Column | str, Column | str, Column | str] | None = None,
+) -> Column:
+    """Each row's metric by the name of its data set; null for unknown names. ``limits`` are the columns of
+    calculator, lower and upper limit, without which rows of ``medcalc`` have no metric."""
     out = F.lit(None).cast("int")
+    if limits is not None and metrics is BENCH_METRICS:
+        out = F.when(col(dataset) == CALCULATION, calculation(text, gold, *limits))
     for rule in dict.fromkeys(metrics.values()):
         names = [n for n, r in metrics.items() if r is rule]
         out = F.when(col(dataset).isin(names), rule(text, gold)).otherwise(out)
@@ -301,6 +312,11 @@ def calculation(text: Column | str, gold: Column | str, calculator: Column | str
     return P.calculator_correct_udf(said, col(gold), col(calculator), col(low), col(high))
 
 
+def program_correct(*_: object) -> Column:
+    """Programs in model outputs are never run."""
+    raise NotImplementedError("metrics of programs need an isolated runner and are left out")
+
+
 def last_candidate(acc: Column, candidates: Column) -> Column:
     """The headline metric of a row with candidates is that of its last one."""
     return F.coalesce(F.try_element_at(candidates, F.lit(-1)), acc)

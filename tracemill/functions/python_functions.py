@@ -6,11 +6,15 @@ import ast
 import math
 import operator
 import re
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text
+
 # Balanced braces -----------------------------------------------------------------------------
 
 
@@ -100,13 +104,18 @@ def arithmetic(expression: str) -> float | int | bool | tuple:
     return value(ast.parse(expression.strip(), mode="eval"))
 
 
+def without_signs(text: str) -> str:
+    """:func:`text.clean_units` for a plain string."""
+    x = re.sub(r"(?<![\d}])\\?π", "3.14", text.replace("\\pi", "π"))
+    x = re.sub(r"(?<=\d)\\?π", "*3.14", x).replace("%", "/100")
+    return re.sub("°C?| C", "", re.sub("[$¥]", "", x))
+
+
 def number(text: str | None) -> float | None:
     """A number from text with units, a LaTeX fraction or arithmetic; null when it is none."""
     if text is None:
         return None
-    x = text.replace("\\pi", "π")
-    x = re.sub(r"(\d)\s*π", r"\1*3.14", x).replace("π", "3.14").replace("%", "/100")
-    x = re.sub(r"\$|¥|°C?| C", "", x)
+    x = without_signs(text)
     x = re.sub(r"\\[td]?frac\{([^{}]*)\}\{([^{}]*)\}", r"((\1)/(\2))", x)
     x = re.sub(r"\\sqrt\{([^{}]*)\}", r"sqrt(\1)", x).replace("\\times", "*").replace("\\cdot", "*").replace("^", "**")
     try:
@@ -119,7 +128,7 @@ def number(text: str | None) -> float | None:
 
 def shown(v: float) -> str:
     """Whole numbers without a point."""
-    return str(int(v)) if v == int(v) and abs(v) < 1e15 else str(v)
+    return str(int(v)) if abs(v) < 1e16 and v == int(v) else str(v)
 
 
 # Medical calculators -------------------------------------------------------------------------
@@ -133,49 +142,77 @@ DECIMAL_IDS = {2, 3, 5, 6, 7, 8, 9, 10, 11, 19, 22, 23, 24, 26, 30, 31, 38, 39,
 NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
 DATE = re.compile(r"^(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/(\d{4})")
 PAIR = re.compile(r"\(?(\d+)\s*(?:weeks?)?,?\s*(\d+)\s*(?:days?)?\s*\)?")
-UNITS = ("weight", "height", "mg/dl", "g/dl", "mmol/L", "kg", "g", "mEq/L")
+#: What a formula written by a model has instead of an operator, or too much.
+FORMULA_WORDS = {
+    "^": "**", "is odd": "% 2 == 1", "is even": "% 2 == 0",
+    "weight": "", "height": "", "mg/dl": "", "g/dl": "", "mmol/L": "", "kg": "", "g": "", "mEq/L": "",
+}
+_WORDS = re.compile("|".join(re.escape(w) for w in sorted(FORMULA_WORDS, key=len, reverse=True)))
+NONE = "N/A"
+
+
+def formula_value(inner: str) -> str:
+    """The value of a formula up to a remark, with brackets put where they lack; "N/A" if it has none."""
+    plain = _WORDS.sub(lambda m: FORMULA_WORDS[m[0]], inner).partition("#")[0]
+    lack = plain.count("(") - plain.count(")")
+    return value_of("(" * -lack + plain + ")" * lack)
+
+
+def value_of(text: str, divisor: int | None = None) -> str:
+    try:
+        v = arithmetic(text)
+        return str(v if divisor is None else v / divisor)
+    except (ValueError, SyntaxError, TypeError, ArithmeticError):
+        return NONE
+
+
+def _date(text: str) -> str | None:
+    m = DATE.search(text)
+    return m and f"{int(m[1]):02}/{int(m[2]):02}/{m[3]}"
+
 
+def pair_of(text: str) -> tuple[str, ...] | None:
+    """Weeks and days, in any brackets and quotes."""
+    m = PAIR.search(text.translate(str.maketrans("[]", "()", "'\"")))
+    return m and m.groups()
 
-def _written_formula(inner: str) -> str:
-    for find, put in (("^", "**"), ("is odd", "% 2 == 1"), ("is even", "% 2 == 0")):
-        inner = inner.replace(find, put)
-    for unit in UNITS:
-        inner = inner.replace(unit, "")
-    inner = inner.split("#")[0]
-    more = inner.count("(") - inner.count(")")
-    return "(" * max(0, -more) + inner + ")" * max(0, more)
+
+def _behind(pattern: str, make, last: bool = False):
+    """A reader: what ``make`` gives for the first (or last) match of the pattern."""
+    compiled = re.compile(pattern)
+
+    def read(text: str) -> str | None:
+        found = list(compiled.finditer(text))
+        return make(found[-1 if last else 0]) if found else None
+
+    return read
+
+
+#: Kinds of calculators: their numbers and the readers of an answer, of which the first that finds something counts.
+CALCULATORS = [
+    (DATE_IDS, [_date]),
+    (PAIR_IDS, [lambda text: (p := pair_of(text)) and f"({p[0]}, {p[1]})"]),
+    (INTEGER_IDS, [
+        _behind(r"(\d+) out of", lambda m: m[1]),
+        _behind(r"-?\d+(?:, ?-?\d+)+", lambda m: str(m[0].count(",") + 1)),
+        _behind(NUMBER.pattern, lambda m: m[0], last=True),
+    ]),
+    (DECIMAL_IDS, [
+        _behind(r"str\((.*)\)", lambda m: formula_value(m[1])),
+        _behind(r"(-?\d+(?:\.\d+)?)\s*mL/min/1.73", lambda m: value_of(m[1])),
+        _behind(r"(-?\d+(?:\.\d+)?)%", lambda m: value_of(m[1], 100), last=True),
+        _behind(NUMBER.pattern, lambda m: value_of(m[0].lstrip("0")), last=True),
+    ]),
+]
 
 
 def calculator_answer(text: str | None, calculator: int | None) -> str | None:
     """A calculator's answer in its canonical form, "N/A" when there is none; null for unknown ones."""
-    if text is None or calculator is None:
+    if text is None:
         return None
-    none = "N/A"
-    if calculator in DATE_IDS:
-        m = DATE.search(text)
-        return f"{int(m[1]):02}/{int(m[2]):02}/{m[3]}" if m else none
-    if calculator in PAIR_IDS:
-        m = PAIR.search(re.sub(r"['\"]", "", text.replace("[", "(").replace("]", ")")))
-        return f"({m[1]}, {m[2]})" if m else none
-    if calculator in INTEGER_IDS:
-        if m := re.search(r"(\d+) out of", text):
-            return m[1]
-        if m := re.search(r"-?\d+(?:, ?-?\d+)+", text):
-            return str(m[0].count(",") + 1)
-        found = NUMBER.findall(text)
-        return found[-1] if found else none
-    if calculator in DECIMAL_IDS:
-        try:
-            if m := re.search(r"str\((.*)\)", text):
-                return str(arithmetic(_written_formula(m[1])))
-            if m := re.search(r"(-?\d+(?:\.\d+)?)\s*mL/min/1.73", text):
-                return str(arithmetic(m[1]))
-            if found := re.findall(r"(-?\d+(?:\.\d+)?)%", text):
-                return str(arithmetic(found[-1]) / 100)
-            found = NUMBER.findall(text)
-            return str(arithmetic(found[-1].lstrip("0"))) if found else none
-        except (ValueError, SyntaxError, TypeError, ArithmeticError):
-            return none
+    for numbers, readers in CALCULATORS:
+        if calculator in numbers:
+            return next(filter(None, (read(text) for read in readers)), NONE)
     return None
 
 
@@ -186,8 +223,8 @@ def calculator_correct(answer: str | None, gold: str | None, calculator: int | N
             a, g = (DATE.search(x) for x in (answer, gold))
             return int(bool(a and g) and tuple(map(int, a.groups())) == tuple(map(int, g.groups())))
         if calculator in PAIR_IDS:
-            a, g = (PAIR.search(re.sub(r"['\"]", "", x)) for x in (answer, gold))
-            return int(bool(a and g) and tuple(map(int, a.groups())) == tuple(map(int, g.groups())))
+            a, g = pair_of(answer), pair_of(gold)
+            return int(bool(a and g) and tuple(map(int, a)) == tuple(map(int, g)))
         if calculator in INTEGER_IDS:
             return int(round(arithmetic(answer)) == arithmetic(gold))
         if calculator in DECIMAL_IDS:
@@ -250,81 +287,118 @@ def lcs_recall_udf(text: pd.Series, gold: pd.Series) -> pd.Series:
 # Answers of mathematical data sets -----------------------------------------------------------
 
 ANY_NUMBER = re.compile(r"-?\d*\.?\d+")
+WHOLE_OR_QUOTIENT = re.compile(r"-?\d+/?\.?\d*")
+
+
+@dataclass(frozen=True)
+class Said:
+    """An output's answer: its text, and whether it stands behind a trigger phrase."""
+
+    text: str
+    told: bool
 
 
-def _letters(last: str):
+def trimmed(n: str) -> str:
+    """A number without useless zeros in front or behind; a quotient as its value; others as they are."""
+    try:
+        return shown(float(n))
+    except ValueError:
+        v = number(n)
+        return n if v is None else shown(v)
+
+
+def letters(last: str):
+    """A reader of single letters from A on."""
     pattern = re.compile(rf"\b[A-{last}]\b")
-    return lambda pred, _: pattern.findall(pred.upper()) or [pred.strip().strip(".")]
+    return lambda said: pattern.findall(said.text.upper())
 
 
-def _trimmed(n: str) -> str:
-    v = number(n)
-    return n if v is None else shown(v)
+def bare(said: Said) -> list[str]:
+    return [said.text.strip().strip(".")]
 
 
-def _numbers(pred: str, _: bool) -> list[str]:
-    return [_trimmed(n) for n in re.findall(r"-?\d+/?\.?\d*", pred.replace(",", ""))]
+def figures(said: Said) -> list[str]:
+    return [trimmed(n) for n in WHOLE_OR_QUOTIENT.findall(said.text.replace(",", ""))]
 
 
-def _math(pred: str, triggered: bool) -> list[str]:
-    if "boxed" in pred:
-        return [boxed_last(pred)]
-    if triggered:
-        tail = pred.rpartition("=")[2].strip()
-        return [tail.split(" ")[0] if re.match(r"[\d.]+\s\D+$", tail) else tail]
-    return ANY_NUMBER.findall(pred)[-1:] or [""]
+def boxed(said: Said) -> list[str]:
+    return [boxed_last(said.text)] if "boxed" in said.text else []
 
 
-def _theorem(pred: str, triggered: bool) -> list[str]:
-    low = pred.lower()
-    for words, said in ((("yes", "true"), "True"), (("no", "false"), "False")):
-        if any(w in low for w in words):
-            return [said]
-    if re.search(r"\([a-f]\)", low):
-        return [pred]
-    pred = boxed_last(pred) if "boxed" in pred else pred
-    if not triggered:
-        return ANY_NUMBER.findall(pred)[-1:] or [""]
-    tail = pred.rpartition("=")[2].strip()
-    v = number(tail)
-    if v is not None:
-        return [shown(v)]
-    return [tail.split(" ")[0] if re.match(r"-?[\d.]+\s(\D+|\S+)$", tail) else tail]
+def last_number(said: Said) -> list[str]:
+    return [] if said.told else (ANY_NUMBER.findall(said.text)[-1:] or [""])
 
 
-def clean_answer(dataset: str, triggers: tuple[str, ...], pred: str | None) -> str | None:
-    """The answer of a data set's output: the first found behind a trigger phrase, else the last."""
-    if pred is None:
-        return None
-    pred = pred.strip("\n")
-    if any(pred.count(t) > 1 for t in triggers):
-        pred = pred.split("\n\n")[0]
-    parts = re.split("|".join(triggers), pred) if triggers else [pred]
-    triggered = len(parts) > 1
-    pred = parts[-1].strip("\n").rstrip(".").rstrip("/").strip(" ")
-    if dataset in ("aqua", "sat", "arc") or "mmlu" in dataset:
-        found = _letters("J")(pred, triggered)
-    elif dataset == "numglue":
-        found = re.findall(r"\b[AB]\b", pred.upper()) or _numbers(pred, triggered)
-    elif dataset in ("gsm8k", "svamp", "deepmind", "simuleq"):
-        found = _numbers(pred, triggered)
-    elif dataset == "math":
-        found = _math(pred, triggered)
-    elif "gpqa" in dataset:
-        found = _letters("D")(pred, triggered)
-    elif dataset == "theoremqa":
-        found = _theorem(pred, triggered)
-    elif "bbh" in dataset:
-        found = [pred]
-    else:
+def side_without_unit(said: Said) -> list[str]:
+    """What is behind the last equals sign, without a unit behind a number."""
+    side = said.text.rpartition("=")[2].strip()
+    return [re.sub(r"^([\d.]+)\s\D+$", r"\1", side)]
+
+
+def truth(said: Said) -> list[str]:
+    low = said.text.lower()
+    words = {"True": ("yes", "true"), "False": ("no", "false")}
+    return [name for name, ws in words.items() if any(w in low for w in ws)][:1]
+
+
+def lettered(said: Said) -> list[str]:
+    return [said.text] if re.search(r"\([a-f]\)", said.text.lower()) else []
+
+
+def theorem_value(said: Said) -> list[str]:
+    """The value of the side behind the last equals sign, or that side without a unit."""
+    inner = boxed(said) or [said.text]
+    if not said.told:
+        return last_number(Said(inner[0], False))
+    side = without_signs(inner[0].rpartition("=")[2].strip())
+    v = number(side)
+    return [re.sub(r"^(-?[\d.]+)\s(?:\D+|\S+)$", r"\1", side) if v is None else shown(v)]
+
+
+#: Readers of the answers of data sets, in the order they are tried; names that others contain stand last.
+READERS = {
+    **dict.fromkeys(("aqua", "sat", "arc"), [letters("J"), bare]),
+    "numglue": [letters("B"), figures],
+    **dict.fromkeys(("gsm8k", "svamp", "deepmind", "simuleq"), [figures]),
+    "math": [boxed, last_number, side_without_unit],
+    "theoremqa": [truth, lettered, theorem_value],
+}
+READERS_BY_PART = {"mmlu": [letters("J"), bare], "gpqa": [letters("D"), bare], "bbh": [lambda said: [said.text]]}
+
+
+def readers_of(dataset: str) -> list:
+    found = READERS.get(dataset) or next((r for name, r in READERS_BY_PART.items() if name in dataset), None)
+    if found is None:
         raise ValueError(f"unknown data set {dataset}")
-    if not found:
-        return ""
-    return found[0 if triggered else -1].rstrip(".").rstrip("/")
+    return found
+
+
+def said_in(pred: str, triggers: tuple[str, ...]) -> Said:
+    """The text behind the last trigger phrase. Outputs that repeat a phrase go on with questions of their own, so
+    their first paragraph counts."""
+    text = pred.strip("\n")
+    if any(text.count(t) > 1 for t in triggers):
+        text = text.partition("\n\n")[0]
+    *before, last = re.split("|".join(triggers), text) if triggers else [text]
+    return Said(last.strip("\n").rstrip(".").rstrip("/").strip(" "), bool(before))
 
 
-def clean_answer_udf(dataset: str, triggers: tuple[str, ...] = ("The answer is", "the answer is")):
-    return _lift(T.StringType(), lambda t: clean_answer(dataset, triggers, t))
+def raw_answer(dataset: str, triggers: tuple[str, ...], pred: str | None) -> str | None:
+    """The first answer found behind a trigger phrase, the last one found without."""
+    if pred is None:
+        return None
+    said = said_in(pred, triggers)
+    found: list[str] = next(filter(None, (read(said) for read in readers_of(dataset))), [""])
+    return found[0 if said.told else -1]
+
+
+def clean_answer(c: Column | str, dataset: str, triggers: tuple[str, ...] = ("The answer is", "the answer is")) -> Column:
+    """The answer of a data set's output; of ``math`` in one LaTeX spelling."""
+    readers_of(dataset)
+    raw = _lift(T.StringType(), lambda t: raw_answer(dataset, triggers, t))(F.col(c) if isinstance(c, str) else c)
+    if dataset == "math":
+        raw = text.latex(raw)
+    return text.strip_right(text.strip_right(raw, "."), "/")
 
 
 def svamp_correct(text: str | None, gold: float | None) -> float | None:

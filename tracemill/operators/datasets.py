@@ -52,14 +52,16 @@ def learn_advantage(steps: DataFrame) -> DataFrame:
 # Preference pairs ----------------------------------------------------------------------------
 
 
-def level_pairs(node: DataFrame, gap: float = 0.8) -> DataFrame:
+def level_pairs(node: DataFrame, gap: float = 0.8, text: str = "step") -> DataFrame:
     """(tree_id, chosen, rejected, finished): nodes of one level under different parents that have
-    other children too, whose values differ by more than ``gap``. An equi-join on tree and level."""
+    other children too, whose values differ by more than ``gap``. Nodes of one path text count as the first of them. An
+    equi-join on tree and level."""
     kids = node.filter("pid is not null").groupBy("tree_id", F.col("pid")).agg(F.count(F.lit(1)).alias("_kids")).filter("_kids > 1")
     leaf = tree.leaves(node).select("tree_id", "nid", F.lit(True).alias("_leaf"))
-    some = node.join(kids.select("tree_id", "pid"), ["tree_id", "pid"], "left_semi").join(leaf, ["tree_id", "nid"], "left")
-    side = lambda p: some.select("tree_id", "depth", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "pid", "v")], F.coalesce("_leaf", F.lit(False)).alias(f"{p}_leaf"))
-    near = (F.col("a_nid") < F.col("b_nid")) & (F.col("a_pid") != F.col("b_pid")) & (F.abs(F.col("a_v") - F.col("b_v")) > gap)
+    known = tree.walked(node, text).filter("first").select("tree_id", "nid", "parent_path")
+    some = node.join(known, ["tree_id", "nid"]).join(kids.select("tree_id", "pid"), ["tree_id", "pid"], "left_semi").join(leaf, ["tree_id", "nid"], "left")
+    side = lambda p: some.select("tree_id", "depth", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "parent_path", "v")], F.coalesce("_leaf", F.lit(False)).alias(f"{p}_leaf"))
+    near = (F.col("a_nid") < F.col("b_nid")) & (F.col("a_parent_path") != F.col("b_parent_path")) & (F.abs(F.col("a_v") - F.col("b_v")) > gap)
     pairs = side("a").join(side("b"), ["tree_id", "depth"]).filter(near)
     up = F.col("a_v") > F.col("b_v")
     return pairs.select(
@@ -70,14 +72,15 @@ def level_pairs(node: DataFrame, gap: float = 0.8) -> DataFrame:
     )
 
 
-def finish_pairs(node: DataFrame, gap: float = 0.8) -> DataFrame:
-    """(tree_id, chosen, rejected): leaves of value 1 against leaves of value 0 whose path minima
-    differ by more than ``gap``, unless :func:`level_pairs` has them."""
-    ends = tree.leaves(node).select("tree_id", "nid", "v").join(tree.path_min(node), ["tree_id", "nid"])
+def finish_pairs(node: DataFrame, gap: float = 0.8, text: str = "step") -> DataFrame:
+    """(tree_id, chosen, rejected): nodes of type Finish with value 1 against those with value 0 whose path
+    minima differ by more than ``gap``, unless :func:`level_pairs` has them as leaves."""
+    met = tree.walked(node, text).filter("under_first").select("tree_id", "nid")
+    ends = node.filter("type = 'Finish'").select("tree_id", "nid", "v").join(met, ["tree_id", "nid"], "left_semi").join(tree.path_min(node), ["tree_id", "nid"])
     good = ends.filter("v = 1").select("tree_id", F.col("nid").alias("chosen"), F.col("value").alias("_c"))
     bad = ends.filter("v = 0").select("tree_id", F.col("nid").alias("rejected"), F.col("value").alias("_r"))
     pairs = good.join(bad, "tree_id").filter(F.col("_c") - F.col("_r") > gap).select("tree_id", "chosen", "rejected")
-    known = level_pairs(node, gap).select("tree_id", "chosen", "rejected")
+    known = level_pairs(node, gap, text).filter("finished").select("tree_id", "chosen", "rejected")
     return pairs.join(known, ["tree_id", "chosen", "rejected"], "left_anti")
 
 

@@ -1,8 +1,9 @@
 """Analytics over search trees held as an adjacency table.
 
 ``node(tree_id, nid, pid, child_idx, depth, type, step, v, n, sim, completed, ...)``: the root has a
-null pid. All joins carry tree_id, so trees spread over tasks and each join is an equi-join. Walks go
-level by level: as many joins as a tree is deep.
+null pid. All joins carry tree_id, so trees spread over tasks and each join is an equi-join. Walks
+gather each tree (its node budget bounds it) into one row and fold over its nodes, parents first: one grouping
+by tree, whatever the depth.
 """
 
 from __future__ import annotations
@@ -14,10 +15,6 @@ from pyspark.sql import functions as F
 TREE = ["tree_id"]
 
 
-def max_depth_of(node: DataFrame) -> int:
-    return node.agg(F.max("depth")).first()[0] or 0
-
-
 def tree_size(node: DataFrame) -> DataFrame:
     """(tree_id, depth, nodes): deepest level and number of nodes."""
     return node.groupBy("tree_id").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes"))
@@ -29,36 +26,74 @@ def leaves(node: DataFrame) -> DataFrame:
     return node.join(parents, ["tree_id", "nid"], "left_anti")
 
 
+def packed(node: DataFrame, columns: list[str]) -> DataFrame:
+    """(tree_id, nodes, up): each tree's structs of nid and ``columns``, parents before children, and
+    for each the position of its parent (-1 for roots)."""
+    row = F.struct("depth", "nid", "pid", *[F.col(c).alias(f"c_{c}") for c in columns])
+    trees = node.groupBy("tree_id").agg(F.array_sort(F.collect_list(row)).alias("nodes"))
+    nids = F.col("nodes.nid")
+    up = F.transform("nodes", lambda x: F.coalesce(F.array_position(nids, x["pid"]).cast("int") - 1, F.lit(-1)))
+    # A value of its own, so what reads it does not compute it anew for each node.
+    return trees.select("tree_id", F.explode(F.array(F.struct("nodes", up.alias("up")))).alias("t")).select("tree_id", "t.nodes", "t.up")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` and a column computed once per row."""
+    return df.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias("_o")).withColumn(name, F.col("_o.v")).drop("_o")
+
+
+def lineages(node: DataFrame, columns: list[str]) -> DataFrame:
+    """:func:`packed` with ``lines``: for each node the positions from the root down to itself."""
+    empty = F.array().cast("array<array<int>>")
+    add = lambda done, i: F.concat(done, F.array(F.concat(F.coalesce(F.get(done, F.get("up", i)), F.array().cast("array<int>")), F.array(i))))
+    return _once(packed(node, columns), "lines", F.aggregate(F.sequence(F.lit(0), F.size("nodes") - 1), empty, add))
+
+
 def ancestors(node: DataFrame, columns: list[str]) -> DataFrame:
     """(tree_id, nid, anc, up, columns of the ancestor): every node with itself (up 0) and all nodes
     above it."""
-    links = node.select("tree_id", F.col("nid").alias("anc"), F.col("pid").alias("_up"), *columns)
-    level = node.select("tree_id", "nid", F.col("nid").alias("anc"), F.lit(0).alias("up")).join(links, ["tree_id", "anc"])
-    out = level
-    for k in range(1, max_depth_of(node) + 1):
-        level = level.filter("_up is not null").select("tree_id", "nid", F.col("_up").alias("anc"), F.lit(k).alias("up")).join(links, ["tree_id", "anc"])
-        out = out.unionByName(level)
-    return out.drop("_up")
+    every = lineages(node, columns).select("tree_id", "nodes", F.posexplode("lines").alias("at", "line"))
+    pairs = every.select("tree_id", "nodes", "at", F.size("line").alias("_n"), F.posexplode("line").alias("k", "p"))
+    above = F.get("nodes", F.col("p"))
+    return pairs.select(
+        "tree_id", F.get("nodes", F.col("at"))["nid"].alias("nid"), above["nid"].alias("anc"), (F.col("_n") - 1 - F.col("k")).alias("up"), *[above[f"c_{c}"].alias(c) for c in columns]
+    )
 
 
 def paths(node: DataFrame, columns: list[str]) -> DataFrame:
     """(tree_id, nid, path): the root-first array of structs of ``columns`` for each node."""
-    steps = F.struct((-F.col("up")).alias("o"), *[F.col(c) for c in columns])
-    grouped = ancestors(node, columns).groupBy("tree_id", "nid").agg(F.array_sort(F.collect_list(steps)).alias("path"))
-    return grouped.select("tree_id", "nid", F.transform("path", lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias("path"))
+    every = lineages(node, columns).select("tree_id", "nodes", F.posexplode("lines").alias("at", "line"))
+    step = lambda p: F.struct(*[F.get("nodes", p)[f"c_{c}"].alias(c) for c in columns])
+    return every.select("tree_id", F.get("nodes", F.col("at"))["nid"].alias("nid"), F.transform("line", step).alias("path"))
 
 
 def path_min(node: DataFrame) -> DataFrame:
     """(tree_id, nid, value): smallest value on the path without the root; the root has null."""
-    inner = ancestors(node, ["v", "depth"]).withColumn("v", F.when(F.col("depth") > 0, F.col("v")))
-    return inner.groupBy("tree_id", "nid").agg(F.min("v").alias("value"))
+    values = paths(node, ["v"])
+    return values.select("tree_id", "nid", F.array_min(F.slice("path.v", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))).alias("value"))
+
+
+def walked(node: DataFrame, text: str = "step") -> DataFrame:
+    """(tree_id, nid, parent_path, first, under_first): nodes with equal path texts are one in a walk by
+    levels. ``first`` marks a node whose path and all beginnings of it are met for the first time there,
+    ``under_first`` a child of such a node."""
+    trees = lineages(node, [text])
+    key = lambda line: F.to_json(F.transform(line, lambda p: F.get("nodes", p)[f"c_{text}"]))
+    trees = _once(trees, "keys", F.transform("lines", key))
+    trees = _once(trees, "own", F.transform("keys", lambda k, i: F.array_position("keys", k).cast("int") - 1 == i))
+    trees = _once(trees, "first", F.transform("lines", lambda line: F.forall(line, lambda p: F.get("own", p))))
+    every = trees.select("tree_id", "nodes", "up", "keys", "first", F.posexplode("first").alias("at", "_f"))
+    above = F.get("up", F.col("at"))
+    return every.select(
+        "tree_id", F.get("nodes", F.col("at"))["nid"].alias("nid"), F.get("keys", above).alias("parent_path"), F.col("_f").alias("first"), F.coalesce(F.get("first", above), F.lit(False)).alias("under_first")
+    )
 
 
 def diversity(node: DataFrame, trace: str = "trace") -> DataFrame:
     """(tree_id, nid, value): distinct traces in the subtree, the node's own included."""
-    under = ancestors(node, []).select("tree_id", "nid", F.col("anc"))
-    own = node.select("tree_id", "nid", F.col(trace).alias("_t"))
-    return under.join(own, ["tree_id", "nid"]).groupBy("tree_id", F.col("anc").alias("nid")).agg(F.countDistinct("_t").alias("value"))
+    every = lineages(node, [trace]).select("tree_id", "nodes", F.posexplode("lines").alias("at", "line"))
+    under = every.select("tree_id", F.get("nodes", F.col("at"))[f"c_{trace}"].alias("_t"), F.explode("line").alias("p"), "nodes")
+    return under.groupBy("tree_id", F.get("nodes", F.col("p"))["nid"].alias("nid")).agg(F.countDistinct("_t").alias("value"))
 
 
 def uncertainty(visits: Column, simulations: Column) -> Column:
@@ -124,14 +159,26 @@ def select_child(node: DataFrame, constant: float = 1.4, unvisited: float = floa
 def back_propagate(node: DataFrame, rule: str = "default") -> DataFrame:
     """(tree_id, nid, value): inner values from the leaves up, as visit-weighted means of the children;
     rule ``comp`` takes the mean of that and the node's own."""
-    values = node.select("tree_id", "nid", "pid", "depth", "n", F.col("v").cast("double").alias("value"))
-    for d in range(max_depth_of(node) - 1, -1, -1):
-        # Only this level's parents change; deeper values are final.
-        mean = F.sum(F.col("value") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))
-        up = values.filter(F.col("depth") == d + 1).groupBy("tree_id", F.col("pid").alias("nid")).agg(mean.alias("_m"))
-        new = F.when(F.col("_m").isNull(), F.col("value")).otherwise((F.col("value") + F.col("_m")) / 2 if rule == "comp" else F.col("_m"))
-        values = values.join(up, ["tree_id", "nid"], "left").withColumn("value", new).drop("_m")
-    return values.select("tree_id", "nid", "value")
+    own = node.select("tree_id", "nid", "pid", "depth", "n", F.col("v").cast("double").alias("v"))
+    trees = packed(own, ["n", "v"])
+    places = F.sequence(F.lit(0), F.size("nodes") - 1)
+    trees = _once(trees, "kids", F.transform(places, lambda i: F.filter(places, lambda j: F.get("up", j) == i)))
+    last = F.size("nodes") - 1
+
+    def add(done: Column, i: Column) -> Column:
+        """Values from the last node on: children come before their parents."""
+        at = last - i
+        kids = F.get("kids", at)
+        visits = lambda j: F.get("nodes", j)["c_n"].cast("double")
+        total = F.aggregate(kids, F.lit(0.0), lambda a, j: a + visits(j))
+        mean = F.aggregate(kids, F.lit(0.0), lambda a, j: a + F.get(done, last - j) * visits(j)) / F.nullif(total, F.lit(0.0))
+        mine = F.get("nodes", at)["c_v"]
+        new = F.when(F.size(kids) == 0, mine).when(mean.isNull(), mine).otherwise((mine + mean) / 2 if rule == "comp" else mean)
+        return F.concat(done, F.array(new))
+
+    trees = _once(trees, "values", F.reverse(F.aggregate(places, F.array().cast("array<double>"), add)))
+    pairs = trees.select("tree_id", F.explode(F.arrays_zip(F.col("nodes.nid").alias("nid"), F.col("values").alias("value"))).alias("x"))
+    return pairs.select("tree_id", "x.nid", "x.value")
 
 
 def termination(node: DataFrame, max_nodes: int, correct_nodes: int, max_depth: int, rule: str = "count") -> DataFrame:

@@ -246,10 +246,15 @@ def latex_normalize(spark, d):
     return V.table(spark, d, "part").select("p_partkey", T.latex(F.regexp_replace(text, r"\$ x", "\\$x")).alias("text"))
 
 
-@query("clean_units", "SELECT p_partkey, p_size || '/100' AS a, p_size || '*3.14' AS b FROM part")
+@query(
+    "clean_units",
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size || '/100' WHEN 1 THEN p_size || '*3.14' WHEN 2 THEN '3.14+' || p_size ELSE '}π ' || p_size END AS a FROM part""",
+)
 def clean_units(spark, d):
     s = F.col("p_size").cast("string")
-    return V.table(spark, d, "part").select("p_partkey", T.clean_units(F.concat(F.lit("$"), s, F.lit("%"))).alias("a"), T.clean_units(F.concat(s, F.lit("\\pi°C"))).alias("b"))
+    k = F.col("p_size") % 4
+    shapes = F.when(k == 0, F.concat(F.lit("$"), s, F.lit("%"))).when(k == 1, F.concat(s, F.lit("\\pi°C"))).when(k == 2, F.concat(F.lit("π+"), s, F.lit("° C")))
+    return V.table(spark, d, "part").select("p_partkey", T.clean_units(shapes.otherwise(F.concat(F.lit("}π "), s, F.lit("¥")))).alias("a"))
 
 
 @query("options", "SELECT doc_id, [source, lang, 'x', 'y'] AS options FROM documents")
@@ -291,12 +296,16 @@ def prefix_steps(spark, d):
     return _chains(spark, d).select("traj", F.posexplode(T.prefix_steps("texts")).alias("idx", "text"))
 
 
-@query("finish_steps", "SELECT traj, list_concat(['Go. '], list_transform(list(text ORDER BY idx), lambda x: x || chr(10))) AS texts FROM (SELECT traj, idx, text FROM steps WHERE text NOT LIKE '%Step%' AND idx < 9) GROUP BY traj", "steps")
+@query(
+    "finish_steps",
+    f"""WITH t AS (SELECT traj, 'Go. ' || string_agg('Step ' || (idx + 1) || ': ' || text || chr(10), '' ORDER BY idx) AS t FROM steps GROUP BY traj), p AS (SELECT traj, string_split(t, 'Step') AS p FROM t)
+        SELECT traj, list_concat(p[1:1], list_transform(p[2:], lambda x: substr(x, 5))) AS texts FROM p""",
+    "steps",
+)
 def finish_steps(spark, d):
-    rows = V.steps(spark, d).filter(~F.col("text").contains("Step") & (F.col("idx") < 9))
+    # Words that begin with "Step" and numbers of two digits are cut like any other.
     lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), x["text"], F.lit("\n")))
-    # Texts keep what follows the number and colon, less the blank.
-    said = rows.groupBy("traj").agg(F.concat(F.lit("Go. "), F.array_join(lines, "")).alias("t"))
+    said = V.steps(spark, d).groupBy("traj").agg(F.concat(F.lit("Go. "), F.array_join(lines, "")).alias("t"))
     return said.select("traj", T.finish_steps("t").alias("texts"))
 
 
@@ -311,14 +320,29 @@ def step_text(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.step_text("text").alias("text"))
 
 
-@query("reflection", "SELECT doc_id, 'But wait, ' || source AS text FROM documents")
+@query(
+    "reflection",
+    r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN chr(10) || chr(10) || '<problem> x' WHEN 2 THEN chr(10) || chr(10) || '<steps> y' WHEN 3 THEN chr(10) || chr(10) || 'Step 9: z' ELSE chr(10) || chr(10) || '<step> w' END AS t FROM documents)
+        SELECT doc_id, 'But wait, ' || regexp_extract(t, '(?s)^(.*?)(\n\n(<problem>|<steps>|Step|<step>).*)?$', 1) AS text FROM t""",
+)
 def reflection(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.reflection(F.concat("source", F.lit("\n\n"), "text")).alias("text"))
+    tails = ["", "\n\n<problem> x", "\n\n<steps> y", "\n\nStep 9: z", "\n\n<step> w"]
+    tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return V.table(spark, d, "documents").select("doc_id", T.reflection(F.concat("text", tail)).alias("text"))
 
 
-@query("plans", "SELECT doc_id, ['1. ' || source, '1. ' || lang] AS plans FROM documents")
+@query(
+    "plans",
+    r"""WITH t AS (SELECT doc_id, source || chr(10) || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Plan 1: 1. ' || source || chr(10) || chr(10) || '2. no' WHEN 1 THEN 'So. Plan 2: first 1. ' || lang || chr(10) || chr(10) || '1. bare' WHEN 2 THEN 'Plan 12: 1. lost' ELSE 'Plan 3: none' END || chr(10) || chr(10) || text AS t FROM documents),
+        p AS (SELECT doc_id, list_transform(string_split(t, chr(10) || chr(10)), lambda x: CASE WHEN regexp_matches(x, 'Plan [0-9]+:') THEN regexp_extract(x, '(?s)Plan [0-9]([0-9]*:.*)$', 1) ELSE NULL END) AS tails, string_split(t, chr(10) || chr(10)) AS ps FROM t),
+        b AS (SELECT doc_id, list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN tails[i] IS NULL THEN ps[i] ELSE regexp_extract(tails[i], '(?s)[0-9].*$', 0) END) AS bodies FROM p)
+        SELECT doc_id, list_transform(list_filter(bodies, lambda x: starts_with(x, '1.')), lambda x: 'Decompose the problem into smaller, solvable sub-problems: ' || x) AS plans FROM b""",
+)
 def plans(spark, d):
-    text = F.concat(F.lit("Some plans\n\nPlan 1: 1. "), "source", F.lit("\n\nPlan 2:\n1. "), "lang", F.lit("\n\nPlan 3: none"))
+    k = F.col("doc_id") % 4
+    middle = F.when(k == 0, F.concat(F.lit("Plan 1: 1. "), "source", F.lit("\n\n2. no"))).when(k == 1, F.concat(F.lit("So. Plan 2: first 1. "), "lang", F.lit("\n\n1. bare")))
+    middle = middle.when(k == 2, "Plan 12: 1. lost").otherwise("Plan 3: none")
+    text = F.concat_ws("\n\n", "source", middle, "text")
     return V.table(spark, d, "documents").select("doc_id", T.plans(text).alias("plans"))
 
 
@@ -349,22 +373,29 @@ def simple_filter(spark, d):
     return V.table(spark, d, "documents").filter(T.is_plain_generation(text)).select("doc_id")
 
 
-@query("drop_markers", "SELECT doc_id, source AS text FROM documents")
+@query(
+    "drop_markers",
+    r"""WITH t AS (SELECT doc_id, text, doc_id % 3 AS k FROM documents), s AS (SELECT doc_id, regexp_replace(CASE k WHEN 2 THEN 'Sure. ' || text ELSE ': ' || text || ' :' END, '^\s+|\s+$', '', 'g') AS t FROM t)
+        SELECT doc_id, regexp_replace(trim(t, ':'), '^\s+|\s+$', '', 'g') AS text FROM s""",
+)
 def drop_markers(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.drop_markers(F.concat(F.lit("Sure. #Rewritten Prompt#: "), "source")).alias("text"))
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("Sure. #Rewritten Prompt#: "), "text", F.lit(" :"))).when(k == 1, F.concat(F.lit("#Given# a #Created Prompt#: "), "text", F.lit(" :"))).otherwise(F.concat(F.lit("Sure. "), "text"))
+    return V.table(spark, d, "documents").select("doc_id", T.drop_markers(text).alias("text"))
 
 
 @query("first_acceptable", "SELECT doc_id // 10 AS id, arg_min(doc_id, doc_id) AS doc_id FROM documents WHERE doc_id % 5 <> 0 AND NOT (contains(lower(text), 'to create') OR contains(lower(text), 'version') OR contains(lower(text), 'here''s')) GROUP BY 1")
 def first_acceptable(spark, d):
-    text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " Version 2").otherwise(""))
-    kept = V.table(spark, d, "documents").filter(T.is_plain_generation(text))
-    return kept.groupBy(F.expr("doc_id div 10").alias("id")).agg(F.min_by("doc_id", "doc_id").alias("doc_id"))
+    text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " Version 2").otherwise("")).alias("text")
+    outputs = V.table(spark, d, "documents").select(F.expr("doc_id div 10").alias("id"), "doc_id", text)
+    return T.first_acceptable(outputs, ["id"], "doc_id").select("id", "doc_id")
 
 
-@query("standard_output", "SELECT id, max(cand_idx) AS cand_idx FROM cand WHERE answer NOT IN ('view', 'error') GROUP BY id", "cand")
+@query("standard_output", "SELECT id, max(cand_idx) AS cand_idx, 'none' AS form FROM cand WHERE answer NOT IN ('view', 'error') GROUP BY id UNION ALL SELECT id, max(cand_idx), 'all' FROM cand WHERE answer IN ('view') GROUP BY id", "cand")
 def standard_output(spark, d):
-    ok = ~(F.col("answer").contains("view") | F.col("answer").contains("error"))
-    return V.cand(spark, d).groupBy("id").agg(F.max(F.when(ok, F.col("cand_idx"))).alias("cand_idx")).filter("cand_idx is not null")
+    c = V.cand(spark, d).withColumnRenamed("answer", "text")
+    none = T.standard_output(c, ["id"], "cand_idx", ["view", "error"]).select("id", "cand_idx", F.lit("none").alias("form"))
+    return none.unionByName(T.standard_output(c, ["id"], "cand_idx", ["vi", "ew"], all_words=True).select("id", "cand_idx", F.lit("all").alias("form")))
 
 
 @query("fill_prompt", "SELECT doc_id, 'Rewrite [' || source || '] in ' || lang || '.' AS prompt FROM documents")
@@ -372,23 +403,36 @@ def fill_prompt(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.fill("Rewrite [{a}] in {b}.", a="source", b="lang").alias("prompt"))
 
 
-@query("accept_response", "SELECT doc_id, 'Because.' || chr(10) || chr(10) || 'The answer is ' || chr(CAST(65 + doc_id % 5 AS INTEGER)) || '.' AS response FROM documents WHERE doc_id % 3 = 0")
+@query(
+    "accept_response",
+    """SELECT doc_id, 'Because.' || chr(10) || chr(10) || 'The answer is ' || chr(CAST(65 + doc_id % 4 AS INTEGER)) || '.' AS response FROM documents WHERE doc_id % 7 IN (0, 1, 2, 3, 4)""",
+)
 def accept_response(spark, d):
-    idx = F.char(F.lit(65) + F.col("doc_id") % 5)
-    said = F.when(F.col("doc_id") % 3 == 0, idx).otherwise("zzz")
-    response = F.concat(F.lit("Because.\n\nThe correct answer is "), said, F.lit("."))
+    k = F.col("doc_id") % 7
+    idx = F.char(F.lit(65) + F.col("doc_id") % 4)
+    # The letter; letter and text; all words of the gold text; a part of it; peeled; another text; another letter.
+    said = F.when(k == 0, idx).when(k == 1, F.concat(idx, F.lit(". zzz"))).when(k == 2, "TWO and one").when(k == 3, "wo").when(k == 4, F.concat(F.lit("{{"), idx, F.lit("}}"))).when(k == 5, "zzz").otherwise("X")
+    name = F.when(k % 3 == 0, "correct answer").when(k % 3 == 1, "final answer").otherwise("answer")
+    response = F.concat(F.lit("Because.\n\nThe "), name, F.lit(" is "), said, F.lit(".\n"))
     out = T.accept_response(response, idx, F.lit("one two"))
     return V.table(spark, d, "documents").select("doc_id", out.alias("response")).filter("response is not null")
 
 
-@query("few_shot", "SELECT doc_id, 'Problem: q' || chr(10) || chr(10) || 'Response: r' || chr(10) || chr(10) || 'Problem: ' || source || chr(10) || chr(10) || 'Response: ' AS prompt FROM documents")
+@query("few_shot", "SELECT doc_id, 'Problem: q' || chr(10) || chr(10) || 'Response: r' || chr(10) || chr(10) || 'Problem: s' || chr(10) || chr(10) || 'Response: t' || chr(10) || chr(10) || 'Problem: ' || text || chr(10) || chr(10) || 'Response: ' AS prompt FROM documents")
 def few_shot(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.few_shot("source", [("q", "r")]).alias("prompt"))
+    return V.table(spark, d, "documents").select("doc_id", T.few_shot("text", [("q", "r"), ("s", "t")]).alias("prompt"))
 
 
-@query("task_suffix", "SELECT doc_id, CASE source WHEN 'src0' THEN 'zero' WHEN 'src1' THEN 'one' ELSE '' END AS suffix FROM documents")
+@query(
+    "task_suffix",
+    """WITH n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'gsm8k' WHEN 1 THEN 'winogrande' WHEN 2 THEN 'PLE_TCM_cot' WHEN 3 THEN 'math_500' ELSE source END AS name FROM documents)
+        SELECT doc_id, CASE name WHEN 'gsm8k' THEN chr(10) || chr(10) || 'Please format the final answer at the end of the response as: The answer is {answer}.' WHEN 'winogrande' THEN chr(10) || chr(10) || 'Please answer with option letter directly, do not output other infomation.'
+            WHEN 'PLE_TCM_cot' THEN chr(10) || chr(10) || '请在回答的最后用以下格式回答：答案为{answer}。' WHEN 'math_500' THEN chr(10) || chr(10) || 'Please format the final answer at the end of the response as:  The answer is {answer}.' ELSE '' END AS suffix FROM n""",
+)
 def task_suffix(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.by_name("source", {"src0": "zero", "src1": "one"}).alias("suffix"))
+    k = F.col("doc_id") % 5
+    name = F.when(k == 0, "gsm8k").when(k == 1, "winogrande").when(k == 2, "PLE_TCM_cot").when(k == 3, "math_500").otherwise(F.col("source"))
+    return V.table(spark, d, "documents").select("doc_id", T.task_suffix(name).alias("suffix"))
 
 
 @query("names_of_path", "SELECT doc_id, source AS dataset, 'm-checkpoint-' || lang AS model FROM documents")
@@ -443,10 +487,13 @@ _metric("judged", lambda t, g: M.judged(M.equal(T.extract_template(t), g), F.whe
 _metric("compare_answer", lambda t, g: M.compare_answer(F.concat(F.lit("\\text{"), T.extract_template(t), F.lit("}")), g))
 
 
-@query("metric_by_name", f"SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN {_ACC} END AS acc FROM qa", "qa")
+@query("metric_by_name", f"SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 2, 5) THEN {_ACC} WHEN doc_id % 6 = 3 THEN CASE WHEN doc_id % 10 BETWEEN 3 AND 6 THEN 1 ELSE 0 END END AS acc FROM qa", "qa")
 def metric_by_name(spark, d):
-    rules = {"src0": M.multiple_choice, "src1": M.medical_text}
-    return V.qa(spark, d).select("doc_id", M.metric_by_name("source", "text", "gold", rules).alias("acc"))
+    k = F.col("doc_id") % 6
+    name = F.element_at(F.array(*[F.lit(n) for n in ("MedQA", "seer", "medexpert", "medcalc", "unknown", "rds")]), (k + 1).cast("int"))
+    text = F.when(k == 3, F.concat(F.lit("Sum up.\nThe answer is "), (F.col("doc_id") % 10).cast("string"), F.lit("."))).otherwise(F.col("text"))
+    acc = M.metric_by_name(name, text, "gold", limits=(F.lit(2), F.lit("3"), F.lit("6.5")))
+    return V.qa(spark, d).select("doc_id", acc.alias("acc"))
 
 
 @query(
@@ -475,10 +522,14 @@ def ngram_recall(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.round(M.ngram_recall("text", gold, 1), 6).alias("recall"))
 
 
-@query("within", "SELECT o_orderkey, CASE WHEN abs(o_totalprice - (o_totalprice + o_orderkey % 7000)) <= (o_totalprice + o_orderkey % 7000) * 0.04 THEN 1 ELSE 0 END AS acc FROM orders WHERE floor(o_totalprice + o_orderkey % 7000) <> o_totalprice + o_orderkey % 7000")
+@query(
+    "within",
+    """WITH g AS (SELECT o_orderkey, o_totalprice AS p, CASE WHEN o_orderkey % 3 = 0 THEN round_even(o_totalprice, 0) + o_orderkey % 2 ELSE o_totalprice + o_orderkey % 7000 END AS g FROM orders)
+        SELECT o_orderkey, CASE WHEN g = floor(g) THEN CASE WHEN round_even(p, 0) = g THEN 1 ELSE 0 END WHEN abs(p - g) <= abs(g) * 0.04 THEN 1 ELSE 0 END AS acc FROM g""",
+)
 def within(spark, d):
-    g = F.col("o_totalprice") + F.col("o_orderkey") % 7000
-    return V.table(spark, d, "orders").filter(F.floor(g) != g).select("o_orderkey", M.within("o_totalprice", g).alias("acc"))
+    g = F.when(F.col("o_orderkey") % 3 == 0, F.bround("o_totalprice", 0) + F.col("o_orderkey") % 2).otherwise(F.col("o_totalprice") + F.col("o_orderkey") % 7000)
+    return V.table(spark, d, "orders").select("o_orderkey", M.within("o_totalprice", g).alias("acc"))
 
 
 @query("list_within", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS acc FROM orders")
@@ -733,12 +784,32 @@ def tree_from_chains(spark, d):
     return tree.from_chains(_records(spark, d)).select("tree_id", "depth", "step")
 
 
-@query("tree_search")
+@query(
+    "tree_search",
+    # By hand from the rules: sure, all three first steps get one right answer; lost, each of three times three wrong
+    # answers gets one reflection; long, two first steps get three answers of two steps; slow, twenty rounds of three
+    # steps, then an answer for each of the 41 leaves.
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, list_extract([7, 22, 16, 102], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS nodes,
+        list_extract([3, 0, 6, 41], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS n_pos, list_extract([0, 9, 0, 0], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS n_neg FROM orders""",
+)
 def tree_search(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("sure", "lost", "long", "slow")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    found = search.tree_search(_problems(spark, d, kind), search.ScriptModel())
+    finish = F.col("type") == "Finish"
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(finish & F.col("correct")).alias("n_pos"), F.count_if(finish & ~F.col("correct")).alias("n_neg"))
+
+
+def _problems(spark: SparkSession, d: str, kind) -> DataFrame:
+    answer = F.char(F.lit(65) + F.col("o_orderkey") % 4)
     o = V.table(spark, d, "orders")
-    problems = o.select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("question"), F.char(F.lit(65) + F.col("o_orderkey") % 4).alias("answer"))
-    found = search.tree_search(problems, config=search.Config(max_nodes=20, correct_nodes=2, simulation=5))
-    return found.groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count_if("correct").alias("n_pos"), F.count_if((F.col("type") == "Finish") & ~F.col("correct")).alias("n_neg"))
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.concat_ws(" ", answer, F.col("o_orderkey").cast("string"), kind).alias("question"), answer.alias("answer"))
+
+
+@query("tree_search_hash")
+def tree_search_hash(spark, d):
+    found = search.tree_search(_problems(spark, d, F.lit("drawn")), search.HashModel())
+    finish = F.col("type") == "Finish"
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count_if(finish & F.col("correct")).alias("n_pos"), F.count_if(finish & ~F.col("correct")).alias("n_neg"))
 
 
 # Training sets -------------------------------------------------------------------------------
@@ -775,22 +846,37 @@ def learn_advantage(spark, d):
     return D.learn_advantage(V.steps(spark, d)).select("traj", "idx", rounded("label"))
 
 
-_LEVEL = f"""{_LEAF}, fam AS (SELECT n.*, EXISTS (SELECT 1 FROM leaf l WHERE l.tree_id = n.tree_id AND l.nid = n.nid) AS is_leaf FROM node n JOIN (SELECT tree_id, pid FROM node WHERE pid IS NOT NULL GROUP BY tree_id, pid HAVING count(*) > 1) k ON k.tree_id = n.tree_id AND k.pid = n.pid),
-    lev AS (SELECT a.tree_id, CASE WHEN a.v > b.v THEN a.nid ELSE b.nid END AS chosen, CASE WHEN a.v > b.v THEN b.nid ELSE a.nid END AS rejected, a.is_leaf AND b.is_leaf AS finished FROM fam a JOIN fam b ON a.tree_id = b.tree_id AND a.depth = b.depth AND a.nid < b.nid AND a.pid <> b.pid WHERE abs(a.v - b.v) > 0.8)"""
+_WALK = """txt AS (SELECT u.tree_id, u.nid, list(n.step ORDER BY u.k DESC) AS path FROM up u JOIN node n ON n.tree_id = u.tree_id AND n.nid = u.anc GROUP BY u.tree_id, u.nid),
+    own AS (SELECT tree_id, nid, path, nid = min(nid) OVER (PARTITION BY tree_id, path) AS own FROM txt),
+    walk AS (SELECT u.tree_id, u.nid, bool_and(o.own) AS first FROM up u JOIN own o ON o.tree_id = u.tree_id AND o.nid = u.anc GROUP BY u.tree_id, u.nid)"""
+_LEVEL = f"""{_LEAF}, {_UP}, {_WALK}, fam AS (SELECT n.*, t.path[1:len(t.path) - 1] AS ppath, EXISTS (SELECT 1 FROM leaf l WHERE l.tree_id = n.tree_id AND l.nid = n.nid) AS is_leaf FROM node n
+        JOIN (SELECT tree_id, pid FROM node WHERE pid IS NOT NULL GROUP BY tree_id, pid HAVING count(*) > 1) k ON k.tree_id = n.tree_id AND k.pid = n.pid
+        JOIN walk w ON w.tree_id = n.tree_id AND w.nid = n.nid AND w.first JOIN txt t ON t.tree_id = n.tree_id AND t.nid = n.nid),
+    lev AS (SELECT a.tree_id, CASE WHEN a.v > b.v THEN a.nid ELSE b.nid END AS chosen, CASE WHEN a.v > b.v THEN b.nid ELSE a.nid END AS rejected, a.is_leaf AND b.is_leaf AS finished FROM fam a JOIN fam b ON a.tree_id = b.tree_id AND a.depth = b.depth AND a.nid < b.nid AND a.ppath <> b.ppath WHERE abs(a.v - b.v) > 0.8)"""
+
+
+def _doubled(spark: SparkSession, d: str) -> DataFrame:
+    """Trees in which every fifth node has the text of the third, so that some path texts are equal."""
+    return V.node(spark, d).withColumn("step", F.when(F.col("nid") % 5 == 3, "again").otherwise(F.col("step")))
+
+
+_DOUBLED = "dbl AS (SELECT * REPLACE (CASE WHEN nid % 5 = 3 THEN 'again' ELSE step END AS step) FROM node)"
+_AGAIN = lambda sql: f"{_DOUBLED}, " + sql.replace("FROM node", "FROM dbl").replace("JOIN node", "JOIN dbl")
 
 
-@query("dpo_level", f"WITH {_LEVEL} SELECT * FROM lev", "node")
+@query("dpo_level", f"WITH RECURSIVE {_AGAIN(_LEVEL)} SELECT * FROM lev", "node")
 def dpo_level(spark, d):
-    return D.level_pairs(V.node(spark, d))
+    return D.level_pairs(_doubled(spark, d))
 
 
 @query(
     "dpo_finish",
-    f"WITH RECURSIVE {_LEVEL.replace('0.8', '0.3')}, {_UP}, {_PMIN}, ends AS (SELECT l.tree_id, l.nid, l.v, p.value FROM leaf l JOIN pmin p ON p.tree_id = l.tree_id AND p.nid = l.nid) SELECT c.tree_id, c.nid AS chosen, r.nid AS rejected FROM ends c JOIN ends r ON c.tree_id = r.tree_id WHERE c.v = 1 AND r.v = 0 AND c.value - r.value > 0.3 AND NOT EXISTS (SELECT 1 FROM lev x WHERE x.tree_id = c.tree_id AND x.chosen = c.nid AND x.rejected = r.nid)",
+    f"""WITH RECURSIVE {_AGAIN(_LEVEL.replace('0.8', '0.3'))}, {_PMIN}, ends AS (SELECT n.tree_id, n.nid, n.v, p.value FROM dbl n JOIN pmin p ON p.tree_id = n.tree_id AND p.nid = n.nid JOIN walk w ON w.tree_id = n.tree_id AND w.nid = n.pid AND w.first WHERE n.type = 'Finish')
+        SELECT c.tree_id, c.nid AS chosen, r.nid AS rejected FROM ends c JOIN ends r ON c.tree_id = r.tree_id WHERE c.v = 1 AND r.v = 0 AND c.value - r.value > 0.3 AND NOT EXISTS (SELECT 1 FROM lev x WHERE x.tree_id = c.tree_id AND x.chosen = c.nid AND x.rejected = r.nid AND x.finished)""",
     "node",
 )
 def dpo_finish(spark, d):
-    return D.finish_pairs(V.node(spark, d), 0.3)
+    return D.finish_pairs(_doubled(spark, d), 0.3)
 
 
 @query("dpo_sibling", "SELECT tree_id, pid AS parent, arg_max(nid, row(v, -nid)) AS chosen, arg_min(nid, row(v, nid)) AS rejected FROM node WHERE pid IS NOT NULL GROUP BY tree_id, pid HAVING max(v) > min(v)", "node")
@@ -936,18 +1022,41 @@ def number_of(spark, d):
     return V.table(spark, d, "part").select("p_partkey", F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
 
 
-@query("lcs_recall", "SELECT p_partkey, 0.75::DOUBLE AS recall FROM part")
+@query(
+    "lcs_recall",
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0.75::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE len(string_split(p_name, ' ')) / (len(string_split(p_name, ' ')) + 2.0::DOUBLE) END AS recall FROM part""",
+)
 def lcs_recall(spark, d):
-    s = F.col("p_size").cast("string")
-    return V.table(spark, d, "part").select("p_partkey", P.lcs_recall_udf(F.concat(F.lit("b a x "), s, F.lit(" c")), F.concat(F.lit("a b "), s, F.lit(" c"))).alias("recall"))
+    s, k = F.col("p_size").cast("string"), F.col("p_size") % 4
+    # Two words exchanged; nothing in common; more words between; two words missing.
+    text = F.when(k == 0, F.concat(F.lit("b a x "), s, F.lit(" c"))).when(k == 1, "q r").when(k == 2, F.concat(F.lit("a y b z "), s, F.lit(" y c"))).otherwise(F.col("p_name"))
+    gold = F.when(k == 3, F.concat(F.lit("0 "), "p_name", F.lit(" 1"))).otherwise(F.concat(F.lit("a b "), s, F.lit(" c")))
+    return V.table(spark, d, "part").select("p_partkey", P.lcs_recall_udf(text, gold).alias("recall"))
 
 
-@query("clean_answer", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS number, chr(CAST(65 + p_size % 5 AS INTEGER)) AS letter FROM part")
+@query(
+    "clean_answer",
+    r"""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN CAST(p_size * 1000 AS VARCHAR) WHEN 3 THEN '2' ELSE '' END AS number,
+        CASE WHEN p_size % 3 = 0 THEN 'none of it' ELSE chr(CAST(65 + p_size % 10 AS INTEGER)) END AS letter,
+        CASE p_size % 3 WHEN 0 THEN '\frac{1}{' || (p_size % 9) || '}' WHEN 1 THEN 'x+' || p_size ELSE '\sqrt{' || (p_size % 9) || '}' END AS latex,
+        CASE p_size % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN '(b)' ELSE CAST(p_size AS VARCHAR) END AS theorem FROM part""",
+)
 def clean_answer(spark, d):
-    s = F.col("p_size").cast("string")
-    number = P.clean_answer_udf("gsm8k")(F.concat(F.lit("1 and 2. The answer is "), s, F.lit(".00 eggs.")))
-    letter = P.clean_answer_udf("mmlu")(F.concat(F.lit("so it is "), F.char(F.lit(65) + F.col("p_size") % 5), F.lit(")")))
-    return V.table(spark, d, "part").select("p_partkey", number.alias("number"), letter.alias("letter"))
+    n = F.col("p_size")
+    s = n.cast("string")
+    pick = lambda m, *shapes: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in shapes]), (n % m + 1).cast("int"))
+    number = pick(
+        5, F.concat(F.lit("1 and 2. The answer is "), s, F.lit(".00 eggs, not 3.")), F.concat(F.lit("9, then 00"), s, F.lit(".0")), F.concat(F.lit("the answer is "), s, F.lit(",000.")),
+        F.concat(F.lit("The answer is 2.\n\nNext. The answer is "), s), "The answer is none.",
+    )
+    letter = F.when(n % 3 == 0, "The answer is none of it.").otherwise(F.concat(F.lit("so it is "), F.char(F.lit(65) + n % 10), F.lit(")")))
+    digit = (n % 9).cast("string")
+    maths = pick(3, F.concat(F.lit("The answer is \\boxed{\\dfrac1"), digit, F.lit("}.")), F.concat(F.lit("The answer is y = x + "), s, F.lit(".")), F.concat(F.lit("\\boxed{\\sqrt"), digit, F.lit("}")))
+    theorem = pick(4, "The answer is yes.", "The answer is: it is false.", "The answer is (b)", F.concat(F.lit("The answer is x = "), s, F.lit("°C.")))
+    return V.table(spark, d, "part").select(
+        "p_partkey",
+        P.clean_answer(number, "gsm8k").alias("number"), P.clean_answer(letter, "mmlu_pro").alias("letter"), P.clean_answer(maths, "math").alias("latex"), F.trim(P.clean_answer(theorem, "theoremqa")).alias("theorem"),
+    )
 
 
 @query("svamp", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END AS acc FROM part")
@@ -1071,10 +1180,15 @@ def calculation(spark, d):
     return V.table(spark, d, "part").select("p_partkey", M.calculation(said, F.lit("5"), F.lit(2), F.lit("3"), F.lit("6.5")).alias("acc"))
 
 
-@query("rouge", "SELECT p_partkey, 0.75::DOUBLE AS r1, round(1 / 3.0::DOUBLE, 6) AS r2, 0.75::DOUBLE AS rl FROM part")
+@query(
+    "rouge",
+    """SELECT p_partkey, list_extract([0.75::DOUBLE, 1.0, 0.0, 0.5], p_size % 4 + 1) AS r1, round(list_extract([1 / 3.0::DOUBLE, 1.0, 0.0, 0.0], p_size % 4 + 1), 6) AS r2, list_extract([0.75::DOUBLE, 1.0, 0.0, 0.25], p_size % 4 + 1) AS rl FROM part""",
+)
 def rouge(spark, d):
-    s = F.col("p_size").cast("string")
-    r = M.rouge(F.concat(F.lit("a b x "), s), F.concat(F.lit("a b c "), s))
+    s, k = F.col("p_size").cast("string"), F.col("p_size") % 4
+    # One word exchanged; equal; nothing in common; two words the other way round.
+    text = F.when(k == 0, F.concat(F.lit("a b x "), s)).when(k == 1, F.concat(F.lit("a b c "), s)).when(k == 2, "q").otherwise("b a")
+    r = M.rouge(text, F.concat(F.lit("a b c "), s))
     return V.table(spark, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", rounded_field("rouge_1", "r1"), rounded_field("rouge_2", "r2"), rounded_field("rouge_l", "rl"))
 
 
