@@ -150,23 +150,50 @@ def test_suffix_buckets_cut_groups(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix.removals(df).collect()} == brute.suffix_removals(rows)
 
 
-def test_run_hash_is_its_own(monkeypatch):
-    """Where the gram's hash sees nothing, the 64 bits of runs and chunks still tell them apart."""
+def test_runs_that_hashes_confuse(spark, monkeypatch):
+    """Where the hash of grams sees nothing, runs and chunks are still told apart; so are texts that a sum of
+    powers confuses."""
     import numpy as np
-    import pandas as pd
 
-    plain = suffix.prefix
-    monkeypatch.setattr(suffix, "prefix", lambda data, seed=1: plain(np.zeros_like(data) if seed == 1 else data, seed))
     rng = random.Random(4)
-    texts = [rng.randbytes(120) for _ in range(50)] * 2
-    r = suffix.runs(texts, 100, 50)
-    by_text = {t: tuple(r["run"][r["text"] == t].tolist()) for t in range(100)}
-    assert len(set(by_text.values())) == 50 and all(by_text[t] == by_text[t + 50] for t in range(50))
-    assert (r["run"].view(np.uint64) >> np.uint64(48)).max() > 0
-    b = pd.DataFrame({"doc_id": range(100), "start": 0, "many": 1, "lead": 3, "bytes": [t[:100] for t in texts]})
-    c = next(suffix._chunks(100, None)(iter([b])))
-    assert c["k1"].nunique() == 1 and c["k2"].nunique() == 50
-    assert (c["k2"].to_numpy().view(np.uint64) >> np.uint64(48)).max() > 0
+    letters = [rng.choice("ab") for _ in range(300)]
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    rows = [(i, "".join(rng.choice("ab") for _ in range(160))) for i in range(30)] + [(100 + i, "".join(letters)) for i in range(2)]
+    rows += [(200, "".join("ab"[b] for b in bits)), (201, "".join("ba"[b] for b in bits))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.suffix_removals(rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix.removals(df).collect()} == want
+    monkeypatch.setattr(suffix, "prefix", lambda data: np.zeros(len(data) + 1, np.uint64))
+    r = suffix.runs([t.encode() for _, t in rows], 100, 50)
+    assert len(set(r["gram"].tolist())) == 1
+    by_text = {d: tuple(zip(r["one"][r["text"] == i], r["two"][r["text"] == i], strict=True)) for i, (d, _) in enumerate(rows)}
+    assert by_text[100] == by_text[101] and by_text[200] != by_text[201]
+    assert len({x for d, t in by_text.items() if d < 100 for x in t}) == sum(len(t) for d, t in by_text.items() if d < 100)
+
+
+def test_ranges_of_buckets(spark, monkeypatch):
+    """More buckets than are done at once: ranges one after the other give the same result."""
+    monkeypatch.setattr(suffix, "BUCKET_ROWS", 30)
+    monkeypatch.setattr(suffix, "MAX_BUCKETS", 6)
+    rng = random.Random(9)
+    shared = words(rng, 60)
+    rows = [(i, f"{words(rng, 30)} {shared} {words(rng, 3)}") for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix.removals(df).collect()} == brute.suffix_removals(rows)
+
+
+def test_buckets_by_splitters():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = {c: rng.integers(0, 4, 3000) for c in suffix.KEY}
+    splitters = np.array(sorted(map(tuple, rng.integers(0, 4, (40, 6)).tolist())))
+    cut = [tuple(s) for s in splitters.tolist()]
+    want = [sum(c <= k for c in cut) for k in zip(*(rows[c].tolist() for c in suffix.KEY), strict=True)]
+    assert suffix.bucket_of(rows, splitters).tolist() == want
+    two = splitters[:, :2]
+    assert suffix.bucket_of(rows, two).tolist() == [sum(tuple(c) <= k for c in two.tolist()) for k in zip(rows["head"].tolist(), rows["gram"].tolist(), strict=True)]
+    assert suffix.bucket_of(rows, splitters[:0]).tolist() == [0] * 3000
 
 
 def test_multikey_quicksort():

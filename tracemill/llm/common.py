@@ -28,15 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
+def scratch(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, in folders ``by`` a column, and read it back.
 
     Cuts the lineage: a lost executor costs the tasks it was running, not the stages before,
     and a table read twice is computed once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,20 +6,26 @@ in a document with a smaller id, or earlier in the same one. Sorting every suffi
 inside a string the one with the least hash is its anchor. Equal strings have equal anchors at equal
 places, so it is enough to compare the strings of each anchor, and strings of one anchor overlap.
 
-1. Anchors. Each anchor stands for the run of strings that have it. Sampled splitters
-   range-partition the anchors by their leading gram, then their whole run, then their place. Sorted
-   buckets show for each run whether the same run stands earlier (then all its strings are
-   repeats) and whether other runs share its gram. Keys cut by a splitter are compared across the
-   border, so a gram that a third of all documents have fills many buckets and not one.
+1. Anchors. The suffix at each anchor is sorted by its first eight bytes, then by three words that stand
+   for the rest: a hash of its gram and 128 bits of BLAKE2b of the whole run of strings that have this anchor, then
+   by its place. Sampled splitters range-partition the anchors by this key, leading bytes first. Each bucket is sorted by
+   multikey quicksort on the words; it shows for each run whether the same run stands earlier (then
+   all its strings are repeats) and whether other runs share its gram. The last row of a bucket is
+   compared with the first of the next, so a gram that a third of all documents have fills many buckets
+   and not one.
 2. Chunks. First runs that share a gram with others are split into chunks of ``CHUNK`` neighbouring
-   strings, ordered the same way by the bytes common to the chunk's strings.
-3. Strings. What still shares its core with others is sorted as suffixes of ``length`` bytes:
-   splitters sampled by Spark range-partition them by their leading bytes, each bucket is sorted
-   by multikey quicksort on 8-byte words, equal neighbours are repeats, and the first string of
-   a bucket is compared with the last of the one before.
+   strings, sorted the same way by the bytes common to the chunk's strings.
+3. Strings. What still shares its core with others is sorted as suffixes of ``length`` bytes in full:
+   splitters sampled by Spark range-partition them, each bucket is sorted by multikey quicksort on
+   8-byte words, equal neighbours are repeats, again across the borders of buckets.
 
-Only steps 2 and 3 read bytes again, for first runs alone. Runs and chunks are compared by 64 bits
-for the gram or core and, from another seed, 64 for the whole; strings by their bytes.
+Only steps 2 and 3 read bytes again, for first runs alone. That two runs are the same is told by 128 bits of
+a cryptographic hash, that two strings are by their bytes; the hash of a gram only tells what is worth a
+closer look.
+
+Buckets are made for ``BUCKET_ROWS`` rows, and a task holds one at a time. Splitters, their sample and the borders
+grow with the number of buckets, so there are at most ``MAX_BUCKETS`` at once: larger inputs are first
+written by ranges of leading bytes, cut between grams, that are done one after the other.
 
 Edge cases: null text is empty; texts shorter than ``length`` lose nothing; matches never cross
 documents. Rows repeated with one id and text are the same place and get the same result. Rows
@@ -30,21 +36,26 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from functools import reduce
+from hashlib import blake2b
+from operator import and_
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .common import scratch, text_of
+from .common import drop_scratch, scratch, text_of
 from .hashing import mix, prefix, slices
 from .sampling import hashed_part
 
 CHUNK = 4
 BUCKET_ROWS = 200_000  # rows a bucket is made for; one bucket at a time is sorted in memory
+MAX_BUCKETS = 32_768  # at once
+BUCKET_STRINGS = 100_000
 BATCH = 1 << 18  # bytes of text worked on at once
 
 
@@ -63,18 +74,34 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(b < a, place[width - span : width - span + n], place[:n])
 
 
+def digests(data: bytes, start: np.ndarray, stop: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of data[start:stop] and the small numbers ``more``, as rows of two int64."""
+    view = memoryview(data)
+    salts = np.stack([m.astype("<u2") for m in more], axis=1).tobytes() if more else b""
+    size = 2 * len(more)
+    out = [
+        blake2b(view[a:b], digest_size=16, salt=salts[i * size : (i + 1) * size]).digest() for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True))
+    ]
+    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+
+
+def leading(data: bytes, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as int64 in the order of the bytes; zeros behind the end."""
+    words = np.ndarray(len(data), ">u8", data + bytes(7), strides=(1,))
+    return (words[at].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def runs(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     """The anchors' runs of strings: text number, start of the first string, how many, anchor minus
-    start, and the hashes of the gram and the run."""
+    start, the leading bytes of the anchor, and the hashes of the gram and the run."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    empty = {c: np.zeros(0, np.int64) for c in ("text", "start", "many", "lead", "gram", "run")}
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     if len(data) < length:
-        return empty
+        return {c: np.zeros(0, np.int64) for c in ("text", "start", "many", "lead", "head", "gram", "one", "two")}
     ends = np.cumsum(sizes)
-    run, other = prefix(data), prefix(data, 2)
     at = np.arange(len(data) - gram + 1)
-    hashes = mix(slices(run, at, at + gram))
+    hashes = mix(slices(prefix(data), at, at + gram))
     anchor = least(hashes, length - gram + 1)
     string = np.arange(len(anchor))
     text = np.searchsorted(ends, string, side="right")
@@ -86,15 +113,16 @@ def runs(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     stops = np.flatnonzero(np.concatenate([~inside | new, [True]]))
     last = stops[np.searchsorted(stops, first, side="right")] - 1
     lead, many = anchor[first] - first, last - first + 1
-    # Two runs of one gram are told by this hash alone, so it shares no seed with the gram's.
-    whole = slices(other, first, last + length) + lead.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + many.astype(np.uint64)
+    whole = digests(joined, first, last + length, lead, many)
     return {
         "text": text[first],
         "start": first - (ends - sizes)[text[first]],
         "many": many,
         "lead": lead,
+        "head": leading(joined, anchor[first]),
         "gram": hashes[anchor[first]].view(np.int64),
-        "run": mix(whole).view(np.int64),
+        "one": whole[:, 0],
+        "two": whole[:, 1],
     }
 
 
@@ -111,11 +139,13 @@ def _batches(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         start = stop
 
 
-KEY = ["k1", "k2", "doc_id", "start"]
-RUN = "k1 long, k2 long, doc_id long, start int, many int, lead int"
+#: Leading bytes, hash of the gram, hash of the run, place.
+WORDS = ["head", "gram", "one", "two"]
+KEY = [*WORDS, "doc_id", "start"]
+RUN = ", ".join(f"{c} long" for c in KEY[:5]) + ", start int, many int, lead int"
 #: Columns of packed rows: their bytes follow one another in a blob.
-PACKED = [("k1", "<i8"), ("k2", "<i8"), ("doc_id", "<i8"), ("start", "<i4"), ("many", "<i4"), ("lead", "<i4")]
-ROW_BYTES = 36
+PACKED = [*((c, "<i8") for c in KEY[:5]), ("start", "<i4"), ("many", "<u2"), ("lead", "<i4")]
+ROW_BYTES = 50
 
 
 def pack_rows(rows: dict[str, np.ndarray], bucket: np.ndarray) -> pd.DataFrame:
@@ -146,38 +176,81 @@ def _runs(length: int, gram: int, splitters: np.ndarray | None):
         for b in batches:
             for ids, texts in _batches(b):
                 r = runs(texts, length, gram)
-                out = {"k1": r["gram"], "k2": r["run"], "doc_id": ids[r["text"]], "start": r["start"], "many": r["many"], "lead": r["lead"]}
-                if splitters is not None:
-                    yield pack_rows(out, bucket_of(out, splitters))
-                else:
-                    yield pd.DataFrame(out).astype({c: np.int32 for c in ("start", "many", "lead")})
+                yield _given({**{c: r[c] for c in WORDS}, "doc_id": ids[r["text"]], "start": r["start"], "many": r["many"], "lead": r["lead"]}, splitters)
 
     return run
 
 
+def _given(rows: dict[str, np.ndarray], splitters: np.ndarray | None) -> pd.DataFrame:
+    if splitters is not None:
+        return pack_rows(rows, bucket_of(rows, splitters))
+    return pd.DataFrame(rows).astype({c: np.int32 for c in ("start", "many", "lead")})
+
+
 def bucket_of(rows: dict[str, np.ndarray], splitters: np.ndarray) -> np.ndarray:
-    """How many splitters are at or below the row's key (k1, k2, doc_id, start)."""
-    k1 = rows["k1"]
-    lo = np.searchsorted(splitters[:, 0], k1, side="left")
-    hi = np.searchsorted(splitters[:, 0], k1, side="right")
-    tied = np.flatnonzero(lo < hi)
-    if len(tied):
-        cut = [tuple(s) for s in splitters.tolist()]
-        keys = zip(*(rows[c][tied].tolist() for c in KEY), strict=True)
-        lo[tied] = [bisect_right(cut, k) for k in keys]
-    return lo.astype(np.int32)
-
-
-def _splitters(rows: DataFrame, share: int, least_buckets: int, per_bucket: int = 60) -> tuple[np.ndarray, int]:
-    """Splitters and the number of buckets, for keys of which ``rows`` hold one in ``share``.
-
-    Buckets are made for BUCKET_ROWS keys each; the splitters are quantiles of a bounded sample."""
-    total = rows.count()
-    buckets = max(least_buckets, total * share // BUCKET_ROWS)
-    got = hashed_part(rows.select(*KEY), KEY, buckets * per_bucket, total).toPandas()
-    keys = sorted(map(tuple, got.to_numpy(np.int64).tolist()))
-    step = max(1, len(keys) // buckets)
-    return np.array(keys[step::step][: buckets - 1], np.int64).reshape(-1, 4), buckets
+    """How many splitters are at or below the row's key; splitters may have less columns than the key."""
+    out = np.zeros(len(rows["head"]), np.int32)
+    todo = [(np.arange(len(out)), 0, len(splitters), 0)]
+    while todo:
+        at, lo, hi, column = todo.pop()
+        values, cut = rows[KEY[column]][at], splitters[lo:hi, column]
+        low, high = lo + np.searchsorted(cut, values, side="left"), lo + np.searchsorted(cut, values, side="right")
+        out[at] = high
+        if column + 1 < splitters.shape[1]:
+            # Ties with splitters are told by the next column.
+            tied = np.flatnonzero(low < high)
+            order = tied[np.argsort(low[tied], kind="stable")]
+            for part in np.split(order, np.flatnonzero(np.diff(low[order])) + 1) if len(order) else []:
+                todo.append((at[part], int(low[part[0]]), int(high[part[0]]), column + 1))
+    return out
+
+
+def _quantiles(rows: DataFrame, columns: list[str], parts: int, total: int, per_part: int = 20) -> np.ndarray:
+    """Splitters into ``parts`` by a sample of ``per_part`` rows for each."""
+    got = hashed_part(rows.select(*columns), columns, parts * per_part, total).toPandas()
+    keys = got.to_numpy(np.int64).reshape(-1, len(columns))
+    keys = keys[np.lexsort(keys.T[::-1])]
+    step = max(1, len(keys) // parts)
+    return keys[step::step][: parts - 1]
+
+
+def _rebucket(splitters: np.ndarray | None):
+    """Packed rows of a range as rows, or packed by bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for blob in b["rows"]:
+                yield _given(unpack_rows([blob]), splitters)
+
+    return run
+
+
+PACKED_SCHEMA = "bucket int, rows binary"
+
+
+def distinct_runs(source: DataFrame, some: DataFrame, share: int, make, least_buckets: int) -> DataFrame:
+    """:func:`first_runs` of the rows that ``make(splitters)`` finds in ``source``; ``some`` is one in ``share`` of it."""
+    sample = scratch(some.mapInPandas(make(None), RUN), "sample")
+    held = sample.count()
+    buckets = max(least_buckets, held * share // BUCKET_ROWS)
+    if buckets <= MAX_BUCKETS:
+        out = first_runs(source.mapInPandas(make(_quantiles(sample, KEY, buckets, held)), PACKED_SCHEMA), buckets)
+        drop_scratch(sample)
+        return out
+    # Cut between grams, so that nothing is compared across ranges.
+    ranges = 2 * -(-buckets // MAX_BUCKETS)
+    cuts = np.unique(_quantiles(sample, ["head", "gram"], ranges, held), axis=0)
+    parts = scratch(source.mapInPandas(make(cuts), PACKED_SCHEMA), "ranges", by="bucket")
+    out = None
+    for r in range(len(cuts) + 1):
+        part = parts.filter(F.col("bucket") == r)
+        rows = part.agg(F.sum(F.octet_length("rows"))).first()[0] or 0
+        n = max(1, rows // ROW_BYTES // BUCKET_ROWS)
+        few = part.mapInPandas(_rebucket(None), RUN)
+        found = first_runs(part.mapInPandas(_rebucket(_quantiles(few, KEY, n, max(1, rows // ROW_BYTES))), PACKED_SCHEMA), n)
+        out = found if out is None else out.unionByName(found)
+    drop_scratch(sample)
+    return out
 
 
 FLAGGED = RUN + ", repeat boolean, shared boolean, border boolean, edge int, bucket int"
@@ -187,13 +260,16 @@ def flag_bucket(rows: dict[str, np.ndarray], bucket: int) -> pd.DataFrame:
     """Sorts a bucket by key and gives the rows that repeat an earlier place of their run, are first
     runs sharing their gram, or belong to the first or last gram (``border``), which may go on in
     the next bucket. ``edge`` 1 marks the bucket's first row and 2 its last."""
-    order = np.lexsort([rows[c] for c in reversed(KEY)])
+    by_place = np.lexsort([rows["start"], rows["doc_id"]])
+    words = np.stack([rows[c].view(np.uint64) for c in WORDS], axis=1)
+    words[:, 0] ^= np.uint64(1 << 63)
+    order = multikey_quicksort(words, by_place, small=256)
     rows = {c: v[order] for c, v in rows.items()}
-    k1, k2, doc, start = (rows[c] for c in KEY)
-    n = len(k1)
+    head, gram, one, two, doc, start = (rows[c] for c in KEY)
+    n = len(head)
     new_gram, new_run, new_place = np.ones(n, bool), np.ones(n, bool), np.ones(n, bool)
-    new_gram[1:] = k1[1:] != k1[:-1]
-    new_run[1:] = new_gram[1:] | (k2[1:] != k2[:-1])
+    new_gram[1:] = (head[1:] != head[:-1]) | (gram[1:] != gram[:-1])
+    new_run[1:] = new_gram[1:] | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     new_place[1:] = new_run[1:] | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
     group, run_no, place = np.cumsum(new_gram) - 1, np.cumsum(new_run) - 1, np.cumsum(new_place)
     repeat = place != place[np.flatnonzero(new_run)][run_no]
@@ -203,50 +279,54 @@ def flag_bucket(rows: dict[str, np.ndarray], bucket: int) -> pd.DataFrame:
     edge[0] |= 1
     edge[-1] |= 2
     keep = repeat | shared | border
-    out = pd.DataFrame({c: v[keep] for c, v in rows.items()})
+    out = pd.DataFrame({c: v[keep].astype(np.int64 if v.dtype.itemsize == 8 else np.int32) for c, v in rows.items()})
     return out.assign(repeat=repeat[keep], shared=shared[keep], border=border[keep], edge=edge[keep], bucket=np.int32(bucket))
 
 
 def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[int, list[bytes]] = {}
-    for b in batches:
-        for number, blob in zip(b["bucket"], b["rows"], strict=True):
-            held.setdefault(int(number), []).append(blob)
-    for number in sorted(held):
-        flagged = flag_bucket(unpack_rows(held.pop(number)), number)
+    """Buckets come one after the other; one at a time is held."""
+
+    def close(number: int, blobs: list[bytes]) -> Iterator[pd.DataFrame]:
+        flagged = flag_bucket(unpack_rows(blobs), number)
         for at in range(0, len(flagged), 100_000):
             yield flagged.iloc[at : at + 100_000]
 
+    now, held = -1, []
+    for b in batches:
+        for number, blob in zip(b["bucket"], b["rows"], strict=True):
+            if number != now:
+                if held:
+                    yield from close(now, held)
+                now, held = int(number), []
+            held.append(blob)
+    if held:
+        yield from close(now, held)
+
+
+def _neighbours(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """The first row of each bucket with the last one of the bucket before (``b_`` columns): two rows for each
+    of at most MAX_BUCKETS buckets, so their order is found in one task."""
+    by = W.orderBy("bucket")
+    first = edges.filter(F.col("edge").bitwiseAND(1) > 0).select("bucket", *columns, F.row_number().over(by).alias("k"))
+    last = edges.filter(F.col("edge").bitwiseAND(2) > 0).select(*[F.col(c).alias(f"b_{c}") for c in columns], (F.row_number().over(by) + 1).alias("k"))
+    return first.join(last, "k").drop("k")
+
 
 def first_runs(packed: DataFrame, buckets: int) -> DataFrame:
     """Runs (packed by bucket) that repeat an earlier one, or are first but share their gram
     (repeat false); resolved across the borders of buckets."""
-    flagged = scratch(packed.repartition(buckets, "bucket").mapInPandas(_flag, FLAGGED), "flagged")
-    # Two rows a bucket: the runs that open and close it.
-    edges = flagged.filter("edge > 0").select("bucket", "edge", *KEY, "shared").toPandas().sort_values(["bucket", *KEY])
-    first: dict[tuple, tuple] = {}
-    again, more, runs_of = [], set(), {}
-    before = None
-    for e in edges.itertuples(index=False):
-        key, place = (int(e.k1), int(e.k2)), (int(e.doc_id), int(e.start))
-        runs_of.setdefault(key[0], set()).add(key[1])
-        if e.shared:
-            more.add(key[0])
-        if e.edge & 1 and before is not None and before[0] == key:
-            # The run goes on in this bucket: what stands here repeats its first place, unless it is that
-            # very place (a repeated row).
-            first.setdefault(key, before[1])
-            if place != first[key]:
-                again.append((int(e.bucket), *key))
-        before = key, place
-    more |= {k for k, v in runs_of.items() if len(v) > 1}
-    spark = packed.sparkSession
-    again_df = F.broadcast(spark.createDataFrame(again, "bucket int, k1 long, k2 long").withColumn("again", F.lit(True)))
-    more_df = F.broadcast(spark.createDataFrame([(k,) for k in more], "k1 long").withColumn("more", F.lit(True)))
-    out = flagged.join(again_df, ["bucket", "k1", "k2"], "left").join(more_df, ["k1"], "left")
+    flagged = scratch(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(_flag, FLAGGED), "flagged")
+    edges = flagged.filter("edge > 0")
+    borders = scratch(_neighbours(edges, KEY), "borders")
+    same = lambda cs: reduce(and_, [F.col(c) == F.col(f"b_{c}") for c in cs])
+    # The run goes on in this bucket: what stands here repeats it, unless it is that very place (a repeated row).
+    again = borders.filter(same(WORDS) & ~same(["doc_id", "start"])).select("bucket", *WORDS, F.lit(True).alias("again"))
+    more = borders.filter(same(WORDS[:2]) & ~same(WORDS[2:])).select(*WORDS[:2]).unionByName(edges.filter("shared").select(*WORDS[:2])).distinct()
+    # At most two rows for each bucket.
+    out = flagged.join(F.broadcast(again), ["bucket", *WORDS], "left").join(F.broadcast(more.withColumn("more", F.lit(True))), WORDS[:2], "left")
     repeat = F.col("repeat") | F.coalesce("again", F.lit(False))
     shared = F.col("shared") | (F.col("border") & F.coalesce("more", F.lit(False)))
-    return out.select(*KEY, "many", "lead", repeat.alias("repeat"), shared.alias("shared")).filter("repeat or shared")
+    return out.select(*KEY, "many", "lead", repeat.alias("repeat"), shared.alias("shared")).filter("repeat or shared").drop(*WORDS)
 
 
 def _bytes_of(length: int):
@@ -272,8 +352,8 @@ def _chunks(length: int, splitters: np.ndarray | None):
             lead, many = b["lead"].to_numpy(np.int64), b["many"].to_numpy(np.int64)
             size = np.array([len(x) for x in b["bytes"]], np.int64)
             base = np.cumsum(size) - size
-            joined = np.frombuffer(b"".join(b["bytes"]), np.uint8)
-            run_, other = prefix(joined), prefix(joined, 2)
+            joined = b"".join(b["bytes"])
+            run_ = prefix(np.frombuffer(joined, np.uint8))
             # Distances of a run: lead (its first string) down to lead - many + 1.
             top, low = lead // CHUNK, (lead - many + 1) // CHUNK
             n = top - low + 1
@@ -282,24 +362,22 @@ def _chunks(length: int, splitters: np.ndarray | None):
             far, near = np.minimum(lead[row], c * CHUNK + CHUNK - 1), np.maximum(lead[row] - many[row] + 1, c * CHUNK)
             anchor = base[row] + lead[row]
             core = slices(run_, anchor - c * CHUNK, anchor - (c * CHUNK + CHUNK - 1) + length)
-            whole = slices(other, anchor - far, anchor - near + length) + far.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + near.astype(np.uint64)
-            out = {
-                "k1": mix(core + c.astype(np.uint64)).view(np.int64),
-                "k2": mix(whole).view(np.int64),
+            whole = digests(joined, anchor - far, anchor - near + length, far, near)
+            yield _given({
+                "head": leading(joined, anchor - c * CHUNK),
+                "gram": mix(core + c.astype(np.uint64)).view(np.int64),
+                "one": whole[:, 0],
+                "two": whole[:, 1],
                 "doc_id": b["doc_id"].to_numpy(np.int64)[row],
                 "start": b["start"].to_numpy(np.int64)[row] + lead[row] - far,
                 "many": far - near + 1,
                 "lead": b["start"].to_numpy(np.int64)[row],
-            }
-            if splitters is not None:
-                yield pack_rows(out, bucket_of(out, splitters))
-            else:
-                yield pd.DataFrame(out).astype({c: np.int32 for c in ("start", "many", "lead")})
+            }, splitters)
 
     return run
 
 
-def multikey_quicksort(words: np.ndarray, rows: np.ndarray, depth: int = 0) -> np.ndarray:
+def multikey_quicksort(words: np.ndarray, rows: np.ndarray, depth: int = 0, small: int = 32) -> np.ndarray:
     """``rows`` in the order of their word sequences; equal sequences keep their order."""
     stack, out = [(rows, depth)], []
     while stack:
@@ -308,7 +386,7 @@ def multikey_quicksort(words: np.ndarray, rows: np.ndarray, depth: int = 0) -> n
             out.append(part)
             continue
         w = words[part, d]
-        if len(part) <= 32:
+        if len(part) <= small:
             out.append(part[np.lexsort(words[part][:, ::-1].T)])
             continue
         pivot = np.partition(w, len(w) // 2)[len(w) // 2]
@@ -319,10 +397,15 @@ def multikey_quicksort(words: np.ndarray, rows: np.ndarray, depth: int = 0) -> n
     return np.concatenate(out) if out else rows
 
 
+STRING = "doc_id long, start int, repeat boolean, edge int, bucket int, bytes binary"
+
+
 def _sorted_repeats(length: int):
     """Repeats in a bucket of strings; ``edge`` 1 and 2 mark its first and last string with bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         parts = [b for b in batches if len(b)]
         if not parts:
             return
@@ -341,7 +424,7 @@ def _sorted_repeats(length: int):
         edge = np.zeros(len(b), np.int32)
         edge[0] |= 1
         edge[-1] |= 2
-        out = pd.DataFrame({"doc_id": doc, "start": start, "repeat": repeat, "edge": edge, "bytes": None})
+        out = pd.DataFrame({"doc_id": doc, "start": start, "repeat": repeat, "edge": edge, "bucket": np.int32(TaskContext.get().partitionId()), "bytes": None})
         # The strings equal to the first may all turn out to be repeats; only the first can change.
         out.loc[edge > 0, "bytes"] = b["bytes"][edge > 0]
         yield out[repeat | (edge > 0)]
@@ -349,19 +432,14 @@ def _sorted_repeats(length: int):
     return run
 
 
-def _repeated_strings(strings: DataFrame, length: int, buckets: int) -> DataFrame:
+def _repeated_strings(strings: DataFrame, length: int, least_buckets: int) -> DataFrame:
     """(doc_id, start) of the strings (doc_id, start, bytes) that also stand earlier."""
+    buckets = min(MAX_BUCKETS, max(least_buckets, strings.count() // BUCKET_STRINGS))
     ranged = strings.repartitionByRange(buckets, "bytes", "doc_id", "start")
-    found = scratch(ranged.mapInPandas(_sorted_repeats(length), "doc_id long, start int, repeat boolean, edge int, bytes binary"), "strings")
-    edges = found.filter("edge > 0").toPandas()  # two strings a bucket
-    edges = sorted(((bytes(e.bytes), int(e.doc_id), int(e.start), int(e.edge)) for e in edges.itertuples()), key=lambda e: (e[:3], e[3]))
-    again, head = [], None
-    for data, doc, start, _ in edges:
-        if head is None or head[0] != data:
-            head = (data, doc, start)
-        elif (doc, start) != head[1:]:
-            again.append((doc, start))
-    extra = strings.sparkSession.createDataFrame(again, "doc_id long, start int")
+    found = scratch(ranged.mapInPandas(_sorted_repeats(length), STRING), "strings")
+    borders = _neighbours(found.filter("edge > 0"), ["bytes", "doc_id", "start"])
+    place = (F.col("doc_id") == F.col("b_doc_id")) & (F.col("start") == F.col("b_start"))
+    extra = borders.filter((F.col("bytes") == F.col("b_bytes")) & ~place).select("doc_id", "start")
     return found.filter("repeat").select("doc_id", "start").unionByName(extra)
 
 
@@ -374,8 +452,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     # A sample of documents, a bounded number for each bucket, places the splitters.
     share = max(1, rows // (20 * buckets))
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    splitters, n = _splitters(some.mapInPandas(_runs(length, gram, None), RUN), share, buckets)
-    anchors = first_runs(docs.mapInPandas(_runs(length, gram, splitters), "bucket int, rows binary"), n)
+    anchors = distinct_runs(docs, some, share, lambda splitters: _runs(length, gram, splitters), buckets)
 
     place = F.struct("start", "many", "lead")
     wanted = anchors.filter("not repeat").groupBy("doc_id").agg(F.collect_list(place).alias("runs"))
@@ -386,8 +463,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     share = max(1, data.count() // (20 * buckets))
     some = data.filter(F.pmod(F.xxhash64("doc_id", "start"), F.lit(share)) == 0)
-    splitters, n = _splitters(some.mapInPandas(_chunks(length, None), RUN), share, buckets)
-    chunks = first_runs(data.mapInPandas(_chunks(length, splitters), "bucket int, rows binary"), n)
+    chunks = distinct_runs(data, some, share, lambda splitters: _chunks(length, splitters), buckets)
     open_ = chunks.filter("not repeat").select("doc_id", F.col("lead").alias("run"), "start", "many")
     strings = open_.join(data.select("doc_id", F.col("start").alias("run"), "bytes").distinct(), ["doc_id", "run"])
     strings = strings.select("doc_id", "run", F.explode(F.expr("sequence(start, start + many - 1)")).alias("start"), "bytes")
