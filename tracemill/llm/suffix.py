@@ -322,11 +322,12 @@ def first_runs(packed: DataFrame, buckets: int) -> DataFrame:
     # The run goes on in this bucket: what stands here repeats it, unless it is that very place (a repeated row).
     again = borders.filter(same(WORDS) & ~same(["doc_id", "start"])).select("bucket", *WORDS, F.lit(True).alias("again"))
     more = borders.filter(same(WORDS[:2]) & ~same(WORDS[2:])).select(*WORDS[:2]).unionByName(edges.filter("shared").select(*WORDS[:2])).distinct()
-    # At most two rows for each bucket.
-    out = flagged.join(F.broadcast(again), ["bucket", *WORDS], "left").join(F.broadcast(more.withColumn("more", F.lit(True))), WORDS[:2], "left")
-    repeat = F.col("repeat") | F.coalesce("again", F.lit(False))
-    shared = F.col("shared") | (F.col("border") & F.coalesce("more", F.lit(False)))
-    return out.select(*KEY, "many", "lead", repeat.alias("repeat"), shared.alias("shared")).filter("repeat or shared").drop(*WORDS)
+    # At most two rows for each bucket; only rows of a bucket's first and last gram meet them.
+    outer = flagged.filter("border").join(F.broadcast(again), ["bucket", *WORDS], "left").join(F.broadcast(more.withColumn("more", F.lit(True))), WORDS[:2], "left")
+    repeat, shared = F.col("repeat") | F.coalesce("again", F.lit(False)), F.col("shared") | F.coalesce("more", F.lit(False))
+    names = ["doc_id", "start", "many", "lead"]
+    outer = outer.select(*names, repeat.alias("repeat"), shared.alias("shared")).filter("repeat or shared")
+    return flagged.filter("not border").select(*names, "repeat", "shared").unionByName(outer)
 
 
 def _bytes_of(length: int):
