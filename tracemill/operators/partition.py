@@ -74,11 +74,18 @@ def resume_after(df: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
 
 
 def test_split(df: DataFrame, key: Column, order: list[str], ratio: float) -> DataFrame:
-    """``is_test``: exactly int(rows * ratio) rows with the smallest ``key`` (ties by ``order``)."""
+    """``is_test``: exactly int(rows * ratio) rows with the smallest ``key`` (ties by ``order``, which should be unique).
+
+    Only key and order are ranged and numbered; the row that cuts the table is one, so the rest stays where it is."""
     n = int(df.count() * ratio)
-    keyed = df.withColumn("_key", key)
-    # The n-th smallest key cuts the table; only rows tied with it need their order.
-    return with_position(keyed, ["_key", *order], "_pos").withColumn("is_test", F.col("_pos") < n).drop("_key", "_pos")
+    names = ["_key", *order]
+    place = F.struct(key.alias("_key"), *order)
+    narrow = df.select(place.alias("_p")).select("_p.*")
+    cut = with_position(narrow, names, "_pos").filter(F.col("_pos") == n - 1).select(*names).first() if n else None
+    if cut is None:
+        return df.withColumn("is_test", F.lit(False))
+    last = F.struct(*[F.lit(v).cast(narrow.schema[c].dataType).alias(c) for c, v in zip(names, cut, strict=True)])
+    return df.withColumn("is_test", place <= last)
 
 
 def first_answers(cand: DataFrame, n: int) -> DataFrame:

@@ -211,6 +211,23 @@ def score_cache(rows: DataFrame, metric: Column, prediction: Column, gold: Colum
     )
 
 
+def vote_override(rows: DataFrame, cand: DataFrame, method: str) -> DataFrame:
+    """``rows`` (id, gold) scored by the winner of a vote over their candidates (id, cand_idx, answer, score or steps)
+    in place of their own text: ``pred`` and ``acc``. An answer sentence counts as what it says, in lower case without
+    quotes; other answers as they are."""
+    raw = F.col("answer")
+    told = M.unquote(F.lower(T.extract_template(raw)))
+    said = F.when(F.lower(raw).contains("the answer is"), told).otherwise(raw)
+    winners = vote(cand.withColumn("answer", said), method).select("id", F.col("answer").alias("pred"))
+    return rows.join(winners, "id", "left").withColumn("acc", M.choice_or_substring("gold", "pred").cast("double"))
+
+
+def rouge_summary(rows: DataFrame, rouge: Column, by: list[str]) -> DataFrame:
+    """The means of the three recalls of :func:`..functions.metrics.rouge` for each group."""
+    names = ("rouge_1", "rouge_2", "rouge_l")
+    return rows.select(*by, rouge.alias("_r")).groupBy(*by).agg(*[F.avg(F.col("_r")[n]).alias(n) for n in names])
+
+
 def result_row(cache: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean acc and mean pass@k, position by position, of a score cache; a row without candidates
     empties pass_at_k, as positions are zipped to the shortest."""

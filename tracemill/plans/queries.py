@@ -207,9 +207,9 @@ def first_char_of_answer(spark, d):
     return V.qa(spark, d).select("doc_id", T.first_char_of_answer("text").alias("answer"))
 
 
-@query("fenced_blocks", "SELECT doc_id, [trim(source, chr(10)), lang] AS blocks FROM documents")
+@query("fenced_blocks", "SELECT doc_id, [trim(text, chr(10)), lang] AS blocks FROM documents")
 def fenced_blocks(spark, d):
-    text = F.concat(F.lit("see ```\n"), F.col("source"), F.lit("\n``` or ```"), F.col("lang"), F.lit("``` end"))
+    text = F.concat(F.lit("see ```\n"), F.col("text"), F.lit("\n``` or ```"), F.col("lang"), F.lit("``` end"))
     return V.table(spark, d, "documents").select("doc_id", T.fenced_blocks(text).alias("blocks"))
 
 
@@ -398,9 +398,9 @@ def standard_output(spark, d):
     return none.unionByName(T.standard_output(c, ["id"], "cand_idx", ["vi", "ew"], all_words=True).select("id", "cand_idx", F.lit("all").alias("form")))
 
 
-@query("fill_prompt", "SELECT doc_id, 'Rewrite [' || source || '] in ' || lang || '.' AS prompt FROM documents")
+@query("fill_prompt", "SELECT doc_id, 'Rewrite [' || text || '] in ' || lang || '.' AS prompt FROM documents")
 def fill_prompt(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.fill("Rewrite [{a}] in {b}.", a="source", b="lang").alias("prompt"))
+    return V.table(spark, d, "documents").select("doc_id", T.fill("Rewrite [{a}] in {b}.", a="text", b="lang").alias("prompt"))
 
 
 @query(
@@ -442,14 +442,14 @@ def names_of_path(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.dataset_of(path, ["MedQA", *[f"src{i}" for i in range(100)]]).alias("dataset"), T.model_of(model).alias("model"))
 
 
-@query("chat_prompt", "SELECT doc_id, '<|system|>' || chr(10) || 's' || chr(10) || '<|user|>' || chr(10) || source || chr(10) AS text FROM documents")
+@query("chat_prompt", "SELECT doc_id, '<|system|>' || chr(10) || 's' || chr(10) || '<|user|>' || chr(10) || text || chr(10) AS text FROM documents")
 def chat_prompt(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.render_chat(T.chat_prompt("source", F.lit("s"))).alias("text"))
+    return V.table(spark, d, "documents").select("doc_id", T.render_chat(T.chat_prompt("text", F.lit("s"))).alias("text"))
 
 
-@query("answer_end", "SELECT doc_id, CAST(strlen(source) + 22 AS INTEGER) AS pos FROM documents")
+@query("answer_end", "SELECT doc_id, CAST(length(text) + 22 AS INTEGER) AS pos FROM documents")
 def answer_end(spark, d):
-    text = F.concat("source", F.lit("\nThe answer is kept.\n\nso"))
+    text = F.concat("text", F.lit("\nThe answer is kept.\n\nso"))
     return V.table(spark, d, "documents").select("doc_id", T.answer_end(text).cast("int").alias("pos"))
 
 
@@ -1154,9 +1154,9 @@ def whole_text(spark, d):
     return files.read_any(spark, path)
 
 
-@query("question_tags", "SELECT doc_id, source || ' Let''s write a program.' AS tagged, source AS bare FROM documents")
+@query("question_tags", "SELECT doc_id, text || ' Let''s write a program.' AS tagged, text AS bare FROM documents")
 def question_tags(spark, d):
-    tagged = T.add_tag("source", "pot_prompt")
+    tagged = T.add_tag("text", "pot_prompt")
     return V.table(spark, d, "documents").select("doc_id", tagged.alias("tagged"), T.remove_tag(tagged, "pot_prompt").alias("bare"))
 
 
@@ -1211,6 +1211,31 @@ def score_cache(spark, d):
     return result.select("source", rounded("acc"), F.round(F.get("pass_at_k", F.lit(0)), 6).alias("pass1"), F.round(F.get("pass_at_k", F.lit(1)), 6).alias("pass2"))
 
 
+@query(
+    "vote_override",
+    f"""WITH w AS ({vote_sql("vote-sum")}), g AS (SELECT DISTINCT user_id AS id, list_extract(['view', 'click', 'signup', 'error', 'purchase'], CAST(user_id % 5 + 1 AS INTEGER)) AS gold FROM events)
+        SELECT g.id, w.answer AS pred, CASE WHEN contains(w.answer, g.gold) THEN 1.0 ELSE 0.0 END AS acc FROM g JOIN w USING (id)""",
+    "cand",
+)
+def vote_override(spark, d):
+    sentence = F.concat(F.lit("So the answer is '"), F.upper("answer"), F.lit("'."))
+    cand = V.cand(spark, d).withColumn("answer", F.when(F.col("cand_idx") % 2 == 0, sentence).otherwise(F.col("answer")))
+    return voting.vote_override(V.gold(spark, d).withColumnRenamed("answer", "gold"), cand, "vote-sum").select("id", "pred", "acc")
+
+
+@query(
+    "rouge_summary",
+    """SELECT p_size % 3 AS k, round(avg(list_extract([0.75::DOUBLE, 1.0, 0.0, 0.5], p_size % 4 + 1)), 6) AS rouge_1, round(avg(list_extract([1 / 3.0::DOUBLE, 1.0, 0.0, 0.0], p_size % 4 + 1)), 6) AS rouge_2,
+        round(avg(list_extract([0.75::DOUBLE, 1.0, 0.0, 0.25], p_size % 4 + 1)), 6) AS rouge_l FROM part GROUP BY p_size % 3""",
+)
+def rouge_summary(spark, d):
+    s, k = F.col("p_size").cast("string"), F.col("p_size") % 4
+    text = F.when(k == 0, F.concat(F.lit("a b x "), s)).when(k == 1, F.concat(F.lit("a b c "), s)).when(k == 2, "q").otherwise("b a")
+    rows = V.table(spark, d, "part").withColumn("k", F.col("p_size") % 3)
+    means = voting.rouge_summary(rows, M.rouge(text, F.concat(F.lit("a b c "), s)), ["k"])
+    return means.select("k", rounded("rouge_1"), rounded("rouge_2"), rounded("rouge_l"))
+
+
 @query("sample_outputs", "SELECT CAST(n_nationkey AS VARCHAR) AS id, k AS cand_idx, n_name || ' ' || k AS text FROM nation, (SELECT CAST(range AS INTEGER) AS k FROM range(4))")
 def sample_outputs(spark, d):
     from ..operators.generate import sample_outputs as sample

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tracemill-")
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset (tests, local mode)."""
+    """A new folder under ``spark.checkpoint.dir``. In local mode, where all run on one machine, a temporary one
+    where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
