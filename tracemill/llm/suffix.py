@@ -7,7 +7,7 @@ inside a string the one with the least hash is its anchor. Equal strings have eq
 places, so it is enough to compare the strings of each anchor, and strings of one anchor overlap.
 
 1. Anchors. The suffix at each anchor is sorted by its first eight bytes, then by three words that stand
-   for the rest: a hash of its gram and 128 bits of BLAKE2b of the whole run of strings that have this anchor, then
+   for the rest: a hash of its gram and 128 bits of XXH3 of the whole run of strings that have this anchor, then
    by its place. Sampled splitters range-partition the anchors by this key, leading bytes first. Each bucket is sorted by
    multikey quicksort on the words; it shows for each run whether the same run stands earlier (then
    all its strings are repeats) and whether other runs share its gram. The last row of a bucket is
@@ -20,7 +20,7 @@ places, so it is enough to compare the strings of each anchor, and strings of on
    8-byte words, equal neighbours are repeats, again across the borders of buckets.
 
 Only steps 2 and 3 read bytes again, for first runs alone. That two runs are the same is told by 128 bits of
-a cryptographic hash, that two strings are by their bytes; the hash of a gram only tells what is worth a
+a hash that no structure of a text makes collide, that two strings are by their bytes; the hash of a gram only tells what is worth a
 closer look.
 
 Buckets are made for ``BUCKET_ROWS`` rows, and a task holds one at a time. Splitters, their sample and the borders
@@ -37,7 +37,6 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
-from hashlib import blake2b
 from operator import and_
 from collections.abc import Iterator
 
@@ -46,6 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .bloom import Bloom
 from .common import drop_scratch, scratch, text_of
@@ -74,15 +74,11 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(b < a, place[width - span : width - span + n], place[:n])
 
 
-def digests(data: bytes, start: np.ndarray, stop: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    """128 bits of BLAKE2b of data[start:stop] and the small numbers ``more``, as rows of two int64."""
-    view = memoryview(data)
-    salts = np.stack([m.astype("<u2") for m in more], axis=1).tobytes() if more else b""
-    size = 2 * len(more)
-    out = [
-        blake2b(view[a:b], digest_size=16, salt=salts[i * size : (i + 1) * size]).digest() for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True))
-    ]
-    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+def digests(data: bytes, start: np.ndarray, stop: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """128 bits of XXH3 of data[start:stop] and two small numbers, as rows of two int64."""
+    slices_ = map(data.__getitem__, map(slice, start.tolist(), stop.tolist()))
+    seeds = (near.astype(np.int64) << 20 | far.astype(np.int64)).tolist()
+    return np.frombuffer(b"".join(map(xxh3_128_digest, slices_, seeds)), ">i8").reshape(-1, 2).astype(np.int64)
 
 
 def leading(data: bytes, at: np.ndarray) -> np.ndarray:
@@ -253,13 +249,13 @@ def distinct_runs(source: DataFrame, some: DataFrame, share: int, make, least_bu
     return out
 
 
-FLAGGED = RUN + ", repeat boolean, shared boolean, border boolean, edge int, bucket int"
+FLAGGED = RUN + ", repeat boolean, shared boolean, open boolean, edge int, bucket int"
 
 
 def flag_bucket(rows: dict[str, np.ndarray], bucket: int) -> pd.DataFrame:
-    """Sorts a bucket by key and gives the rows that repeat an earlier place of their run, are first
-    runs sharing their gram, or belong to the first or last gram (``border``), which may go on in
-    the next bucket. ``edge`` 1 marks the bucket's first row and 2 its last."""
+    """Sorts a bucket by key and gives the rows that repeat an earlier place of their run or are first
+    runs sharing their gram. ``open`` marks the few that other buckets decide: the first place of the bucket's first run,
+    and the first or last gram's run if it is the only one. ``edge`` 1 marks the bucket's first row and 2 its last."""
     by_place = np.lexsort([rows["start"], rows["doc_id"]])
     words = np.stack([rows[c].view(np.uint64) for c in WORDS], axis=1)
     words[:, 0] ^= np.uint64(1 << 63)
@@ -274,13 +270,13 @@ def flag_bucket(rows: dict[str, np.ndarray], bucket: int) -> pd.DataFrame:
     group, run_no, place = np.cumsum(new_gram) - 1, np.cumsum(new_run) - 1, np.cumsum(new_place)
     repeat = place != place[np.flatnonzero(new_run)][run_no]
     shared = (np.bincount(group, new_run) > 1)[group]
-    border = (group == 0) | (group == group[-1])
+    open_ = ~repeat & ((run_no == 0) | (~shared & ((group == 0) | (group == group[-1]))))
     edge = np.zeros(n, np.int32)
     edge[0] |= 1
     edge[-1] |= 2
-    keep = repeat | shared | border
+    keep = repeat | shared | open_ | (edge > 0)
     out = pd.DataFrame({c: v[keep].astype(np.int64 if v.dtype.itemsize == 8 else np.int32) for c, v in rows.items()})
-    return out.assign(repeat=repeat[keep], shared=shared[keep], border=border[keep], edge=edge[keep], bucket=np.int32(bucket))
+    return out.assign(repeat=repeat[keep], shared=shared[keep], open=open_[keep], edge=edge[keep], bucket=np.int32(bucket))
 
 
 def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,12 +318,12 @@ def first_runs(packed: DataFrame, buckets: int) -> DataFrame:
     # The run goes on in this bucket: what stands here repeats it, unless it is that very place (a repeated row).
     again = borders.filter(same(WORDS) & ~same(["doc_id", "start"])).select("bucket", *WORDS, F.lit(True).alias("again"))
     more = borders.filter(same(WORDS[:2]) & ~same(WORDS[2:])).select(*WORDS[:2]).unionByName(edges.filter("shared").select(*WORDS[:2])).distinct()
-    # At most two rows for each bucket; only rows of a bucket's first and last gram meet them.
-    outer = flagged.filter("border").join(F.broadcast(again), ["bucket", *WORDS], "left").join(F.broadcast(more.withColumn("more", F.lit(True))), WORDS[:2], "left")
+    # At most two rows for each bucket meet the few open ones.
+    outer = flagged.filter("open").join(F.broadcast(again), ["bucket", *WORDS], "left").join(F.broadcast(more.withColumn("more", F.lit(True))), WORDS[:2], "left")
     repeat, shared = F.col("repeat") | F.coalesce("again", F.lit(False)), F.col("shared") | F.coalesce("more", F.lit(False))
     names = ["doc_id", "start", "many", "lead"]
     outer = outer.select(*names, repeat.alias("repeat"), shared.alias("shared")).filter("repeat or shared")
-    return flagged.filter("not border").select(*names, "repeat", "shared").unionByName(outer)
+    return flagged.filter("not open and (repeat or shared)").select(*names, "repeat", "shared").unionByName(outer)
 
 
 def _bytes_of(length: int):
