@@ -4,7 +4,7 @@ Words are proposed as greedy longest vocabulary matches. A sequence of tokens is
 merging gives if and only if every adjacent pair is: no symbol on the right edge of the left
 token may merge with one on the left edge of the right token while both exist. These checks run
 over arrays of all new adjacent pairs at once; only words with a failing pair are merged exactly.
-Words repeat, so each worker remembers the outcome for up to ``memo`` words.
+Words repeat, so each worker remembers the outcome for words of up to ``memo`` letters together.
 
 Works for vocabularies with an end-of-word suffix (tokenizers files whose pre-tokenizer removes
 white space). Edge cases: null text is empty and has no tokens; strings of added tokens in a
@@ -18,6 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from unicodedata import is_normalized
 
 import numpy as np
@@ -32,7 +33,7 @@ NEVER = 1 << 30
 
 
 class WordBpe:
-    def __init__(self, vocabulary: str, memo: int = 400_000):
+    def __init__(self, vocabulary: str, memo: int = 4_000_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -52,7 +53,7 @@ class WordBpe:
         self.table = [letters[b] for b in range(256)]
         self.bytes_of = {c: b for b, c in letters.items()}
         self.longest = max(map(len, self.vocab)) - len(self.suffix) + 1
-        self.limit = memo
+        self.limit, self.held = memo, 0
         self.memo: dict[str, tuple[int, str, str]] = {}
         self.exact_words = 0
         self._edges(merges)
@@ -119,21 +120,28 @@ class WordBpe:
         return list(word)
 
     def merge_exactly(self, word: str) -> list[int]:
-        parts = self.symbols(word)
-        rank = self.rank
-        ranks = [rank.get(p, NEVER) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), NEVER)
-            if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), NEVER)
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        """Merges from the lowest rank on, the leftmost of equals first; a heap holds the pairs that may merge,
+        so the time grows with n log n."""
+        parts: list[str | None] = list(self.symbols(word))
+        rank, n = self.rank, len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 1) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            r, i, j = heappop(heap)
+            # A pair counts only as it was put in: both there, neighbours, and of this rank.
+            if parts[i] is None or after[i] != j or j >= n or rank.get((parts[i], parts[j])) != r:
+                continue
+            parts[i] += parts[j]
+            parts[j] = None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank.get((parts[i], parts[after[i]]))) is not None:
+                    heappush(heap, (r, i, after[i]))
+            if before[i] >= 0 and (r := rank.get((parts[before[i]], parts[i]))) is not None:
+                heappush(heap, (r, before[i], i))
+        return [self.vocab[p] for p in parts if p is not None and p in self.vocab]
 
     def propose(self, word: str) -> list[int] | None:
         out, at, n = [], 0, len(word)
@@ -168,6 +176,7 @@ class WordBpe:
             if bad[i]:
                 self.exact_words += 1
                 ids = self.merge_exactly(spelled[i] + self.suffix)
+            self.held += len(w)
             self.memo[w] = (len(ids), " ".join(map(str, ids)), " ".join([names[t] for t in ids]))
 
     def pieces(self, text: str) -> list[str | int]:
@@ -199,8 +208,9 @@ class WordBpe:
                 size += len(texts[stop])
                 stop += 1
             memo = self.memo
-            if len(memo) > self.limit:
+            if self.held > self.limit:
                 memo.clear()
+                self.held = 0
             split = [self.pieces(t) for t in texts[start:stop]]
             new = {w for words in split for w in words if w not in memo and type(w) is str}
             if new:
