@@ -11,9 +11,10 @@ full, those at home against all, so no link of a vector with a home is missed.
 The rest, vectors without a home. Pivots are vectors of the sample that have no home; there are fewer
 than ``near`` of them in a group that is not dense, so they do not crowd one another out. Each vector is
 described by its ``near`` nearest pivots in order, and stands in the inverted lists of those.
-Vectors of one list that share at least ``shared`` pivots are candidates and are verified by their
+Vectors of one list that share at least ``shared`` pivots are candidates: the list is split by the other pivots
+its vectors have, and only vectors that share one of those are multiplied and verified by their
 cosine in double precision. A pair met in several lists counts in the list of its smallest shared
-pivot alone. There are ``4 * sqrt(n)`` pivots (64 at least, ``max_pivots`` at most), so lists grow
+pivot alone. There are ``4 * sqrt(n)`` pivots (64 at least), so lists grow
 with the square root of the input. Links between two vectors of the rest can be missed.
 
 Lists over ``block`` vectors are dealt out as pairs of blocks. A task gives each vector's number of links
@@ -124,6 +125,48 @@ def _describe(centre: dict[int, np.ndarray], pivots: dict[int, np.ndarray], near
     return run
 
 
+def _of_centre(x: np.ndarray, at_home: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows at home with all that come after them."""
+    rows, cols = [], []
+    home = np.flatnonzero(at_home)
+    for lo in range(0, len(home), 512):
+        part = home[lo : lo + 512]
+        r, c = np.nonzero((x[part] @ x.T >= threshold) & (np.arange(len(x))[None, :] > part[:, None]))
+        rows.append(part[r])
+        cols.append(c)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(rows or none), np.concatenate(cols or none)
+
+
+def _of_pivot(x: np.ndarray, lists: list[np.ndarray], number: int, threshold: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows that share ``shared`` pivots, of which ``number`` is the smallest."""
+    owner = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
+    flat = np.concatenate(lists)
+    if min(shared, min(map(len, lists))) < 2:
+        parts = [np.arange(len(lists))]  # there is no second pivot to share
+    else:
+        order = np.argsort(flat, kind="stable")
+        cut = np.flatnonzero(np.diff(flat[order])) + 1
+        parts = [owner[p] for p in np.split(order, cut) if flat[p[0]] != number and len(p) > 1]
+    codes = []
+    for part in parts:
+        for lo in range(0, len(part), 512):
+            r, c = np.nonzero(x[part[lo : lo + 512]] @ x[part].T >= threshold)
+            a, b = part[lo + r], part[c]
+            codes.append((a * len(x) + b)[a < b])
+    i, j = np.divmod(np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64), len(x))
+    # How many pivots, and whether a smaller one, the linked rows share.
+    used, place = np.unique(flat, return_inverse=True)
+    member = np.zeros((len(lists), len(used)), bool)
+    member[owner, place] = True
+    keep = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 4096):
+        both = member[i[lo : lo + 4096]] & member[j[lo : lo + 4096]]
+        enough = both.sum(axis=1) >= min(shared, min(map(len, lists)))
+        keep[lo : lo + 4096] = enough & ~both[:, used < number].any(axis=1)
+    return i[keep], j[keep]
+
+
 def _link(threshold: float, shared: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         number, left, right = int(key[1]), int(key[2]), int(key[3])
@@ -131,32 +174,14 @@ def _link(threshold: float, shared: int):
         g = g.sort_values(["close", "rep"], ascending=[False, True], ignore_index=True)
         x = unit(g["vector"])
         at_home = (g["home"] == number).to_numpy()
-        if number >= 0:
-            lists = [np.asarray(p) for p in g["pivots"]]
-            need = min(shared, min(map(len, lists)))
-            used, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-            member = np.zeros((len(g), len(used)), np.float32)
-            member[np.repeat(np.arange(len(g)), [len(p) for p in lists]), inverse] = 1
-            lower = member[:, used < number]
         block = g["block"].to_numpy()
-        rows, cols = [], []
-        for lo in range(0, len(g), 512):
-            part = slice(lo, min(len(g), lo + 512))
-            ok = np.arange(len(g))[None, :] > np.arange(part.start, part.stop)[:, None]
-            if number >= 0:
-                ok &= member[part] @ member.T >= need
-                if lower.shape[1]:
-                    ok &= lower[part] @ lower.T == 0
-            else:
-                ok &= at_home[part][:, None]
-            if left != right:
-                ok &= block[part][:, None] != block[None, :]
-            # The whole block is verified in one product; only candidates count.
-            ok &= x[part] @ x.T >= threshold
-            r, c = np.nonzero(ok)
-            rows.append(r + lo)
-            cols.append(c)
-        i, j = np.concatenate(rows), np.concatenate(cols)
+        if number >= 0:
+            i, j = _of_pivot(x, [np.asarray(p) for p in g["pivots"]], number, threshold, shared)
+        else:
+            i, j = _of_centre(x, at_home, threshold)
+        if left != right:
+            apart = block[i] != block[j]
+            i, j = i[apart], j[apart]
         members = g["members"].to_numpy()
         n = np.bincount(i, members[j], minlength=len(g)) + np.bincount(j, members[i], minlength=len(g))
         root = g["rep"].to_numpy()[local_roots(len(g), i, j)]
@@ -172,7 +197,6 @@ def near_vectors(
     near: int = 8,
     shared: int = 2,
     sample: int = 16_384,
-    max_pivots: int = 4096,
     block: int = 2048,
     dense: float = 0.75,
     id_col: str = "vec_id",
@@ -193,13 +217,13 @@ def near_vectors(
     )
     classes = scratch(classes, "classes")
     total = classes.count()
-    some = hashed_part(classes.select("k1", "vector"), ["k1"], sample, total).toPandas().sort_values("k1")["vector"]
-    n_pivots = int(min(max_pivots, max(64, 4 * math.sqrt(total))))
+    n_pivots = int(max(64, 4 * math.sqrt(total)))
+    some = hashed_part(classes.select("k1", "vector"), ["k1"], max(sample, 2 * n_pivots), total).toPandas().sort_values("k1")["vector"]
     by_size: dict[int, list] = {}
     for x in some:
         by_size.setdefault(len(x), []).append(x)
     samples = {n: unit(xs) for n, xs in by_size.items()}
-    centre = {n: centres(x, dense, near) for n, x in samples.items()}
+    centre = {n: centres(x[:: max(1, len(x) // sample)], dense, near) for n, x in samples.items()}
     rest = {n: x[(x @ centre[n].T).max(axis=1, initial=-2.0) < dense] for n, x in samples.items()}
     pivots = {n: spread(x, n_pivots) for n, x in rest.items() if len(x)}
 
@@ -210,12 +234,12 @@ def near_vectors(
     described = scratch(described, "described")
     lists = described.select("*", F.explode("lists").alias("list")).drop("lists")
     lists = lists.withColumn("own", (F.col("list") >= 0) | (F.col("list") == F.col("home")))
-    # One short row per list: at most max_pivots and sample / near for each vector length.
+    # One short row per list: 4 * sqrt(n) and sample / near at most for each vector length.
     blocks_of = lambda which: F.ceil(F.count_if(which) / block).cast("int")
     sizes = lists.groupBy("size", "list").agg(blocks_of(F.col("own")).alias("own_blocks"), blocks_of(~F.col("own")).alias("other_blocks"))
     # Visitors have blocks after those of the vectors at home, and meet only the latter.
     hashed = F.xxhash64("rep")
-    placed = lists.join(sizes, ["size", "list"]).withColumn(
+    placed = lists.join(F.broadcast(sizes), ["size", "list"]).withColumn(
         "block",
         F.when(F.col("own"), F.pmod(hashed, F.col("own_blocks"))).otherwise(F.col("own_blocks") + F.pmod(hashed, F.col("other_blocks"))).cast("int"),
     )
