@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +39,32 @@ def scratch(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=by)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _temporary:
+        _temporary[-1].append(out)
+    return out
+
+
+_temporary: list[list[DataFrame]] = []
+
+
+@contextmanager
+def only(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a result; when the block is left, the tables made in it go, the result stays."""
+    _temporary.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(scratch(df, name))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        made = _temporary.pop()
+        drop_scratch(*[t for t in made if all(t is not k for k in kept)])
+        if _temporary:
+            _temporary[-1].extend(kept)
 
 
 def drop_scratch(*tables: DataFrame) -> None:

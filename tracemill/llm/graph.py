@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from .common import drop_scratch, scratch
 
 
+SHARE = 20_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the smallest node reachable.
 
@@ -41,11 +44,11 @@ def components(links: DataFrame) -> DataFrame:
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Left join of ``rows`` with one row per group.
 
-    Groups whose ``size`` (a count of ``rows``) is over a thousandth of ``total`` are at most 1000 for each
-    time ``total`` goes into the rows, so they are broadcast and their rows never meet in one task. What is left of a
-    smaller group is a shuffle partition's worth, and adaptive execution splits it should it be more.
+    Groups whose ``size`` is over a part in ``SHARE`` of ``total``, the number of rows, are at most ``SHARE`` short rows,
+    so they are broadcast and their rows never meet in one task. A smaller group is less than a shuffle
+    partition of a large table should hold, and adaptive execution splits what is more.
     """
-    hot = F.col(size) > F.lit(max(1, total // 1000))
+    hot = F.col(size) > F.lit(max(1, total // SHARE))
     rest = [c for c in groups.columns if c not in keys]
     first = rows.join(F.broadcast(groups.filter(hot)), keys, "left")
     light = first.filter(F.col(size).isNull()).drop(*rest).join(groups.filter(~hot), keys, "left")

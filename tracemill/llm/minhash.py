@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .common import drop_scratch, scratch, text_of
+from .common import drop_scratch, only, scratch, text_of
 from .graph import components, join_groups, local_roots
 from .hashing import mix, salt, shingles
 
@@ -200,7 +200,7 @@ def near_duplicates(
     shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("h")).filter("m > 1")
     shared = scratch(shared.select("key", "m", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "shared")
     # Each bucket is known by its hub from here on: the pairs of a bucket are pairs of its hub's members.
-    met = join_groups(entry, shared, ["key"], "m", classes.count()).filter("hub is not null")
+    met = join_groups(entry, shared, ["key"], "m", classes.count() * bands).filter("hub is not null")
     members = scratch(met.select("hub", "hub_n", "rep", "n").distinct(), "members")
     # Texts of the few documents with candidates; the others are told by the filter and not moved.
     involved = scratch(members.select(F.col("rep").alias("doc_id")).distinct(), "involved")
@@ -234,8 +234,10 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their near-duplicates, all columns."""
-    lost = scratch(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    """The rows of ``docs`` that stand for their near-duplicates, all columns. Rows with a null id, a null text or
+    no words stay; rows repeated with one id stay or go together. An empty table stays empty."""
+    with only("lost") as keep:
+        lost = keep(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct())
     gone = Bloom(lost.select(F.col("_lost").alias("key")), lost.count())
     # Packed, so columns of any name are safe.
     packed, key = docs.select(F.struct("*").alias("_row")), F.col("_row.doc_id").cast("long")

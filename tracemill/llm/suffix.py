@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .bloom import Bloom
-from .common import drop_scratch, scratch, text_of
+from .common import drop_scratch, only, scratch, text_of
 from .hashing import mix, prefix, slices
 from .sampling import hashed_part
 
@@ -500,7 +500,8 @@ def cut_out(text: str, spans) -> tuple[bytes, list[tuple[int, int]], int]:
 
 def _with_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    spans = scratch(repeated_spans(source.filter("doc_id is not null"), length, gram), "spans")
+    with only("spans") as keep:
+        spans = keep(repeated_spans(source.filter("doc_id is not null"), length, gram))
     return _join_spans(source, spans, F.col("doc_id"))
 
 
@@ -530,7 +531,8 @@ def removals(docs: DataFrame, length: int = 100, gram: int = 50, id_col: str = "
 
 def without_repeats(docs: DataFrame, length: int = 100, gram: int = 50) -> DataFrame:
     """``docs`` with the repeated bytes cut from text (characters cut through go whole); n_chars follows."""
-    spans = scratch(repeated_spans(docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).filter("doc_id is not null"), length, gram), "spans")
+    with only("spans") as keep:
+        spans = keep(repeated_spans(docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).filter("doc_id is not null"), length, gram))
 
     @F.pandas_udf("string")
     def keep(text: pd.Series, found: pd.Series) -> pd.Series:

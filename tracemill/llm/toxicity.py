@@ -9,7 +9,7 @@ Labels say toxic or not; the grades above 0 come from the dose: how many words o
 sample text are ones that clean sample texts hardly use (``doses``: 1 below 3, 2 below 8, else 3).
 
 Fitting takes at most ``per_class`` labelled rows of each class (default 6000, smallest hashed
-ids first, each text once) and ``n_features`` features; scoring reads every whole text. Edge
+ids first, each text once and toxic if any of its rows is) and ``n_features`` features; scoring reads every whole text. Edge
 cases: null text is empty and gets grade 0; without toxic labels everything gets severity 0;
 repeated rows are scored alike. An empty table gives an empty result.
 """
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of
+from .common import only, scratch, text_of
 from .sampling import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -125,8 +125,24 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, weight: np.nda
     return w, theta0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
+def one_of_each(sample: DataFrame) -> DataFrame:
+    """Each text of a labelled sample once, under its largest label; the weights keep each class's share."""
+    share = {r["label"]: r["w"] for r in sample.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    texts = scratch(sample.groupBy("text").agg(F.max("label").alias("label")), "sample")
+    many = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    weight = F.lit(0.0)
+    for label, n in many.items():
+        weight = F.when(F.col("label") == label, share[label] / n).otherwise(weight)
+    return texts.withColumn("weight", weight)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, n_features: int = 3000, doses: tuple[int, ...] = (3, 8)) -> Grader:
-    sample = scratch(labelled_sample(docs, labels, "toxic", per_class).dropDuplicates(["text"]), "sample")
+    with only("fit"):
+        return _fit(docs, labels, per_class, n_features, doses)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, per_class: int, n_features: int, doses: tuple[int, ...]) -> Grader:
+    sample = one_of_each(scratch(labelled_sample(docs, labels, "toxic", per_class), "labelled"))
     chosen = choose_features(sample, n_features).collect()
     index = {r["feature"]: i for i, r in enumerate(chosen)}
     marks = {r["feature"] for r in chosen if r["marks"]}
@@ -179,7 +195,8 @@ def grade(docs: DataFrame, grader: Grader, id_col: str = "doc_id", text_col: str
 
 
 def reject(docs: DataFrame, grader: Grader) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, all columns; nothing is shuffled."""
+    """The rows of ``docs`` that are not toxic, all columns and repeated rows; nothing is shuffled. Null and empty texts
+    stay. An empty table stays empty."""
 
     @F.pandas_udf("boolean")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
