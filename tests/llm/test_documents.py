@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import pytest
@@ -212,10 +213,13 @@ def test_bpe(docs, empty):
 
     vocabulary = path("word_bpe_49k.json")
     tok = Tokenizer.from_file(vocabulary)
+    rng = random.Random(3)
     extra = ["<|endoftext|>a <|startoftext|>", "IT'S don't 12 Σς İ ﬁ", "aaaaaaaaaaaaaaaaaaaaa hahahahaha", "́é \x00\x1f"]
     texts = [d[1] or "" for d in documents()] + extra
     df = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(100 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
     want = set()
+    for t in (rng.choice(("a" * 9000, "ab1" * 4000, "漢字" * 3000)) for _ in range(3)):  # one long word
+        assert bpe.word_bpe(vocabulary).encode(t) == tok.encode(t, add_special_tokens=False).ids
     for t in texts:
         ids = tok.encode(t, add_special_tokens=False).ids
         want.add((len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(tok.decode(ids, skip_special_tokens=False))))
@@ -246,6 +250,43 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_repeated_and_null_ids(spark):
+    """Each row is packed on its own, whatever its id."""
+    import numpy as np
+
+    encoder = byte_encoder(path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    rows = [(7, words(rng, 900)), (7, words(rng, 30)), (7, "same"), (7, "same"), (None, words(rng, 1500)), (None, None), (None, "same"), (8, "")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path("byte_bpe_50k.json"), fan_in=2).toPandas()
+    want: dict = {}
+    for i, t in rows:
+        ids = np.array([*encoder.encode(t or ""), 1], "<u4")
+        want.setdefault(i, []).append(ids)
+    for i, texts in want.items():
+        mine = got[got["doc_id"].isna() if i is None else got["doc_id"] == i]
+        assert mine["length"].sum() == sum(map(len, texts))
+        pieces = list(zip(mine["start"], mine["length"], mine["doc_tokens"], mine["ids_crc32"], strict=True))
+        made = [(s, n, len(ids), zlib.crc32(ids[s : s + n].tobytes())) for ids in texts for s, n, total, _ in pieces if total == len(ids) and s + n <= total]
+        assert all(p in made for p in pieces)
+        assert sum(s == 0 for s, *_ in pieces) == len(texts)
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_packing_leaves_little(monkeypatch):
+    """What a worker leaves open is a few pieces, however many small ones it has."""
+    bins = packing.Bins(0, 2048)
+    rng = random.Random(2)
+    for _ in range(30_000):
+        n = rng.choice([1, 2, 3, 20, 64, 65, 300, 1025, 2000])
+        at = 0
+        for size, k in packing.cuts(n, 2048, 64):
+            bins.put([0, at, size, 0, n, None, None, 0, k], k)
+            at += size
+    assert sum(map(len, bins.open.values())) <= 31 * 32 // 2 + 2048
+    left = [p for p in bins.first_fit(0.95) if p[5] is None]
+    assert sum(p[2] for p in left) <= 2 * 2048
+
+
 def test_cuts():
     for n in range(1, 2048):
         pieces = packing.cuts(n, 2048, 64)
@@ -266,6 +307,48 @@ def test_license_with_words_inside():
     assert not index.scan([f"{' '.join(notice[:half])} {words(rng, 90)}".encode()], 0.8)
 
 
+def brute_licenses(rows):
+    """(doc_id, license) -> share, for every template in every whole text."""
+    def grams(text):
+        w = re.findall(rb"[a-z0-9\x80-\xff]+", text.encode().lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    out = {}
+    for i, t in rows:
+        mine = grams(t or "")
+        for name, template in licenses.TEMPLATES:
+            share = len(grams(template) & mine) / len(grams(template))
+            if share >= 0.8:
+                out[i, name] = max(share, out.get((i, name), 0))
+    return out
+
+
+def test_licenses_equal_a_plain_scan(spark):
+    """Whole notices, notices with words changed, cut or put in, two in one text, repeated rows and null ids."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(400):
+        w = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split()
+        kind = k // 16 % 5
+        if kind == 1:
+            w[rng.randrange(len(w))] = "changed"
+        elif kind == 2:
+            w = w[: int(len(w) * 0.9)]
+        elif kind == 3:
+            w.insert(len(w) // 2, words(rng, 2))
+        elif kind == 4:
+            w += licenses.TEMPLATES[(k * 7 + 3) % len(licenses.TEMPLATES)][1].split()
+        rows.append((k, f"{words(rng, rng.randrange(80))} {' '.join(w)} {words(rng, rng.randrange(80))}"))
+    rows += [(5, rows[5][1]), (None, licenses.TEMPLATES[0][1]), (900, None), (901, "of the MIT License"), (902, "")]
+    want = brute_licenses(rows)
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in got}
+    assert found.keys() == want.keys()
+    assert all(found[k] <= want[k] + 1e-9 for k in found)
+    assert sum(r["doc_id"] == 5 for r in got) == 2 * sum(k[0] == 5 for k in want)
+    assert found[None, "MIT"] == 1.0
+
+
 def test_licenses(docs, empty):
     rng = random.Random(3)
     texts = [f"{words(rng, n)}\n{t}\n{words(rng, 50)}" for n, (_, t) in zip((0, 3, 10, 50, 999), licenses.TEMPLATES, strict=False)]
@@ -301,6 +384,55 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.grade(df, nothing).filter("toxic").count() == 0
 
 
+def test_toxicity_of_held_out_tables(spark):
+    """Fitted on two thirds of the labels, judged on the rest; scores equal a plain sum over the weights."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    grader = toxicity.fit(docs, labels.filter(~held))
+    gold = labels.filter(held).select("doc_id", F.col("toxic").alias("gold")).filter("gold is not null")
+    some = docs.join(gold.select("doc_id"), "doc_id", "left_semi")
+    scored = toxicity.grade(some, grader).join(gold, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    caught, alone = ([r["toxic"] for r in scored if r["gold"] == g] for g in (1, 0))
+    assert len(caught) >= 100 and sum(caught) >= 0.9 * len(caught)
+    assert len(alone) >= 1000 and sum(alone) <= 0.005 * len(alone)
+    rows = [(r["doc_id"], r["severity"], r["text"]) for r in scored]
+    for _, severity, text in rows[:200]:
+        counts: dict = {}
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            for f in [w] + [w[:n] + "*" for n in (4, 5) if len(w) >= n]:
+                if f in grader.features:
+                    counts[f] = counts.get(f, 0) + 1
+        z = sum(grader.weights[grader.features[f]] * math.log1p(n) for f, n in counts.items())
+        assert severity == pytest.approx(sum(1 / (1 + math.exp(min(50, max(-50, t - z)))) for t in grader.thresholds), abs=1e-9)
+
+
+def test_toxicity_of_one_text_under_two_labels(spark):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 40) + (" vileword nastyword" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(500, "twice told vileword"), (501, "twice told vileword")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = labels_of(spark, [(i, 1, int(i % 4 == 0)) for i in range(200)] + [(500, 1, 0), (501, 1, 1)])
+    one, two = toxicity.fit(df, labels), toxicity.fit(df.repartition(5), labels.repartition(3))
+    assert one.features == two.features and (abs(one.weights - two.weights) < 1e-9).all()
+    sample = toxicity.one_of_each(df.join(labels, "doc_id").select("text", F.col("toxic").alias("label"), F.lit(1 / 202).alias("weight"))).collect()
+    assert [r["label"] for r in sample if r["text"].startswith("twice")] == [1]
+    assert sum(r["weight"] for r in sample) == pytest.approx(1)
+
+
+def test_quality_of_held_out_tables(spark):
+    from tracemill.llm.queries import op8_quality
+
+    scored = op8_quality(spark, "/root/testdata/sf0.01").filter("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = scored.join(labels.filter("quality is not null"), "doc_id").collect()
+    assert len(got) > 30
+    assert sum(r["predicted"] == r["quality"] for r in got) >= 0.95 * len(got)
+    assert all(r["predicted"] == int(r["score"] >= 0.5) for r in got)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(6)
     rows = [(i, words(rng, 60) if i % 3 else " ".join([words(rng, 2)] * 30)) for i in range(300)]

@@ -54,6 +54,27 @@ def test_near_vectors_dense(spark, cosine):
     assert all(got[i]["component_id"] == want[i] for i in range(1000))
 
 
+@pytest.mark.parametrize("noise", [0.30, 0.33])
+def test_near_vectors_at_the_threshold(spark, noise):
+    """Pairs whose cosine is about 0.9: at least nine tenths of the links are found, none below it, null ids included."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(2000, 64))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    x[2000:] = x[:2000] + (noise + 0.17) * y
+    rows: list[tuple] = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[3].tolist()), (None, (2 * x[4]).tolist())]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=256).collect()
+    u = np.vstack([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    n = linked.sum(axis=1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in got if r["vec_id"] is not None}
+    assert all(found[i] <= n[i] for i in range(4000))
+    assert sum(found.values()) >= 0.9 * n[:4000].sum()
+    assert [r["component_id"] is not None and r["n_links"] >= 1 for r in got if r["vec_id"] is None] == [True, True]
+
+
 @pytest.fixture(scope="module")
 def turns(spark):
     rows = [(1, 0, "system", "be <|im_start|> kind \\"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "user", ""), (1, 4, "assistant", "x" * 9000)]
@@ -116,6 +137,34 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, _row string, key int, spans string, label int"
+
+
+def test_stages_of_the_pipeline_take_anything(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing columns and an empty table go through every stage."""
+    import corpus_pipeline
+    from tests.llm.test_documents import documents
+    from tracemill.llm.common import scratch
+
+    rows = [(i, t, "en", "s", len(t or ""), True, "r", 1, None, 0) for i, t, *_ in documents()] + [(None, None, None, None, None, None, None, None, None, None)]
+    labels = [(i, 1, 0) for i in range(12)] + [(40, 1, 1), (None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, EDGES)
+        kept = {}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = scratch(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == [c.split()[0] for c in EDGES.split(", ")]
+            kept[name] = docs.collect()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+        assert pieces["length"].sum() == pieces[pieces["start"] == 0]["doc_tokens"].sum()
+        assert (pieces["start"] == 0).sum() == len(kept["suffix_dedup"])
+        if some:
+            texts = [r["text"] or "" for r in kept["exact_dedup"]]
+            assert len(texts) == len(set(texts)) == len({r["text"] or "" for r in kept["toxicity"]})
+            assert len(kept["near_dedup"]) < len(texts)
+
+
 def test_registered_queries(spark):
     import corpus_pipeline
     from tests.oracle import connect, differences

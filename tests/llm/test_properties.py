@@ -49,13 +49,13 @@ def test_byte_bpe_equals_the_library(byte_bpe, text):
 
 @given(st.lists(st.integers(1, 2047), max_size=60))
 def test_bins(lengths):
-    bins, out = packing.Bins(0), []
+    bins, out = packing.Bins(0, 2048), []
     for i, n in enumerate(lengths):
         at = 0
         for size, k in packing.cuts(n, 2048, 64):
             out += bins.put([i, at, size, 0, n, None, None, 0, k], k)
             at += size
-    out += bins.first_fit(2048)
+    out += bins.first_fit(0.0)
     assert sum(p[2] for p in out) == sum(lengths)
     by: dict = {}
     for p in out:
