@@ -29,7 +29,7 @@ def test_joins_and_python(spark, name):
     assert "CartesianProduct" not in text
     if name not in ONE_ROW:
         assert "BroadcastNestedLoopJoin" not in text
-    found = bool(re.search("ArrowEvalPython|MapInPandas|FlatMapGroups|BatchEvalPython", text))
+    found = bool(re.search("ArrowEvalPython|MapInPandas|MapInArrow|FlatMapGroups|BatchEvalPython", text))
     assert found == (name in PYTHON)
     assert "BatchEvalPython" not in text  # no function is called row by row
 
