@@ -117,7 +117,7 @@ def cut_second_answer(c: Column | str, phrase: str = "the answer is") -> Column:
 
 
 def cut_trace(c: Column | str, phrase: str = "The answer is ") -> Column:
-    """The text to one character behind the phrase, and a period; without the phrase its first 13 characters count."""
+    """The text to one character behind the phrase, and a period; without the phrase as many characters as it has are kept."""
     x = col(c)
     at = F.instr(x, phrase) - 1
     return F.concat(F.substring(x, F.lit(1), at + len(phrase) + 1), F.lit("."))
