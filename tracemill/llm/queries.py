@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, exact_dedup, licenses, minhash, packing, quality, suffix, toxicity
+from . import bpe, chat, embeddings, exact_dedup, filter_audit, licenses, minhash, packing, quality, spelling, suffix, token_counts, toxicity
 from .common import table
 from .vocabulary import path
 
@@ -66,11 +66,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(turns.unionByName(more)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_exact_dedup, op3_bpe, op4_suffix_dedup, op5_embedding_dedup,
         op6_licenses, op7_minhash, op8_quality, op9_packing, op10_chat,
+        op11_filter_audit, op12_spelling, op13_token_counts,
     )
 }
 
@@ -127,4 +140,36 @@ ORACLE_SQL = {
             CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(chars * CASE WHEN k = 1 AND role = 'system' THEN 1 + last WHEN remaining <= 2 AND tail <= 512 AND win < last THEN 2 ELSE 1 END) AS BIGINT) AS formatted_chars FROM d GROUP BY conv_id
     """,
+    "op11_filter_audit": """
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS ws FROM documents),
+            f AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+            l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+            c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+            o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+            s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, list_transform(range(1, step + 1), lambda i: 1 << (instr('ABCDE', substr(filter_order, CAST(i AS INTEGER), 1)) - 1)) AS bits
+                FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+            b AS (SELECT filter_order, step, bits[-1] AS bit, list_sum(bits) - bits[-1] AS earlier FROM s),
+            x AS (SELECT *, mask & bit <> 0 AS fails, mask & CAST(earlier AS BIGINT) <> 0 AS early FROM b, c)
+        SELECT part, filter_order, step, CAST(sum(CASE WHEN NOT fails AND NOT early THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN fails AND NOT early THEN n ELSE 0 END) AS BIGINT) AS removed,
+            CAST(sum(CASE WHEN fails AND early THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+            CAST(sum(CASE WHEN fails AND NOT early THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN fails AND NOT early THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+            CAST(sum(CASE WHEN fails THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley FROM x GROUP BY part, filter_order, step
+    """,
+    "op12_spelling": """
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+            r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{6,}')) AS run FROM documents),
+            g AS (SELECT run, hex(encode(id || ':' || run)) AS x, count(*) AS n FROM r GROUP BY id, run),
+            h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM g, crc),
+            e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+            w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+            q AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+            pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM q a JOIN q b USING (p, rest) WHERE a.word <> b.word
+                UNION SELECT a.word, b.word, b.n FROM w a JOIN q b ON a.word = b.rest UNION SELECT b.word, a.word, a.n FROM w a JOIN q b ON a.word = b.rest),
+            best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM pairs GROUP BY word),
+            f AS (SELECT w.word, w.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN best.m >= 5 * w.n THEN best.other END AS form, CASE WHEN best.m >= 5 * w.n THEN best.m END AS form_n FROM w LEFT JOIN best USING (word)),
+            chain AS (SELECT word, word AS at, form AS next, 0 AS depth FROM f UNION ALL SELECT chain.word, f.word, f.form, depth + 1 FROM chain JOIN f ON f.word = chain.next)
+        SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.next IS NULL
+    """,
 }
