@@ -41,14 +41,27 @@ SPACES = " \n\t\r"
 CONTROLS = re.compile("[\x1c-\x1f]")  # split() drops them, the pieces have them
 
 
+SHORT = (2, 1)
+
+
+def _sizes(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """The sizes of tokens by their last three letters, longest first."""
+    out: dict[str, set[int]] = {}
+    for t in tokens:
+        if len(t) > 2:
+            out.setdefault(t[-3:], set()).add(len(t))
+    return {end: (*sorted(sizes, reverse=True), *SHORT) for end, sizes in out.items()}
+
+
 class PrefixCounter:
-    def __init__(self, vocabulary: str, memo: int = 2_000_000):
+    def __init__(self, vocabulary: str, memo: int = 6_000_000):
         self.bpe = bpe = word_bpe(vocabulary)
         letters = bpe.table
         if any(c + end not in bpe.sound for c in letters for end in ("", bpe.suffix)):
             raise ValueError("each byte must be a token, with and without the end of a word")
         self.inner = {t: bpe.vocab[t] for t in bpe.sound if not t.endswith(bpe.suffix)}
         self.final = {t[: -len(bpe.suffix)]: bpe.vocab[t] for t in bpe.sound if t.endswith(bpe.suffix)}
+        self.inner_sizes, self.final_sizes = _sizes(self.inner), _sizes(self.final)
         self.rank = dict(zip(bpe.pair_keys.tolist(), bpe.pair_ranks.tolist(), strict=True))
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.fitting: dict[int, bool] = {}
@@ -84,10 +97,13 @@ class PrefixCounter:
             self.fitting[key] = known
         return known
 
-    def _last(self, letters: str, stop: int, vocabulary: dict[str, int], last: list[int]) -> tuple[int, int]:
+    def _last(self, letters: str, stop: int, vocabulary: dict[str, int], sizes: dict[str, tuple], last: list[int]) -> tuple[int, int]:
         """The one token that can end at ``stop``, and its start."""
         fitting, size = self.fitting, self.bpe.size
-        for start in range(max(0, stop - self.bpe.longest), stop):
+        for n in sizes.get(letters[max(0, stop - 3) : stop], SHORT):
+            start = stop - n
+            if start < 0:
+                continue
             token = vocabulary.get(letters[start:stop])
             if token is not None:
                 if start == 0:
@@ -100,10 +116,14 @@ class PrefixCounter:
     def _grow(self, letters: str, last: list[int], count: list[int]) -> None:
         """Last token and number of tokens of all prefixes but the whole, without the end of a word."""
         for stop in range(len(last), len(letters)):
-            token, start = self._last(letters, stop, self.inner, last)
+            token, start = self._last(letters, stop, self.inner, self.inner_sizes, last)
             last.append(token)
             count.append(count[start] + 1)
 
+    def _ended(self, letters: str, stop: int, last: list[int], count: list[int]) -> int:
+        """Number of tokens of a prefix as a word of its own."""
+        return count[self._last(letters, stop, self.final, self.final_sizes, last)[1]] + 1
+
     def spell(self, word: str) -> str:
         table = self.bpe.table
         return "".join([table[b] for b in word.encode()])
@@ -117,7 +137,7 @@ class PrefixCounter:
                 same += 1
             del last[same + 1 :], count[same + 1 :]
             self._grow(letters, last, count)
-            self.whole[word] = count[self._last(letters, len(letters), self.final, last)[1]] + 1
+            self.whole[word] = self._ended(letters, len(letters), last, count)
             self.held += len(word)
             before = letters
 
@@ -131,7 +151,7 @@ class PrefixCounter:
         self._grow(letters, last, count)
         for c in word:
             stop += len(c.encode())
-            found.append(count[self._last(letters, stop, self.final, last)[1]] + 1)
+            found.append(self._ended(letters, stop, last, count))
         if len(word) == 3 and word[0] == "'" and word[1].isalpha():
             # A contraction that is cut after its second letter is two pieces.
             found[1] = found[0] + self.learn(word[1])[-1]
@@ -143,35 +163,45 @@ class PrefixCounter:
         if self.held > self.limit:
             self._clear()
 
+    def totals(self, texts: list[str]) -> list[int]:
+        """Number of tokens of each whole text. The new words of about ``CHUNK`` letters of text are learned together."""
+        out, some, size = [0] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            start = 0
+            while start < len(text):
+                stop = len(text)
+                if stop - start > CHUNK:
+                    stop = start + CHUNK
+                    while stop < len(text) and text[stop] not in SPACES:
+                        stop += 1
+                some.append((i, text[start:stop]))
+                size += stop - start
+                start = stop
+                if size >= CHUNK:
+                    self._add(some, out)
+                    some, size = [], 0
+        self._add(some, out)
+        return out
+
     def total(self, text: str) -> int:
-        """Number of tokens of the whole text."""
-        n, start = 0, 0
-        while start < len(text):
-            stop = len(text)
-            if stop - start > CHUNK:
-                stop = start + CHUNK
-                while stop < len(text) and text[stop] not in SPACES:
-                    stop += 1
-            n += self._chunk(text[start:stop])
-            start = stop
-        return n
-
-    def _chunk(self, text: str) -> int:
+        return self.totals([text])[0]
+
+    def _add(self, some: list[tuple[int, str]], out: list[int]) -> None:
+        """Add the tokens of parts of texts to the numbers of their texts."""
         self._room()
-        if not settled(text) or CONTROLS.search(text) or not is_normalized("NFC", text) or any(a in text for a in self.bpe.added):
-            pieces = self.bpe.pieces(text)
-            self.learn_all({w for w in pieces if w not in self.whole})
-            return sum(map(self.whole.__getitem__, pieces))
-        # No piece holds white space, so the pieces between spaces are counted together.
-        fields = text.lower().split()
-        new = set(fields).difference(self.fields)
-        if new:
-            split = {f: [f] if f.isalpha() else self.bpe.words.findall(f) for f in new}
-            self.learn_all({w for pieces in split.values() for w in pieces if w not in self.whole})
-            for f, pieces in split.items():
-                self.fields[f] = sum(map(self.whole.__getitem__, pieces))
-                self.held += len(f)
-        return sum(map(self.fields.__getitem__, fields))
+        split = []
+        for i, text in some:
+            # No piece holds white space, so the pieces between spaces are counted together.
+            plain = settled(text) and not CONTROLS.search(text) and is_normalized("NFC", text) and not any(a in text for a in self.bpe.added)
+            split.append((i, plain, text.lower().split() if plain else self.bpe.pieces(text)))
+        new = {f for _, plain, fields in split if plain for f in fields}.difference(self.fields)
+        pieces = {f: [f] if f.isalpha() else self.bpe.words.findall(f) for f in new}
+        self.learn_all({w for _, plain, ws in split if not plain for w in ws if w not in self.whole} | {w for ws in pieces.values() for w in ws if w not in self.whole})
+        for f, ws in pieces.items():
+            self.fields[f] = sum(map(self.whole.__getitem__, ws))
+            self.held += len(f)
+        for i, plain, parts in split:
+            out[i] += sum(map((self.fields if plain else self.whole).__getitem__, parts))
 
     def counts(self, text: str) -> array:
         """Number of tokens of each prefix, from the empty one to the whole text."""
@@ -253,7 +283,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = prefix_counter(vocabulary)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": b["n_bytes"], "n_tokens": [counter.total(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": b["n_bytes"], "n_tokens": counter.totals(list(b["text"]))})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     source = source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
