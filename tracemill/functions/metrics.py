@@ -206,25 +206,31 @@ def alias_match(text: Column | str, aliases: Column | str) -> Column:
 
 def token_f1(text: Column | str, gold: Column | str) -> Column:
     """F1 of the multisets of words of the two plain answers."""
-    a, b = (F.filter(F.split(T.plain_answer(c), " "), lambda w: w != "") for c in (text, gold))
-    count = lambda xs, w: F.size(F.filter(xs, lambda y: y == w))
-    same = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
-    return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(a) + F.size(b)))
+    return best_token_f1(text, F.array(col(gold)))
 
 
 def best_token_f1(text: Column | str, golds: Column | str) -> Column:
-    return F.array_max(F.transform(col(golds), lambda g: token_f1(text, g)))
+    """The best F1 with one of the gold texts; null without a gold text that isn't null."""
+    from . import python_functions as P
+
+    return P.best_token_f1_udf(T.plain_answer(text), F.transform(col(golds), T.plain_answer))
 
 
 def ngram_recall(text: Column | str, gold: Column | str, n: int) -> Column:
-    """Share of the gold text's distinct n-grams that the text has."""
-    def grams(c: Column | str) -> Column:
-        w = F.filter(F.split(T.strip(c), r"\s+"), lambda x: x != "")
-        last = F.greatest(F.size(w) - n + 1, F.lit(0))
-        return F.array_distinct(F.transform(F.filter(F.transform(w, lambda _, i: i), lambda i: i < last), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
-
-    a, b = grams(text), grams(gold)
-    return F.when(F.size(b) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(b))
+    """Share of the gold text's distinct n-grams that the text has.
+
+    The words of both texts are bound once, so the time grows with their number.
+    """
+    words = lambda c: F.filter(F.split(T.strip(c), r"\s+"), lambda x: x != "")
+
+    def grams(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        every = w if n == 1 else F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.array_distinct(F.when(last < 1, F.array().cast("array<string>")).otherwise(every))
+
+    share = lambda g: F.when(F.size(g["gold"]) == 0, 0.0).otherwise(F.size(F.array_intersect(g["text"], g["gold"])) / F.size(g["gold"]))
+    split = F.when(col(text).isNotNull() & col(gold).isNotNull(), F.struct(words(text).alias("text"), words(gold).alias("gold")))
+    return T.bound(split, lambda w: T.bound(F.when(w.isNotNull(), F.struct(grams(w["text"]).alias("text"), grams(w["gold"]).alias("gold"))), share))
 
 
 def within(said: Column | str, gold: Column | str, share: float = 0.04) -> Column:

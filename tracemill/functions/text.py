@@ -6,6 +6,8 @@ carry the flags ``d`` (only a line feed ends a line) and ``u`` (Unicode case fol
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(col(c), rf"(?U)^{BLANKS}+|{BLANKS}+$(?!\n)", "")
@@ -157,9 +164,8 @@ def latex(c: Column | str) -> Column:
     x = lit(strip_chars(x, "$"), "\\$", "")
     x = drop_units(x)
     x = lit(lit(lit(x, "\\%", ""), " .", " 0."), "{.", "{0.")
-    x = F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x)
-    sides = F.split(x, "=", -1)
-    x = F.when((F.size(sides) == 2) & (F.char_length(sides[0]) <= 2), sides[1]).otherwise(x)
+    x = bound(x, lambda v: F.when(v.startswith("."), F.concat(F.lit("0"), v)).otherwise(v))
+    x = bound(F.split(x, "=", -1), lambda v: F.when((F.size(v) == 2) & (F.char_length(v[0]) <= 2), v[1]).otherwise(F.array_join(v, "=")))
     x = F.regexp_replace(x, r"\\sqrt([^{])", r"\\sqrt{$1}")
     x = lit(x, " ", "")
     x = braced_fractions(x)
@@ -168,9 +174,8 @@ def latex(c: Column | str) -> Column:
 
 def braced_fractions(c: Column | str) -> Column:
     """Braces around one-letter numerators and denominators; a fraction cut off stays as it is."""
-    x = col(c)
-    fixed = F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    return F.when(x.rlike(r"\\frac[^{]?($|\\frac)") & ~x.rlike(r"\\frac$"), x).otherwise(fixed)
+    fixed = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+    return bound(col(c), lambda x: F.when(x.rlike(r"\\frac[^{]?($|\\frac)") & ~x.rlike(r"\\frac$"), x).otherwise(fixed(x)))
 
 
 def drop_units(c: Column | str) -> Column:

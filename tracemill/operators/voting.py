@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from ..functions.symbolic import value_key
 
 OPS = ("mean", "prod", "gmean", "min", "sum", "last", "max")
 RULES = ("vote-sum", "vote-mean", "vote-count", "max")
@@ -86,16 +87,19 @@ def exact_sum(c: Column | str) -> Column:
     return F.sum(c.try_cast("decimal(30,12)")).cast("double")
 
 
-def answer_weights(cand: DataFrame, method: str) -> DataFrame:
-    """(id, answer, weight, first_idx): the weight of every distinct answer."""
-    op, rule = parse_method(method)
-    weight = {
+def _weight(rule: str) -> Column:
+    return {
         "vote-count": F.count(F.lit(1)).cast("double"),
         "vote-sum": exact_sum("g"),
         "vote-mean": exact_sum("g") / F.count("g"),
         "max": F.max("g"),
     }[rule]
-    return scored(cand, op).groupBy("id", "answer").agg(weight.alias("weight"), F.min("cand_idx").alias("first_idx"))
+
+
+def answer_weights(cand: DataFrame, method: str) -> DataFrame:
+    """(id, answer, weight, first_idx): the weight of every distinct answer."""
+    op, rule = parse_method(method)
+    return scored(cand, op).groupBy("id", "answer").agg(_weight(rule).alias("weight"), F.min("cand_idx").alias("first_idx"))
 
 
 def vote(cand: DataFrame, method: str = "vote-sum") -> DataFrame:
@@ -108,6 +112,19 @@ def vote(cand: DataFrame, method: str = "vote-sum") -> DataFrame:
     return answer_weights(cand, method).groupBy("id").agg(best).select("id", "w.answer", "w.weight")
 
 
+def vote_by_value(cand: DataFrame, method: str = "sc") -> DataFrame:
+    """(id, answer, weight): :func:`vote` where answers of equal value vote together, in the spelling given first.
+
+    Values are keys of a grouping like any answer, combined before the shuffle."""
+    op, rule = parse_method(method)
+    if rule == "max":
+        return vote(cand, method)
+    first = F.min(F.struct("cand_idx", "answer")).alias("first")
+    weights = scored(cand, op).withColumn("_value", value_key("answer")).groupBy("id", "_value").agg(_weight(rule).alias("weight"), first)
+    best = F.max(F.struct("weight", (-F.col("first.cand_idx")).alias("o"), "first.answer")).alias("w")
+    return weights.groupBy("id").agg(best).select("id", "w.answer", "w.weight")
+
+
 def vote_many(cand: DataFrame, methods: list[str]) -> DataFrame:
     """(method, id, answer, weight) of several methods from one grouping by question and answer."""
     parsed = {m: parse_method(m) for m in methods}
