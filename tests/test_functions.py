@@ -197,25 +197,29 @@ def grown(problem="B x slow", **changes):
     return search.Search(problem, "B", search.ScriptModel(), dataclasses.replace(search.PIPELINE, **changes))
 
 
+def talk(s, f, *args):
+    return search.alone(f(*args), s.model)
+
+
 def test_answers_of_several_steps_become_nodes():
     s = grown()
     s.root.visits, s.root.value = 1, 0.25
-    last = s.answer_nodes(s.root, "First. Step 1: Second. Step 2: Third. The answer is B. The answer is C.")
+    last = talk(s, s.answer_nodes, s.root, "First. Step 1: Second. Step 2: Third. The answer is B. The answer is C.")
     assert [n.text for n in s.root.walk()][1:] == ["First.", "Second.", "Third. The answer is B."]
     assert [n.kind for n in s.root.walk()][1:] == ["Reason", "Reason", "Finish"]
     assert (last.correct, last.completed, s.budget) == (True, True, 62)
-    other = s.answer_nodes(s.root, "Step 1: no end. Step 2: none")
+    other = talk(s, s.answer_nodes, s.root, "Step 1: no end. Step 2: none")
     assert (other.kind, other.text) == ("Reason", "")
 
 
 def test_what_becomes_of_steps():
     s = grown(actions=("Reason", "Finish", "Reflect"))
     low = s.add(s.root, "Finish", "The answer is C.")
-    s.score(low)
+    talk(s, s.score, low)
     assert (low.kind, low.value, low.completed) == ("Reason", 0.0, False)  # low finished nodes are opened again
     said = grown("B x sure")
     said.model = type("Telling", (search.ScriptModel,), {"generate": lambda *a: ["So. The answer is B."] * a[-1]})()
-    said.expand(said.root)
+    talk(said, said.expand, said.root)
     assert {n.kind for n in said.root.children} == {"Finish"}  # a step that answers is finished
 
 
@@ -248,12 +252,77 @@ def test_search_table_equals_searches_alone(spark):
         assert got == sorted(r for p in problems for r in search.rows_of(*p, model, search.PIPELINE))
 
 
+class Counting:
+    """A model for batches that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls, self.asked = model, 0, 0
+
+    def answer_many(self, method, args):
+        self.calls += 1
+        self.asked += len(args)
+        return [getattr(self.model, method)(*a) for a in args]
+
+
+@pytest.mark.parametrize("most", [1, 7, 64])
+def test_trees_together_are_the_trees_alone(most):
+    problems = [(str(i), f"B {i} {('sure', 'lost', 'long', 'slow', 'drawn')[i % 5]}", "B") for i in range(60)]
+    config = search.Config(max_nodes=25, correct_nodes=4, actions=("Reason", "Finish", "Reflect"))
+    for plain in (search.ScriptModel(), search.HashModel()):
+        one, many = Counting(plain), Counting(plain)
+        alone = [search.rows_of(*p, one, config) for p in problems]
+        found = list(search.together((search.tree_rows(*p, config) for p in problems), many, most))
+        assert sorted(found) == sorted(alone)
+        assert (one.asked, one.calls) == (many.asked, one.asked)
+        # As many trees are open, so many times fewer calls, but for the last ones and the kinds of questions.
+        assert many.calls <= one.calls if most == 1 else many.calls < one.calls / min(most, 10) * 3
+
+
+def test_a_talk_that_asks_nothing():
+    assert list(search.together(iter([]), search.HashModel())) == []
+    over = [search.tree_rows(str(i), "w " * 9000, "A", search.Config()) for i in range(5)]
+    assert list(search.together(iter(over), search.HashModel(), 2)) == [[]] * 5
+
+
+def test_models_of_batches_in_a_table(spark):
+    problems = [(str(i), f"B {i} slow", "B") for i in range(40)]
+    df = spark.createDataFrame(problems, "id string, question string, answer string")
+    model = Batch(search.ScriptModel())
+    got = sorted(tuple(r) for r in search.tree_search(df, model, open_trees=5).collect())
+    assert got == sorted(r for p in problems for r in search.rows_of(*p, search.ScriptModel(), search.PIPELINE))
+
+
+@dataclasses.dataclass(frozen=True)
+class Batch:
+    model: search.ScriptModel
+
+    def answer_many(self, method, args):
+        return [getattr(self.model, method)(*a) for a in args]
+
+
+def test_a_value_model(spark):
+    problems = [(str(i), f"B {i} drawn", "B") for i in range(6)]
+    df = spark.createDataFrame(problems, "id string, question string, answer string")
+    config = dataclasses.replace(search.PIPELINE, value_model=True, max_nodes=30)
+    rows = search.tree_search(df, search.HashModel(), config).collect()
+    paths = {(r["id"], r["nid"]): r for r in rows}
+
+    def steps(r):
+        return [*(steps(paths[r["id"], r["pid"]]) if r["pid"] is not None else []), r["step"]]
+
+    scored = [r for r in rows if r["pid"] is not None and r["value_trajectory"] and not any(x["pid"] == r["nid"] and x["id"] == r["id"] for x in rows)]
+    assert len(scored) > 20
+    for r in scored:
+        said = search.HashModel().value(f"B {r['id']} drawn", steps(r))
+        assert r["value_trajectory"][-1] == pytest.approx(said)
+
+
 def test_actions():
     model = type("Saying", (search.ScriptModel,), {"generate": lambda *a: ["x\n\nPlan 1: 1. a\n\nStep 3: b"] * a[-1]})()
     known = {n: f for kind in search.ACTIONS.values() for n, f in kind.items()}
     assert set(known) == {"Reason", "Finish", "Reflect", "Think", "Refine", "Simulation", "Decompose"}
-    assert known["Reflect"](model, "p", [], 2) == ["But wait, x\n\nPlan 1: 1. a"] * 2
-    assert known["Decompose"](model, "p", [], 2) == [T.PLAN_LEAD + "1. a"]
+    assert search.alone(known["Reflect"]("p", [], 2), model) == ["But wait, x\n\nPlan 1: 1. a"] * 2
+    assert search.alone(known["Decompose"]("p", [], 2), model) == [T.PLAN_LEAD + "1. a"]
 
 
 def test_python_functions():

@@ -329,19 +329,15 @@ def append_answer(output: Column | str, answer: Column | str, phrase: str = "The
     return F.concat(x, F.when(x.endswith("."), F.lit(" ")).otherwise(F.lit(". ")), F.lit(phrase), col(answer), F.lit("."))
 
 
-#: Names of the answer in a teacher's sentence, in the order they are looked for, and what is
-#: peeled off the answer before and after the last "answer" in it.
-ANSWER_NAMES = (r"(?:[a-z]+ )?answer", "correct answer", "final answer")
-PEEL_BEFORE = ("{", "}")
-PEEL_AFTER = (".", '"', "'")
+#: What may stand around an answer and is no part of it: white space, braces, colons, periods and quotes.
+AROUND_ANSWER = r"""[\s{}:.\"']+"""
 
 
 def teacher_answer(response: Column | str) -> Column:
-    """The bare answer that a teacher's response gives; null without an answer sentence."""
-    peel = lambda c, signs: c if not signs else peel(strip_chars(c, signs[0]), signs[1:])
-    sentence = F.coalesce(*[extract_template(response, name) for name in ANSWER_NAMES])
-    inner = F.substring_index(peel(strip_right(sentence, "."), PEEL_BEFORE), "answer", -1)
-    return peel(strip(lit(strip_chars(inner, ":"), "}}", "")), PEEL_AFTER)
+    """The bare answer that a teacher's response gives: what its last "The answer is" says, with any word before "answer" (correct,
+    final), behind any further "answer" in the sentence, without what stands around it. Null without such a sentence."""
+    said = F.substring_index(extract_template(response, r"(?:[a-z]+ )?answer"), "answer", -1)
+    return F.regexp_replace(said, rf"^{AROUND_ANSWER}|{AROUND_ANSWER}\z", "")
 
 
 def answers_agree(said: Column, idx: Column, gold: Column) -> Column:
