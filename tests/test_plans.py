@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 #: Functions that built-in expressions can't give, and the search and sampling loops.
 PYTHON = {
-    "boxed", "medcalc_extract", "medcalc_correct", "number_of", "lcs_recall", "clean_answer", "svamp", "math_correct", "calculation", "rouge", "rouge_summary", "tree_search", "tree_search_hash", "metric_by_name", "sample_outputs", "token_f1", "symbolic_equal", "value_votes",
+    "boxed", "medcalc_extract", "medcalc_correct", "number_of", "lcs_recall", "clean_answer", "svamp", "math_correct", "calculation", "rouge", "rouge_summary", "tree_search", "tree_search_hash", "tree_search_valued", "metric_by_name", "sample_outputs", "token_f1", "symbolic_equal", "value_votes",
 }
 #: Joins with a table of one row, and ranges of a column.
 ONE_ROW = {"method_accuracy", "resume_watermark"}
@@ -56,7 +56,7 @@ def test_votes_are_combined_before_the_shuffle(spark):
 
 
 def test_pairs_are_joined_by_tree_and_level(spark):
-    assert re.search(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[tree_id#\d+L?, depth#\d+\]", plan(spark, "dpo_level"))
+    assert re.search(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[tree_id#\d+L?, depth#\d+, _bit#\d+, _node#\d+\]", plan(spark, "dpo_level"))
 
 
 def test_all_methods_share_one_scan(spark):

@@ -52,23 +52,56 @@ def learn_advantage(steps: DataFrame) -> DataFrame:
 # Preference pairs ----------------------------------------------------------------------------
 
 
+CELLS, CELL_BITS = 16, 16
+
+
+def far_apart(high: DataFrame, low: DataFrame, keys: list[str], top: str, bottom: str, gap: float) -> DataFrame:
+    """Pairs of rows with equal keys whose ``top`` is more than ``gap`` over ``bottom``; all but few of the pairs that are made are such.
+
+    Values are numbered by cells of a part of the gap. A cell is behind another if there is a bit, the first in which
+    they differ, that it has and the other hasn't: then both have the same bits before. So a row of ``high`` looks under each bit it
+    has, one of ``low`` under each it hasn't, and the two meet once, in an equi-join; only pairs in the border cell are
+    compared for nothing. Rows that are within the gap of all others of their keys are left out before. Values beyond
+    the numbered cells count in the last one, so none are lost. Null and NaN values make no pairs."""
+    width, last = gap / CELLS, (1 << CELL_BITS) - 1
+    cell = lambda c: F.least(F.greatest(F.floor(c / width) + (1 << CELL_BITS - 1), F.lit(0)), F.lit(last)).cast("int")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    high, low = high.filter(known(top)), low.filter(known(bottom))
+    # A little below the border: rounding must not lose a pair.
+    start = cell(F.col(bottom) + gap - width * 1e-6)
+    ends = high.groupBy(*keys).agg(F.max(top).alias("_top")).join(low.groupBy(*keys).agg(F.min(bottom).alias("_bottom")), keys)
+    ends = ends.filter(F.col("_top") - F.col("_bottom") > gap)
+    ends = ends.select(*keys, "_top", "_bottom", cell(F.col("_top")).alias("_last"), cell(F.col("_bottom") + gap - width * 1e-6).alias("_first"))
+    bits = F.sequence(F.lit(0), F.lit(CELL_BITS - 1))
+
+    def looked_up(df: DataFrame, at: Column, has: bool) -> DataFrame:
+        node = lambda j: F.call_function("shiftright", F.col("_at"), j) + (0 if has else 1)
+        fits = lambda j: (F.pmod(F.call_function("shiftright", F.col("_at"), j), F.lit(2)) == int(has)) & (
+            node(j) > F.call_function("shiftright", F.col("_first"), j) if has else node(j) <= F.call_function("shiftright", F.col("_last"), j)
+        )
+        places = F.transform(F.filter(bits, fits), lambda j: F.struct(j.alias("bit"), node(j).alias("node")))
+        border = F.array(F.struct(F.lit(-1).alias("bit"), F.col("_at").alias("node")))
+        placed = df.withColumn("_at", at).withColumn("_cell", F.explode(F.concat(border, places)))
+        return placed.withColumns({"_bit": F.col("_cell.bit"), "_node": F.col("_cell.node")}).drop("_at", "_cell", "_top", "_bottom", "_first", "_last")
+
+    tall = high.join(ends, keys).filter(F.col(top) - F.col("_bottom") > gap)
+    short = low.join(ends, keys).filter(F.col("_top") - F.col(bottom) > gap)
+    met = looked_up(tall, cell(F.col(top)), True).join(looked_up(short, start, False), [*keys, "_bit", "_node"])
+    return met.filter(F.col(top) - F.col(bottom) > gap).drop("_bit", "_node")
+
+
 def level_pairs(node: DataFrame, gap: float = 0.8, text: str = "step") -> DataFrame:
     """(tree_id, chosen, rejected, finished): nodes of one level under different parents that have
-    other children too, whose values differ by more than ``gap``. Nodes of one path text count as the first of them. An
-    equi-join on tree and level."""
+    other children too, whose values differ by more than ``gap``. Nodes of one path text count as the first of them. The higher
+    one is chosen; pairs with a smaller difference aren't made (:func:`far_apart`)."""
     kids = node.filter("pid is not null").groupBy("tree_id", F.col("pid")).agg(F.count(F.lit(1)).alias("_kids")).filter("_kids > 1")
     leaf = tree.leaves(node).select("tree_id", "nid", F.lit(True).alias("_leaf"))
     known = tree.walked(node, text).filter("first").select("tree_id", "nid", "parent_path")
     some = node.join(known, ["tree_id", "nid"]).join(kids.select("tree_id", "pid"), ["tree_id", "pid"], "left_semi").join(leaf, ["tree_id", "nid"], "left")
     side = lambda p: some.select("tree_id", "depth", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "parent_path", "v")], F.coalesce("_leaf", F.lit(False)).alias(f"{p}_leaf"))
-    near = (F.col("a_nid") < F.col("b_nid")) & (F.col("a_parent_path") != F.col("b_parent_path")) & (F.abs(F.col("a_v") - F.col("b_v")) > gap)
-    pairs = side("a").join(side("b"), ["tree_id", "depth"]).filter(near)
-    up = F.col("a_v") > F.col("b_v")
-    return pairs.select(
-        "tree_id",
-        F.when(up, F.col("a_nid")).otherwise(F.col("b_nid")).alias("chosen"),
-        F.when(up, F.col("b_nid")).otherwise(F.col("a_nid")).alias("rejected"),
-        (F.col("a_leaf") & F.col("b_leaf")).alias("finished"),
+    pairs = far_apart(side("a"), side("b"), ["tree_id", "depth"], "a_v", "b_v", gap)
+    return pairs.filter(F.col("a_parent_path") != F.col("b_parent_path")).select(
+        "tree_id", F.col("a_nid").alias("chosen"), F.col("b_nid").alias("rejected"), (F.col("a_leaf") & F.col("b_leaf")).alias("finished")
     )
 
 
@@ -79,7 +112,7 @@ def finish_pairs(node: DataFrame, gap: float = 0.8, text: str = "step") -> DataF
     ends = node.filter("type = 'Finish'").select("tree_id", "nid", "v").join(met, ["tree_id", "nid"], "left_semi").join(tree.path_min(node), ["tree_id", "nid"])
     good = ends.filter("v = 1").select("tree_id", F.col("nid").alias("chosen"), F.col("value").alias("_c"))
     bad = ends.filter("v = 0").select("tree_id", F.col("nid").alias("rejected"), F.col("value").alias("_r"))
-    pairs = good.join(bad, "tree_id").filter(F.col("_c") - F.col("_r") > gap).select("tree_id", "chosen", "rejected")
+    pairs = far_apart(good, bad, ["tree_id"], "_c", "_r", gap).select("tree_id", "chosen", "rejected")
     known = level_pairs(node, gap, text).filter("finished").select("tree_id", "chosen", "rejected")
     return pairs.join(known, ["tree_id", "chosen", "rejected"], "left_anti")
 

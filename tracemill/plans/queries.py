@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..functions import symbolic as S
 from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import partition as part
-from ..operators import search, tree, voting
+from ..operators import intervals, search, tree, voting
 from ..sources import files
 from ..sources.shared import shared_folder
 from . import views as V
@@ -739,6 +740,27 @@ def diversity(spark, d):
     return tree.diversity(V.node(spark, d))
 
 
+@query("subtree_size", f"WITH RECURSIVE {_UP} SELECT tree_id, anc AS nid, count(*) AS nodes FROM up GROUP BY tree_id, anc", "node")
+def subtree_size(spark, d):
+    """From the intervals of a walk, as for trees of any size."""
+    return intervals.intervals(V.node(spark, d)).select("tree_id", "nid", intervals.size().alias("nodes"))
+
+
+@query("diversity_walk", f"WITH RECURSIVE {_UP} SELECT u.tree_id, u.anc AS nid, count(DISTINCT n.trace) AS value FROM up u JOIN node n ON n.tree_id = u.tree_id AND n.nid = u.nid GROUP BY u.tree_id, u.anc", "node")
+def diversity_walk(spark, d):
+    return intervals.diversity(V.node(spark, d))
+
+
+@query("path_min_doubling", f"WITH RECURSIVE {_UP}, {_PMIN} SELECT * FROM pmin", "node")
+def path_min_doubling(spark, d):
+    return intervals.path_min(V.node(spark, d))
+
+
+@query("node_depth", "SELECT tree_id, nid, depth FROM node", "node")
+def node_depth(spark, d):
+    return intervals.depths(V.node(spark, d))
+
+
 _SCORE = """dv AS (SELECT u.tree_id, u.anc AS nid, count(DISTINCT n.trace) AS dv FROM up u JOIN node n ON n.tree_id = u.tree_id AND n.nid = u.nid GROUP BY u.tree_id, u.anc),
     sc AS (SELECT n.tree_id, n.nid, n.pid, dv * 0.5::DOUBLE + CASE WHEN n.n > 0 THEN 1.0::DOUBLE / n.n ELSE 0 END * 0.5 AS score FROM node n JOIN dv ON dv.tree_id = n.tree_id AND dv.nid = n.nid)"""
 
@@ -851,14 +873,21 @@ def tree_from_chains(spark, d):
     # By hand from the rules: sure, all three first steps get one right answer; lost, each of three times three wrong
     # answers gets one reflection; long, two first steps get three answers of two steps; slow, twenty rounds of three
     # steps, then an answer for each of the 41 leaves.
-    """SELECT CAST(o_orderkey AS VARCHAR) AS id, list_extract([7, 22, 16, 102], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS nodes,
+    # The deepest leaves are those of the last of three full levels, and seven of the next.
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, list_extract([7, 22, 16, 102], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS nodes, list_extract([2, 3, 3, 5], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS depth,
+        list_extract([3, 12, 9, 60], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS n_reason, list_extract([63 / 64, 0, NULL, NULL], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS root,
         list_extract([3, 0, 6, 41], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS n_pos, list_extract([0, 9, 0, 0], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS n_neg FROM orders""",
 )
 def tree_search(spark, d):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("sure", "lost", "long", "slow")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     found = search.tree_search(_problems(spark, d, kind), search.ScriptModel())
     finish = F.col("type") == "Finish"
-    return found.groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(finish & F.col("correct")).alias("n_pos"), F.count_if(finish & ~F.col("correct")).alias("n_neg"))
+    # Six visits halve what a root of sure steps lacks.
+    root = F.max(F.when(F.col("pid").isNull() & (F.col("id").cast("long") % 4 < 2), F.col("v"))).alias("root")
+    return found.groupBy("id").agg(
+        F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count_if(F.col("type") == "Reason").alias("n_reason"), root,
+        F.count_if(finish & F.col("correct")).alias("n_pos"), F.count_if(finish & ~F.col("correct")).alias("n_neg"),
+    )
 
 
 def _problems(spark: SparkSession, d: str, kind) -> DataFrame:
@@ -867,6 +896,21 @@ def _problems(spark: SparkSession, d: str, kind) -> DataFrame:
     return o.select(F.col("o_orderkey").cast("string").alias("id"), F.concat_ws(" ", answer, F.col("o_orderkey").cast("string"), kind).alias("question"), answer.alias("answer"))
 
 
+@query(
+    "tree_search_valued",
+    # By hand: without rollouts a first step is never sure, so each asks which action to take. sure: two steps get three
+    # right answers each; lost, long and slow as above.
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, list_extract([10, 22, 16, 102], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS nodes, list_extract([2, 3, 3, 5], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS depth,
+        list_extract([6, 9, 6, 41], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS n_finish, list_extract([6, 0, 6, 41], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS n_pos FROM orders""",
+)
+def tree_search_valued(spark, d):
+    """A value model scores the steps; finished ones are checked against the answer."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("sure", "lost", "long", "slow")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    found = search.tree_search(_problems(spark, d, kind), search.ScriptModel(), dataclasses.replace(search.PIPELINE, value_model=True))
+    finish = F.col("type") == "Finish"
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count_if(finish).alias("n_finish"), F.count_if(finish & F.col("correct")).alias("n_pos"))
+
+
 @query("tree_search_hash")
 def tree_search_hash(spark, d):
     found = search.tree_search(_problems(spark, d, F.lit("drawn")), search.HashModel())
