@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -220,6 +222,33 @@ def token_labels(lengths: Column | str, labels: Column | str, limit: int | None
     return flat if limit is None else F.slice(flat, 1, limit)
 
 
+#: A word with the white space before it, or what white space is left at the end: the pieces of a text, nothing lost.
+PIECES = r"\s*[^\s]+|\s+$"
+
+
+def piece_lengths(text: Column | str, pattern: str = PIECES) -> Column:
+    """Lengths of the tokens that a pattern cuts a text into, in letters."""
+    return F.transform(F.regexp_extract_all(T.col(text), F.lit(pattern), F.lit(0)), F.char_length)
+
+
+def text_labels(tokens: Column | str, steps: Column | str, labels: Column | str, limit: int | None = None) -> Column:
+    """One label for each token of a text that was cut into tokens as a whole: a step's label at the last token that ends in it,
+    the ignore label elsewhere and for the first step.
+
+    ``tokens`` and ``steps`` are lengths, in the same unit, of what the text is made of. A token over a border counts in the step
+    it ends in; a step no token ends in has no label. ``limit`` cuts the tokens, with their labels. Both lists of ends are
+    sorted, so they are merged; null where any of the three is null."""
+    from ..functions import python_functions as P
+
+    out = P.labels_at_ends_udf(T.col(tokens), T.col(steps), T.col(labels).cast("array<double>"), F.lit(IGNORE))
+    return out if limit is None else F.slice(out, 1, limit)
+
+
+def within_tokens(df: DataFrame, tokens: str, limit: int) -> DataFrame:
+    """Rows whose text has at most ``limit`` tokens, of a column of token lengths."""
+    return df.filter(F.size(tokens) <= limit)
+
+
 def pad(arr: Column | str, size: Column | int, value) -> Column:
     """An array filled up with ``value`` on the right."""
     a = T.col(arr)
@@ -261,6 +290,59 @@ def binary_cross_entropy(p: Column | str, label: Column | str) -> Column:
     return -(y * F.ln(q) + (1 - y) * F.ln(1 - q))
 
 
+def log_softmax(x: Column | str) -> Column:
+    """Logarithms of the shares of an array of logits."""
+    top = lambda v: F.array_max(v)
+    rest = lambda v: F.ln(F.aggregate(v, F.lit(0.0), lambda a, y: a + F.exp(y - top(v))))
+    return T.bound(T.col(x), lambda v: T.bound(top(v) + rest(v), lambda whole: F.transform(v, lambda y: y - whole)))
+
+
+def soft_cross_entropy(logits: Column | str, label: Column | str) -> Column:
+    """Of two logits, against the probability of the second."""
+    y = T.col(label)
+    return T.bound(log_softmax(logits), lambda v: -(y * v[1] + (1 - y) * v[0]))
+
+
+def logit_cross_entropy(logit: Column | str, label: Column | str) -> Column:
+    """Binary cross entropy of a logit, without overflow; labels are kept a little under 1."""
+    x, y = T.col(logit), F.least(F.greatest(T.col(label), F.lit(0.0)), F.lit(1 - 1e-4))
+    return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+
+
+def huber(p: Column | str, label: Column | str, delta: float = 0.5) -> Column:
+    """Half the square of a difference up to ``delta``, in proportion to it beyond."""
+    d = F.abs(T.col(p) - T.col(label))
+    return F.when(d <= delta, 0.5 * d * d).otherwise(delta * (d - 0.5 * delta))
+
+
+def _hybrid(logits: Column, label: Column) -> Column:
+    near = F.least(F.greatest(label, F.lit(0.0)), F.lit(1 - 1e-4))
+    return 0.5 * logit_cross_entropy(logits[1], label) + 0.5 * huber(sigmoid(logits[1]), near)
+
+
+#: Losses of a token's two logits against a label between 0 and 1.
+LOSSES: dict[str, Callable[[Column, Column], Column]] = {
+    "soft": soft_cross_entropy,
+    "mse": lambda logits, label: F.pow(step_probability(logits) - label, F.lit(2)),
+    "huber": lambda logits, label: huber(step_probability(logits), label),
+    "bce": lambda logits, label: logit_cross_entropy(logits[1], label),
+    "hybrid": _hybrid,
+}
+
+
+def token_loss(kind: str, logits: Column | str, label: Column | str) -> Column:
+    """A token's loss; null, which means leave out, where the label is the ignore label."""
+    y = T.col(label)
+    return F.when(y != IGNORE, LOSSES[kind](T.col(logits), y))
+
+
+def penalised_loss(logits: Column | str, label: Column | str, penalty_logits: Column | str, penalty: Column | str, kind: str = "soft", weight: float = 0.3) -> Column:
+    """The mean over rows of a loss and ``weight`` times the cross entropy of the penalties: an aggregate. Rows count for each
+    part by that part's own label."""
+    known = F.when(T.col(penalty) != IGNORE, soft_cross_entropy(penalty_logits, (T.col(penalty) > 0).cast("double")))
+    return F.avg(token_loss(kind, logits, label)) + weight * F.coalesce(F.avg(known), F.lit(0.0))
+
+
 def mean_loss(losses: Column | str) -> Column:
     """Mean of the token losses that are not 0."""
     some = F.filter(T.col(losses), lambda x: x != 0)

@@ -1061,6 +1061,41 @@ def token_labels(spark, d):
     return g.select("traj", F.posexplode(labels).alias("pos", "label")).filter("label <> -100")
 
 
+@query(
+    "text_labels",
+    r"""WITH t AS (SELECT traj, idx, text || chr(10) || chr(10) AS step, CAST(idx AS DOUBLE) AS label FROM steps),
+        e AS (SELECT traj, idx, label, CAST(sum(length(step)) OVER (PARTITION BY traj ORDER BY idx) AS BIGINT) AS stop FROM t),
+        w AS (SELECT traj, string_agg(step, '' ORDER BY idx) AS whole FROM t GROUP BY traj),
+        p AS (SELECT traj, unnest(regexp_extract_all(whole, '\s*[^\s]+|\s+$')) AS piece, generate_subscripts(regexp_extract_all(whole, '\s*[^\s]+|\s+$'), 1) - 1 AS pos FROM w),
+        q AS (SELECT traj, pos, CAST(sum(length(piece)) OVER (PARTITION BY traj ORDER BY pos) AS BIGINT) AS stop FROM p),
+        m AS (SELECT e.traj, e.idx, e.label, max(q.pos) AS pos FROM e JOIN q ON q.traj = e.traj AND q.stop <= e.stop GROUP BY e.traj, e.idx, e.label)
+        SELECT traj, CAST(pos AS INTEGER) AS pos, label FROM (SELECT *, lag(pos) OVER (PARTITION BY traj ORDER BY idx) AS before FROM m) WHERE idx > 0 AND pos > before""",
+    "steps",
+)
+def text_labels(spark, d):
+    """Labels of the words of whole trajectories; a word takes the white space before it, so it may begin in the step before."""
+    step = F.concat("text", F.lit("\n\n"))
+    rows = V.steps(spark, d).groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("idx", step.alias("step")))).alias("s"))
+    labels = D.text_labels(D.piece_lengths(F.array_join("s.step", "")), F.transform("s.step", F.char_length), F.transform("s.idx", lambda i: i.cast("double")))
+    return rows.select("traj", F.posexplode(labels).alias("pos", "label")).filter("label <> -100")
+
+
+@query(
+    "losses",
+    """WITH e AS (SELECT vec_id % 10 AS k, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d, (vec_id % 5) / 4.0::DOUBLE AS y, vec_id % 7 = 0 AS skip FROM embeddings),
+        f AS (SELECT *, exp(b) / (exp(a) + exp(b)) AS p, 1 / (1 + exp(-b)) AS s, least(y, 1 - 1e-4) AS z FROM e),
+        g AS (SELECT k, skip, -(y * ln(p) + (1 - y) * ln(1 - p)) AS soft, (p - y) * (p - y) AS mse, CASE WHEN abs(p - y) <= 0.5 THEN 0.5 * (p - y) * (p - y) ELSE 0.5 * (abs(p - y) - 0.25) END AS huber,
+            -(z * ln(s) + (1 - z) * ln(1 - s)) AS bce, CASE WHEN abs(s - z) <= 0.5 THEN 0.5 * (s - z) * (s - z) ELSE 0.5 * (abs(s - z) - 0.25) END AS h, -ln(CASE WHEN y > 0 THEN exp(d) ELSE exp(c) END / (exp(c) + exp(d))) AS pen FROM f)
+        SELECT k, round(avg(soft), 6) AS soft, round(avg(mse), 6) AS mse, round(avg(huber), 6) AS huber, round(avg(bce), 6) AS bce, round(avg(0.5 * bce + 0.5 * h), 6) AS hybrid, round(avg(soft) + 0.3 * avg(pen), 6) AS penalised FROM g WHERE NOT skip GROUP BY k""",
+)
+def losses(spark, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    label = F.when(F.col("vec_id") % 7 == 0, D.IGNORE).otherwise((F.col("vec_id") % 5) / 4.0)
+    e = V.table(spark, d, "embeddings").select((F.col("vec_id") % 10).alias("k"), F.slice(x, 1, 2).alias("logits"), F.slice(x, 3, 2).alias("other"), label.alias("label"))
+    each = [F.round(F.avg(D.token_loss(kind, "logits", "label")), 6).alias(kind) for kind in D.LOSSES]
+    return e.groupBy("k").agg(*each, F.round(D.penalised_loss("logits", "label", "other", "label"), 6).alias("penalised"))
+
+
 @query("pad_collate", "WITH a AS (SELECT doc_id, doc_id // 8 AS b, len(string_split(text, chr(10))) AS n FROM documents) SELECT doc_id, CAST(max(n) OVER (PARTITION BY b) AS INTEGER) AS width, CAST(max(n) OVER (PARTITION BY b) - n AS INTEGER) AS pads FROM a")
 def pad_collate(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", F.expr("doc_id div 8").alias("b"), F.transform(F.split("text", "\n", -1), lambda _: F.lit(1)).alias("ids"))
