@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import materialise
 from . import tree
 
 IGNORE = -100.0
@@ -65,43 +66,52 @@ def far_apart(high: DataFrame, low: DataFrame, keys: list[str], top: str, bottom
     has, one of ``low`` under each it hasn't, and the two meet once, in an equi-join; only pairs in the border cell are
     compared for nothing. Rows that are within the gap of all others of their keys are left out before. Values beyond
     the numbered cells count in the last one, so none are lost. Null and NaN values make no pairs."""
-    width, last = gap / CELLS, (1 << CELL_BITS) - 1
-    cell = lambda c: F.least(F.greatest(F.floor(c / width) + (1 << CELL_BITS - 1), F.lit(0)), F.lit(last)).cast("int")
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     high, low = high.filter(known(top)), low.filter(known(bottom))
-    # A little below the border: rounding must not lose a pair.
-    start = cell(F.col(bottom) + gap - width * 1e-6)
     ends = high.groupBy(*keys).agg(F.max(top).alias("_top")).join(low.groupBy(*keys).agg(F.min(bottom).alias("_bottom")), keys)
     ends = ends.filter(F.col("_top") - F.col("_bottom") > gap)
-    ends = ends.select(*keys, "_top", "_bottom", cell(F.col("_top")).alias("_last"), cell(F.col("_bottom") + gap - width * 1e-6).alias("_first"))
+    return _meet(high.join(ends, keys), low.join(ends, keys), keys, top, bottom, gap)
+
+
+def _meet(high: DataFrame, low: DataFrame, keys: list[str], top: str, bottom: str, gap: float) -> DataFrame:
+    """:func:`far_apart` of tables that have the largest ``_top`` and smallest ``_bottom`` of their keys."""
+    width, last = gap / CELLS, (1 << CELL_BITS) - 1
+    cell = lambda c: F.least(F.greatest(F.floor(c / width) + (1 << CELL_BITS - 1), F.lit(0)), F.lit(last)).cast("int")
+    # A little below the border: rounding must not lose a pair.
+    start = lambda c: cell(c + gap - width * 1e-6)
     bits = F.sequence(F.lit(0), F.lit(CELL_BITS - 1))
+    right = lambda c, j: F.call_function("shiftright", F.col(c), j)
 
-    def looked_up(df: DataFrame, at: Column, has: bool) -> DataFrame:
-        node = lambda j: F.call_function("shiftright", F.col("_at"), j) + (0 if has else 1)
-        fits = lambda j: (F.pmod(F.call_function("shiftright", F.col("_at"), j), F.lit(2)) == int(has)) & (
-            node(j) > F.call_function("shiftright", F.col("_first"), j) if has else node(j) <= F.call_function("shiftright", F.col("_last"), j)
-        )
-        places = F.transform(F.filter(bits, fits), lambda j: F.struct(j.alias("bit"), node(j).alias("node")))
+    def looked_up(df: DataFrame, has: bool) -> DataFrame:
+        node = lambda j: right("_at", j) + (0 if has else 1)
+        met = lambda j: node(j) > right("_end", j) if has else node(j) <= right("_end", j)
+        places = F.transform(F.filter(bits, lambda j: (F.pmod(right("_at", j), F.lit(2)) == int(has)) & met(j)), lambda j: F.struct(j.alias("bit"), node(j).alias("node")))
         border = F.array(F.struct(F.lit(-1).alias("bit"), F.col("_at").alias("node")))
-        placed = df.withColumn("_at", at).withColumn("_cell", F.explode(F.concat(border, places)))
-        return placed.withColumns({"_bit": F.col("_cell.bit"), "_node": F.col("_cell.node")}).drop("_at", "_cell", "_top", "_bottom", "_first", "_last")
+        placed = df.withColumn("_cell", F.explode(F.concat(border, places)))
+        return placed.withColumns({"_bit": F.col("_cell.bit"), "_node": F.col("_cell.node")}).drop("_at", "_end", "_cell", "_top", "_bottom")
 
-    tall = high.join(ends, keys).filter(F.col(top) - F.col("_bottom") > gap)
-    short = low.join(ends, keys).filter(F.col("_top") - F.col(bottom) > gap)
-    met = looked_up(tall, cell(F.col(top)), True).join(looked_up(short, start, False), [*keys, "_bit", "_node"])
+    tall = high.filter(F.col(top) - F.col("_bottom") > gap).withColumns({"_at": cell(F.col(top)), "_end": start(F.col("_bottom"))})
+    short = low.filter(F.col("_top") - F.col(bottom) > gap).withColumns({"_at": start(F.col(bottom)), "_end": cell(F.col("_top"))})
+    met = looked_up(tall, True).join(looked_up(short, False), [*keys, "_bit", "_node"])
     return met.filter(F.col(top) - F.col(bottom) > gap).drop("_bit", "_node")
 
 
-def level_pairs(node: DataFrame, gap: float = 0.8, text: str = "step") -> DataFrame:
+def level_pairs(node: DataFrame, gap: float = 0.8, text: str = "step", walk: DataFrame | None = None) -> DataFrame:
     """(tree_id, chosen, rejected, finished): nodes of one level under different parents that have
     other children too, whose values differ by more than ``gap``. Nodes of one path text count as the first of them. The higher
-    one is chosen; pairs with a smaller difference aren't made (:func:`far_apart`)."""
-    kids = node.filter("pid is not null").groupBy("tree_id", F.col("pid")).agg(F.count(F.lit(1)).alias("_kids")).filter("_kids > 1")
-    leaf = tree.leaves(node).select("tree_id", "nid", F.lit(True).alias("_leaf"))
-    known = tree.walked(node, text).filter("first").select("tree_id", "nid", "parent_path")
-    some = node.join(known, ["tree_id", "nid"]).join(kids.select("tree_id", "pid"), ["tree_id", "pid"], "left_semi").join(leaf, ["tree_id", "nid"], "left")
-    side = lambda p: some.select("tree_id", "depth", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "parent_path", "v")], F.coalesce("_leaf", F.lit(False)).alias(f"{p}_leaf"))
-    pairs = far_apart(side("a"), side("b"), ["tree_id", "depth"], "a_v", "b_v", gap)
+    one is chosen; pairs with a smaller difference aren't made (:func:`far_apart`). ``walk`` is :func:`tree.walked`, if it is known.
+
+    Writes the nodes that can pair, as they are read several times."""
+    kids = node.filter("pid is not null").groupBy("tree_id", "pid").agg(F.count(F.lit(1)).alias("_kids"))
+    known = (tree.walked(node, text) if walk is None else walk).filter("first").select("tree_id", "nid", "parent_path")
+    own = node.select("tree_id", "nid", "pid", "depth", "v").join(known, ["tree_id", "nid"])
+    some = own.join(kids.filter("_kids > 1").select("tree_id", "pid"), ["tree_id", "pid"], "left_semi")
+    some = some.join(kids.select("tree_id", F.col("pid").alias("nid"), "_kids"), ["tree_id", "nid"], "left")
+    some = some.select("tree_id", "depth", "nid", "parent_path", "v", F.col("_kids").isNull().alias("leaf")).filter(~F.isnan("v"))
+    ends = some.groupBy("tree_id", "depth").agg(F.max("v").alias("_top"), F.min("v").alias("_bottom")).filter(F.col("_top") - F.col("_bottom") > gap)
+    some = materialise(some.join(ends, ["tree_id", "depth"]).filter((F.col("_top") - F.col("v") > gap) | (F.col("v") - F.col("_bottom") > gap)), "level")
+    side = lambda p: some.select("tree_id", "depth", "_top", "_bottom", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "parent_path", "v", "leaf")])
+    pairs = _meet(side("a"), side("b"), ["tree_id", "depth"], "a_v", "b_v", gap)
     return pairs.filter(F.col("a_parent_path") != F.col("b_parent_path")).select(
         "tree_id", F.col("a_nid").alias("chosen"), F.col("b_nid").alias("rejected"), (F.col("a_leaf") & F.col("b_leaf")).alias("finished")
     )
@@ -109,13 +119,14 @@ def level_pairs(node: DataFrame, gap: float = 0.8, text: str = "step") -> DataFr
 
 def finish_pairs(node: DataFrame, gap: float = 0.8, text: str = "step") -> DataFrame:
     """(tree_id, chosen, rejected): nodes of type Finish with value 1 against those with value 0 whose path
-    minima differ by more than ``gap``, unless :func:`level_pairs` has them as leaves."""
-    met = tree.walked(node, text).filter("under_first").select("tree_id", "nid")
-    ends = node.filter("type = 'Finish'").select("tree_id", "nid", "v").join(met, ["tree_id", "nid"], "left_semi").join(tree.path_min(node), ["tree_id", "nid"])
+    minima differ by more than ``gap``, unless :func:`level_pairs` has them as leaves. The trees are walked once; the walk is written."""
+    walk = materialise(tree.walked(node, text), "walk")
+    met = walk.filter("under_first").select("tree_id", "nid", "value")
+    ends = node.filter("type = 'Finish' and v in (0, 1)").select("tree_id", "nid", "v").join(met, ["tree_id", "nid"])
     good = ends.filter("v = 1").select("tree_id", F.col("nid").alias("chosen"), F.col("value").alias("_c"))
     bad = ends.filter("v = 0").select("tree_id", F.col("nid").alias("rejected"), F.col("value").alias("_r"))
     pairs = far_apart(good, bad, ["tree_id"], "_c", "_r", gap).select("tree_id", "chosen", "rejected")
-    known = level_pairs(node, gap, text).filter("finished").select("tree_id", "chosen", "rejected")
+    known = level_pairs(node, gap, text, walk).filter("finished").select("tree_id", "chosen", "rejected")
     return pairs.join(known, ["tree_id", "chosen", "rejected"], "left_anti")
 
 

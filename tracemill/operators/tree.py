@@ -74,19 +74,22 @@ def path_min(node: DataFrame) -> DataFrame:
 
 
 def walked(node: DataFrame, text: str = "step") -> DataFrame:
-    """(tree_id, nid, parent_path, first, under_first): nodes with equal path texts are one in a walk by
+    """(tree_id, nid, parent_path, first, under_first, value): nodes with equal path texts are one in a walk by
     levels. ``first`` marks a node whose path and all beginnings of it are met for the first time there,
-    ``under_first`` a child of such a node."""
-    trees = lineages(node, [text])
+    ``under_first`` a child of such a node; ``value`` is the smallest v of the path without the root."""
+    trees = lineages(node, [text, "v"])
     key = lambda line: F.to_json(F.transform(line, lambda p: F.get("nodes", p)[f"c_{text}"]))
     trees = _once(trees, "keys", F.transform("lines", key))
     trees = _once(trees, "own", F.transform("keys", lambda k, i: F.array_position("keys", k).cast("int") - 1 == i))
     trees = _once(trees, "first", F.transform("lines", lambda line: F.forall(line, lambda p: F.get("own", p))))
-    every = trees.select("tree_id", "nodes", "up", "keys", "first", F.posexplode("first").alias("at", "_f"))
+    every = trees.select("tree_id", "nodes", "up", "keys", "lines", "first", F.posexplode("first").alias("at", "_f"))
     above = F.get("up", F.col("at"))
+    line = F.get("lines", F.col("at"))
+    low = F.array_min(F.transform(F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))), lambda p: F.get("nodes", p)["c_v"]))
     return every.select(
-        "tree_id", F.get("nodes", F.col("at"))["nid"].alias("nid"), F.get("keys", above).alias("parent_path"), F.col("_f").alias("first"), F.coalesce(F.get("first", above), F.lit(False)).alias("under_first")
-    )
+        "tree_id", F.get("nodes", F.col("at"))["nid"].alias("nid"), F.get("keys", above).alias("parent_path"), F.col("_f").alias("first"),
+        F.coalesce(F.get("first", above), F.lit(False)).alias("under_first"), low.alias("value"),
+    )
 
 
 def diversity(node: DataFrame, trace: str = "trace") -> DataFrame:
