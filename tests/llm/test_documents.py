@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+import threading
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tracemill.llm import bpe, exact_dedup, licenses, minhash, packing, quality, suffix, toxicity
+from tracemill.llm import bpe, exact_dedup, hashing, licenses, minhash, packing, quality, suffix, toxicity
+from tracemill.llm.common import only, scratch
 from tracemill.llm.vocabulary import byte_encoder, path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, key string, label int, rep long, _maybe boolean"
@@ -95,6 +98,41 @@ def test_words_that_modular_hashes_confuse(spark):
     assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
 
 
+def test_words_that_were_made_to_collide(spark):
+    """Without a key, these words have equal hashes in pairs."""
+    one = "4wsjlbcag3x6sv80 rs18bf38il5pj3jo 4jdko3qdmv309g5b 3dgig25ubdlpwrjf"
+    two = "5otvu4eapgdwzqt1 7w6ghwwn0\"]][n(> 7tqqk83s.x+)5`7` m0mf6vd4xtu!n@//"
+    plain = [hashing.words([t.encode()])[0] for t in (one, two)]
+    keyed = [hashing.words([t.encode()], key=hashing.new_key())[0] for t in (one, two)]
+    assert np.isin(*plain).any()
+    assert not np.isin(*keyed).any()
+    docs = spark.createDataFrame([(1, one), (2, two), (3, "another text of some words"), (4, one)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, width=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_blocks_of_two_threads(spark):
+    """Each thread removes its own tables only."""
+    inside, removed = threading.Event(), threading.Event()
+    kept = {}
+
+    def other():
+        with only("other") as keep:
+            table = scratch(spark.range(3), "mine")
+            inside.set()
+            removed.wait(60)
+            kept["other"] = keep(table)
+
+    thread = threading.Thread(target=other)
+    with only("first") as keep:
+        thread.start()
+        inside.wait(60)
+        kept["first"] = keep(scratch(spark.range(2), "own"))
+    removed.set()
+    thread.join()
+    assert kept["first"].count() == 2 and kept["other"].count() == 3
+
+
 def test_slices_of_the_filter(spark, docs, monkeypatch):
     """A filter of many slices gives the same rows, and the probed side is not exchanged."""
     from tracemill.llm import bloom

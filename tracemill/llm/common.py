@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,18 +41,21 @@ def scratch(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
-    if _temporary:
-        _temporary[-1].append(out)
+    for made in _temporary.get()[-1:]:
+        made.append(out)
     return out
 
 
-_temporary: list[list[DataFrame]] = []
+#: The tables made in each open block of :func:`only`, of this thread alone.
+_temporary: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("temporary", default=())
 
 
 @contextmanager
 def only(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Gives a function that writes a result; when the block is left, the tables made in it go, the result stays."""
-    _temporary.append([])
+    made: list[DataFrame] = []
+    around = _temporary.get()
+    before = _temporary.set((*around, made))
     kept: list[DataFrame] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -61,10 +65,10 @@ def only(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        made = _temporary.pop()
+        _temporary.reset(before)
         drop_scratch(*[t for t in made if all(t is not k for k in kept)])
-        if _temporary:
-            _temporary[-1].extend(kept)
+        for outer in around[-1:]:
+            outer.extend(kept)
 
 
 def drop_scratch(*tables: DataFrame) -> None:

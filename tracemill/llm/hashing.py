@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -60,15 +61,22 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LONG = 256  # words of more bytes are hashed one by one
 
 
-def hash_slices(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def new_key() -> int:
+    """A key that no text can have been made for: one for all tasks of a run."""
+    return secrets.randbits(64)
+
+
+def hash_slices(data: bytes, start: np.ndarray, stop: np.ndarray, key: int = 0) -> np.ndarray:
     """A 64-bit hash of data[start:stop] for each pair.
 
-    Eight bytes at a time go through a bijection, so slices of one length up to 8 never collide and no
-    structure of the text can make longer ones collide; slices over ``LONG`` bytes take BLAKE2b.
+    Eight bytes at a time go through a bijection, so slices of one length up to 8 never collide. Longer ones collide with a chance of
+    2^-64 a pair; as the steps can be undone by who knows them, texts can be made to collide unless a secret ``key`` is
+    mixed into each step. Slices over ``LONG`` bytes take BLAKE2b, with the same key.
     """
+    secret = np.uint64(key)
     eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
     size = stop - start
-    h = mix(size.astype(np.uint64) * salt(3) + salt(5))
+    h = mix(size.astype(np.uint64) * salt(3) + salt(5) + secret)
     many = np.flatnonzero(size > LONG)
     at = np.flatnonzero((size > 0) & (size <= LONG))
     done = 0
@@ -77,30 +85,30 @@ def hash_slices(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         chunk = eight[start[at] + done]
         short = left < 8
         chunk[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
-        h[at] = mix((h[at] ^ chunk) * BASE + salt(7))
+        h[at] = mix((h[at] ^ chunk) * BASE + salt(7) + secret)
         done += 8
         at = at[left > 8]
     for i in many:
-        h[i] = int.from_bytes(blake2b(data[start[i] : stop[i]], digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(blake2b(data[start[i] : stop[i]], digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
     return h
 
 
-def words(texts: list[bytes], letters: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], letters: bytes = LOWER, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of each word of the texts, their bytes replaced by ``letters``, split at white space."""
     data = (b"\n".join(texts) + b"\n").translate(letters)
     space = SPACE[np.frombuffer(data, np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return hash_slices(data, start, stop), np.searchsorted(ends, start, side="right")
+    return hash_slices(data, start, stop, key), np.searchsorted(ends, start, side="right")
 
 
-def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes], width: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of the distinct ``width``-word shingles, sorted by text and hash.
 
     A text with fewer words has its whole sequence as one; a text without words has none.
     """
-    h, doc = words(texts)
+    h, doc = words(texts, key=key)
     n = np.bincount(doc, minlength=len(texts))
     full = np.zeros(0, np.uint64)
     owner = np.zeros(0, np.int64)

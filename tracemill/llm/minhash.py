@@ -6,8 +6,8 @@ everything to bin i, so every coordinate is filled. Two sketches agree in a coor
 probability equal to the Jaccard similarity, and the mean over coordinates concentrates.
 ``bands`` x ``rows`` coordinates are hashed into band keys; documents that share one are candidates.
 
-Words are hashed eight bytes at a time by bijections, so shingle sets are sets of 64-bit hashes that no
-structure of a text makes collide. Documents with equal shingle sets are one class, stood for by its smallest id. The smallest id of a
+Words are hashed eight bytes at a time with a key that is drawn for each run, so shingle sets are sets of 64-bit hashes that
+no text can be made to collide in; by chance two shingles do with 2^-64. Documents with equal shingle sets are one class, stood for by its smallest id. The smallest id of a
 bucket is its hub, and all members of the hub's buckets are its members. Members are first
 verified against their hub, on the full sets. Those not connected to it by then are verified
 against all other members of the hub, in pairs of blocks of ``block`` documents: a task counts the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bloom import Bloom
 from .common import drop_scratch, only, scratch, text_of
 from .graph import components, join_groups, local_roots
-from .hashing import mix, salt, shingles
+from .hashing import mix, new_key, salt, shingles
 
 CHUNK = 1 << 19  # bytes of text worked on at once
 
@@ -83,7 +83,7 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, bands: int, rows: int, key: int = 0) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (of the set), bands (array of keys, empty without shingles)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             texts = [t.encode("utf-8", "replace") for t in b["text"]]
             ids = b["doc_id"].astype("Int64")
             for i, j in _chunks(texts):
-                h, owner = shingles(texts[i:j], width)
+                h, owner = shingles(texts[i:j], width, key)
                 n = np.bincount(owner, minlength=j - i)
                 at = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(s)))]) for s in (11, 13)]
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int, key: int = 0) -> DataFrame:
     """doc_id, shingles (array of long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +113,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             texts = [t.encode("utf-8", "replace") for t in b["text"]]
             ids = b["doc_id"]
             for i, j in _chunks(texts):
-                h, owner = shingles(texts[i:j], width)
+                h, owner = shingles(texts[i:j], width, key)
                 sets = np.split(h.view(np.int64), np.searchsorted(owner, np.arange(1, j - i)))
                 yield pd.DataFrame({"doc_id": ids[i:j].reset_index(drop=True), "shingles": sets})
 
@@ -190,7 +190,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows_ = scratch(sketches(source, width, bands, rows), "sketches")
+    secret = new_key()
+    rows_ = scratch(sketches(source, width, bands, rows, secret), "sketches")
     known = rows_.filter("doc_id is not null and n_shingles > 0")
     classes = scratch(
         known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.min_by("bands", "doc_id").alias("bands")),
@@ -206,7 +207,7 @@ def near_duplicates(
     involved = scratch(members.select(F.col("rep").alias("doc_id")).distinct(), "involved")
     known_ids = Bloom(involved.select(F.col("doc_id").alias("key")), involved.count())
     some = known_ids.matches(source, F.col("doc_id")).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch(shingle_sets(some, width), "sets")
+    sets = scratch(shingle_sets(some, width, secret), "sets")
 
     # Every member against its hub.
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
