@@ -106,3 +106,19 @@ def test_votes_over_sentences(spark):
 
 def test_hard_labels(spark):
     assert one(spark, [0.5, 0.2, 0.4], lambda v: D.hard_labels(v, F.array(F.lit(0.5), F.lit(0.3), F.lit(0.1)), 0.45, hrm=True), "array<double>") == [1, 0, 1]
+
+
+def test_json_documents_of_many_tasks(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    rows = [(i, None if i % 5 == 0 else f'"é\n{i}') for i in range(50)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(4)
+    for name, options, most in (("many", {}, 4), ("one", {"single": True}, 1), ("wide", {"indent": 2}, 4)):
+        out = str(tmp_path / f"{name}.json")
+        files.write_json(df, out, **options)
+        parts = [json.loads(p.read_text()) for p in Path(out).glob("part-*")]
+        assert len(parts) == most and sum(map(len, parts)) == 50
+        assert sorted(tuple(r) for r in files.read_any(spark, out).select("i", "t").collect()) == sorted(rows)
+    files.write_json(df.filter("i < 0"), str(tmp_path / "none.json"))
+    assert files.read_json(spark, str(tmp_path / "none.json"), "i int, t string").count() == 0

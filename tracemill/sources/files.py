@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,12 +63,25 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite", indent: int | None = None) -> None:
-    """One document holding the array of records. All rows meet in one file by definition: for large
-    results use JSON lines."""
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one JSON array from a partition's records, batch by batch; none without records."""
+    lead = "["
+    for b in batches:
+        lines = []
+        for record in b["r"].to_pylist():
+            lines.append(lead + record)
+            lead = ","
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    if lead == ",":
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", indent: int | None = None, single: bool = False) -> None:
+    """Documents that hold an array of records: each task writes one of its own, in the order of its rows and a batch at a time, and
+    :func:`read_json` reads the folder as one table. An empty table has no document. ``single`` puts all rows into one document, which one task then writes."""
     options = {"pretty": "true"} if indent else {}
-    one = df.select(F.to_json(F.struct("*"), options).alias("r")).agg(F.collect_list("r").alias("rs"))
-    one.select(F.concat(F.lit("["), F.array_join("rs", ", "), F.lit("]")).alias("value")).coalesce(1).write.mode(mode).text(path)
+    rows = df.select(F.to_json(F.struct("*"), options).alias("r"))
+    (rows.coalesce(1) if single else rows).mapInArrow(_documents, "value string").write.mode(mode).text(path)
 
 
 def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -111,7 +126,7 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def convert_jsonl(spark: SparkSession, source: str, target: str, drop_source: bool = True) -> None:
-    """JSON lines to one JSON document; the source goes after the target is committed."""
+    """JSON lines to JSON documents; the source goes after the target is committed."""
     write_json(read_jsonl(spark, source), target)
     if drop_source:
         remove(spark, source)
