@@ -14,7 +14,7 @@ from ..functions import symbolic as S
 from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import partition as part
-from ..operators import intervals, search, tree, voting
+from ..operators import intervals, kept_scores, search, tree, voting
 from ..sources import files
 from ..sources.shared import shared_folder
 from . import views as V
@@ -498,6 +498,21 @@ def metric_by_name(spark, d):
     return V.qa(spark, d).select("doc_id", acc.alias("acc"))
 
 
+@query(
+    "score_once",
+    f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN CAST(gold = 'C' AS INTEGER) ELSE {_ACC} END::DOUBLE AS score, doc_id % 7 = 0 AS fresh FROM qa",
+    "qa",
+)
+def score_once(spark, d):
+    """Two runs over all outputs; in the second every seventh has another answer, and only these are scored again."""
+    rows, path = V.qa(spark, d), shared_folder(spark, "scores")
+    rule = lambda t, g: M.choice_or_substring(g, T.extract_template(t))
+    kept_scores.score(rows, path, "choice", "1", rule)
+    said = F.concat("text", F.lit("\nOn second thoughts, "), F.col("doc_id").cast("string"), F.lit(". The answer is C."))
+    rows = rows.withColumn("text", F.when(F.col("doc_id") % 7 == 0, said).otherwise(F.col("text")))
+    return kept_scores.score(rows, path, "choice", "1", rule).select("doc_id", "score", "fresh")
+
+
 @query(
     "exact_metrics",
     f"""SELECT doc_id, CASE WHEN doc_id % 17 < 2 THEN CAST(regexp_extract(text, '[A-E]') = gold AS INTEGER) WHEN doc_id % 17 < 16 THEN {_ACC} END AS acc FROM qa""",
