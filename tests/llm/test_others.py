@@ -171,7 +171,7 @@ def test_registered_queries(spark):
     from tracemill.llm.queries import ORACLE_SQL, QUERIES
 
     data = "/root/testdata/sf0.001"
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     con = connect(data)
     for name, sql in ORACLE_SQL.items():
         assert not differences(QUERIES[name](spark, data), sql, con), name
