@@ -75,6 +75,59 @@ def test_near_vectors_at_the_threshold(spark, noise):
     assert [r["component_id"] is not None and r["n_links"] >= 1 for r in got if r["vec_id"] is None] == [True, True]
 
 
+def directed(n: int, mean: float, third: float | None = None) -> np.ndarray:
+    """Unit vectors with ``mean`` cosine on average, planted partners, and perhaps a third of pairs at ``third``."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    x += np.sqrt(mean / (1 - mean)) * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    many = n // 10
+    x[-many:] = x[:many] + 0.38 * aside[:many]
+    if third:
+        x[many : many + n // 3] = x[many] + np.sqrt(1 / third - 1) * aside[many : many + n // 3]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def index_work(x: np.ndarray) -> tuple[float, float]:
+    """Of all pairs of rows, the share that lists would multiply; of the links, the share these hold."""
+    reach = embeddings._angle(0.9)
+    c = embeddings.centres(x, 0.9, 0.75, 8, 0.02)
+    home, _, listed = c.place(x, reach)
+    out = np.flatnonzero(home < 0)
+    pivots = embeddings.spread(x[out], int(4 * np.sqrt(len(x))))
+    k = embeddings.enough_pivots(x[out], pivots, 0.9, 8, 2, 0.95)
+    has = np.zeros((len(x), len(pivots)))
+    has[out[:, None], embeddings._nearest(x[out], pivots, k)] = 1
+    by_pivot = has @ has.T >= 2
+    by_home = (home[:, None] >= 0) & np.hstack([listed, np.zeros((len(x), 1), bool)])[:, home].T
+    linked = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    return (by_pivot | by_home).mean(), (linked & (by_pivot | by_home | by_home.T)).sum() / linked.sum()
+
+
+@pytest.mark.parametrize("mean", [0.5, 0.7])
+def test_vectors_of_one_direction_are_not_compared_with_all(mean):
+    share, found = index_work(directed(6000, mean))
+    assert share < 0.05 and found >= 0.95
+
+
+@pytest.mark.parametrize(("mean", "third"), [(0.5, 0.92), (0.5, 0.85), (0.7, 0.82)])
+def test_index_of_a_third_in_one_area(mean, third):
+    """Links are found in areas whose pairs mostly link (by lists) and in those where few do (by more pivots)."""
+    share, found = index_work(directed(6000, mean, third))
+    assert found >= 0.95 and share < 0.35
+
+
+def test_near_vectors_of_one_direction(spark):
+    x = directed(4000, 0.7)
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    n = (x @ x.T >= 0.9).sum(axis=1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in got}
+    assert all(found[i] <= n[i] for i in range(4000)) and sum(found.values()) >= 0.95 * n.sum()
+
+
 @pytest.fixture(scope="module")
 def turns(spark):
     rows = [(1, 0, "system", "be <|im_start|> kind \\"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "user", ""), (1, 4, "assistant", "x" * 9000)]

@@ -2,20 +2,25 @@
 
 Dense areas. A bounded sample (about ``sample`` distinct vectors) is grouped around leaders: a vector
 within a cosine of ``dense`` of a leader belongs to it, any other becomes a leader. The mean directions of
-groups of ``near`` or more are centres. The home of a vector is its nearest centre, if within
-``dense``. With d the angle to the home (at most that of ``dense``) and t the angle of the threshold, a
-partner of x whose own home is not nearer is within d + t of the home of x, so each vector
-also visits the centres within min(d, angle of ``dense``) + t. Every list of a centre is verified in
+groups of ``near`` or more are centres, each with a reach: the largest angle between it and a vector of the sample
+within ``dense`` of it. The home of a vector is its nearest centre, if within its reach. With t the angle of the threshold, a
+partner whose own home is not nearer lies within t of the reach, and within d + t if d is its angle to its own home, so each vector
+also visits the centres within the smaller of these. Every list of a centre is verified in
 full, those at home against all, so no link of a vector with a home is missed.
+A centre is kept only if, in the sample, at least ``linked`` of the pairs that its list would verify are links. So the work on
+lists follows the links that there are: vectors that merely share a direction, as text embeddings often do, get no
+centres at all, however near one another they lie, and go to the index of pivots with the rest.
 
 The rest, vectors without a home. Pivots are vectors of the sample that have no home; there are fewer
 than ``near`` of them in a group that is not dense, so they do not crowd one another out. Each vector is
-described by its ``near`` nearest pivots in order, and stands in the inverted lists of those.
+described by its ``near`` or more nearest pivots in order, and stands in the inverted lists of those.
 Vectors of one list that share at least ``shared`` pivots are candidates: the list is split by the other pivots
 its vectors have, and only vectors that share one of those are multiplied and verified by their
 cosine in double precision. A pair met in several lists counts in the list of its smallest shared
 pivot alone. There are ``4 * sqrt(n)`` pivots (64 at least), so lists grow
-with the square root of the input. Links between two vectors of the rest can be missed.
+with the square root of the input. Links between two vectors of the rest can be missed; how many is measured on the sample before
+the index is made, and ``near`` is raised step by step until ``recall`` of the sample's own links are found (of partners made at the
+threshold, where the sample has fewer than 100).
 
 Lists over ``block`` vectors are dealt out as pairs of blocks. A task gives each vector's number of links
 and its root within the task, never the pairs themselves, so its output is as long as its input.
@@ -37,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop_scratch, scratch
 from .graph import components, join_groups, local_roots
 from .sampling import hashed_part
 
@@ -54,7 +59,7 @@ def spread(x: np.ndarray, n: int) -> np.ndarray:
     return x[np.unique(np.linspace(0, len(x) - 1, min(n, len(x))).astype(int))]
 
 
-def centres(x: np.ndarray, dense: float, least: int) -> np.ndarray:
+def _groups(x: np.ndarray, dense: float, least: int) -> np.ndarray:
     """Mean directions of the groups of ``least`` or more rows within ``dense`` of a leader."""
     leaders, sums, many = np.zeros_like(x), np.zeros_like(x), np.zeros(len(x), np.int64)
     n = 0
@@ -79,11 +84,97 @@ def centres(x: np.ndarray, dense: float, least: int) -> np.ndarray:
     return c / np.sqrt((c * c).sum(axis=1, keepdims=True))
 
 
-def _describe(centre: dict[int, np.ndarray], pivots: dict[int, np.ndarray], near: int, dense: float, threshold: float):
+class Centres:
+    """Directions of dense areas and how far each reaches."""
+
+    def __init__(self, directions: np.ndarray, angles: np.ndarray):
+        self.directions, self.angles = directions, angles
+
+    def place(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: its home (-1 for none), the cosine to it, and the centres it is listed at; ``reach`` is the angle of the threshold."""
+        if not len(self.directions):
+            return np.full(len(x), -1), np.full(len(x), -2.0), np.zeros((len(x), 0), bool)
+        close = x @ self.directions.T
+        angle = np.arccos(np.clip(close, -1, 1))
+        inside = np.where(angle <= self.angles + 1e-9, close, -2.0)
+        home = inside.argmax(axis=1)
+        best = inside.max(axis=1)
+        at = np.arange(len(x))
+        own = np.where(best > -2, angle[at, home], math.inf)
+        listed = angle <= np.minimum(own[:, None], self.angles[None, :]) + reach
+        listed[at[best > -2], home[best > -2]] = True
+        return np.where(best > -2, home, -1), best, listed
+
+
+def centres(x: np.ndarray, threshold: float, dense: float, least: int, linked: float) -> Centres:
+    """The centres of a sample whose lists are worth verifying: at least ``linked`` of the pairs are links."""
+    reach = _angle(threshold)
+    c = _groups(x, dense, least)
+    angles = np.zeros(len(c))
+    for lo in range(0, len(x), 1024):
+        close = np.clip(x[lo : lo + 1024] @ c.T, -1, 1)
+        np.maximum(angles, np.where(close >= dense, np.arccos(close), 0).max(axis=0, initial=0), out=angles)
+    while True:
+        found = Centres(c, angles)
+        parts = [found.place(x[lo : lo + 1024], reach) for lo in range(0, len(x), 1024)]
+        home = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
+        listed = [np.concatenate([lo * 1024 + np.flatnonzero(p[2][:, k]) for lo, p in enumerate(parts)]) for k in range(len(c))]
+        keep = np.zeros(len(c), bool)
+        for k, rows in enumerate(listed):
+            own = np.flatnonzero(home == k)
+            links = sum(int((x[own[lo : lo + 512]] @ x[rows].T >= threshold).sum()) for lo in range(0, len(own), 512)) - len(own)
+            keep[k] = len(own) >= least and links >= linked * len(own) * (len(rows) - 1)
+        if keep.all():
+            return found
+        # Those at home at a centre that goes may have another.
+        c, angles = c[keep], angles[keep]
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    """The ``near`` nearest pivots of each row, nearest first."""
+    k = min(near, len(pivots))
+    out = np.zeros((len(x), k), np.int32)
+    for lo in range(0, len(x), 1024):
+        close = x[lo : lo + 1024] @ pivots.T
+        top = np.argpartition(-close, k - 1, axis=1)[:, :k]
+        order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
+        out[lo : lo + 1024] = np.take_along_axis(top, order, 1)
+    return out
+
+
+def enough_pivots(x: np.ndarray, pivots: np.ndarray, threshold: float, near: int, shared: int, recall: float) -> int:
+    """How many nearest pivots must describe a vector, ``near`` at least, for the index to find ``recall`` of the links between rows of ``x``."""
+    left, right, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for lo in range(0, len(x), 1024):
+        i, j = np.nonzero((x[lo : lo + 1024] @ x.T >= threshold) & (np.arange(len(x)) > np.arange(lo, min(lo + 1024, len(x)))[:, None]))
+        step = max(1, len(i) // 16_384)
+        left.append(lo + i[::step])
+        right.append(j[::step])
+        kept += len(left[-1])
+    a, b = x[np.concatenate(left)], x[np.concatenate(right)]
+    if kept < 100:
+        some = x[:1024]
+        aside = np.random.default_rng(0).normal(size=some.shape)
+        aside -= (aside * some).sum(axis=1, keepdims=True) * some
+        aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-300)
+        cosine = threshold + (1 - threshold) / 8
+        a, b = some, cosine * some + math.sqrt(1 - cosine * cosine) * aside
+    for k in (near, near + near // 2, 2 * near, 3 * near, 4 * near):
+        both = _nearest(a, pivots, k)[:, :, None] == _nearest(b, pivots, k)[:, None, :]
+        if (both.sum(axis=(1, 2)) >= min(shared, len(pivots))).mean() >= recall:
+            break
+    return k
+
+
+def _angle(cosine: float) -> float:
+    """Of a cosine, with room for rounding."""
+    return math.acos(max(-1.0, min(1.0, cosine))) + 1e-6
+
+
+def _describe(centre: dict[int, Centres], pivots: dict[int, np.ndarray], near: dict[int, int], threshold: float):
     """Adds to each vector ``home`` (-1 - its centre, 0 for none), ``close`` (the cosine to it), ``pivots``
     (of those without a home) and ``lists``: its pivots and, as -1 - number, the centres it visits."""
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    edge = math.acos(dense)
+    reach = _angle(threshold)
 
     def run(batches):
         for b in batches:
@@ -97,27 +188,17 @@ def _describe(centre: dict[int, np.ndarray], pivots: dict[int, np.ndarray], near
                 for lo in range(0, len(at), 1024):
                     part = at[lo : lo + 1024]
                     x = unit(b["vector"].iloc[part])
-                    if c is not None and len(c):
-                        close = x @ c.T
-                        top = close.argmax(axis=1)
-                        best = close[np.arange(len(part)), top]
-                        home = best >= dense
-                        homes[part[home]], closes[part[home]] = -1 - top[home], best[home]
-                        far = np.minimum(np.arccos(np.clip(best, -1, 1)), edge) + reach
-                        visit = close >= np.cos(np.minimum(far, math.pi))[:, None]
-                        visit[np.arange(len(part))[home], top[home]] = True
-                        for i, row in zip(part, visit, strict=True):
+                    if c is not None:
+                        home, best, listed = c.place(x, reach)
+                        homes[part], closes[part] = np.where(home >= 0, -1 - home, 0), best
+                        for i, row in zip(part, listed, strict=True):
                             visits[i] = (-1 - np.flatnonzero(row)).astype(np.int32)
-                        part, x = part[~home], x[~home]
+                        part, x = part[home < 0], x[home < 0]
                     if p is None or not len(part):
                         for i in part:
                             perms[i] = np.zeros(1, np.int32)
                         continue
-                    k = min(near, len(p))
-                    close = x @ p.T
-                    top = np.argpartition(-close, k - 1, axis=1)[:, :k]
-                    order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
-                    for i, row in zip(part, np.take_along_axis(top, order, 1).astype(np.int32), strict=True):
+                    for i, row in zip(part, _nearest(x, p, near[int(size)]), strict=True):
                         perms[i] = row
             lists = [np.concatenate(x) for x in zip(perms, visits, strict=True)]
             yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "vector": b["vector"], "size": sizes, "home": homes, "close": closes, "pivots": perms, "lists": lists})
@@ -199,6 +280,8 @@ def near_vectors(
     sample: int = 16_384,
     block: int = 2048,
     dense: float = 0.75,
+    linked: float = 0.02,
+    recall: float = 0.95,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -223,12 +306,13 @@ def near_vectors(
     for x in some:
         by_size.setdefault(len(x), []).append(x)
     samples = {n: unit(xs) for n, xs in by_size.items()}
-    centre = {n: centres(x[:: max(1, len(x) // sample)], dense, near) for n, x in samples.items()}
-    rest = {n: x[(x @ centre[n].T).max(axis=1, initial=-2.0) < dense] for n, x in samples.items()}
+    centre = {n: centres(x[:: max(1, len(x) // sample)], threshold, dense, near, linked) for n, x in samples.items()}
+    rest = {n: x[centre[n].place(x, _angle(threshold))[0] < 0] for n, x in samples.items()}
     pivots = {n: spread(x, n_pivots) for n, x in rest.items() if len(x)}
+    depth = {n: enough_pivots(rest[n][:sample], p, threshold, near, shared, recall) for n, p in pivots.items()}
 
     described = classes.select("rep", "members", "vector").mapInPandas(
-        _describe(centre, pivots, near, dense, threshold),
+        _describe(centre, pivots, depth, threshold),
         "rep long, members long, vector array<double>, size int, home int, close double, pivots array<int>, lists array<int>",
     )
     described = scratch(described, "described")
@@ -263,6 +347,7 @@ def near_vectors(
         )
     )
     found = scratch(found, "found")
+    drop_scratch(classes, described, links)
     out = join_groups(rows.filter("vector is not null").drop("vector"), found, ["k1", "k2"], "members", rows.count())
     out = out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     alone = rows.filter("vector is null").select(
