@@ -159,7 +159,7 @@ def enough_pivots(x: np.ndarray, pivots: np.ndarray, threshold: float, near: int
         aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-300)
         cosine = threshold + (1 - threshold) / 8
         a, b = some, cosine * some + math.sqrt(1 - cosine * cosine) * aside
-    for k in (near, near + near // 2, 2 * near, 3 * near, 4 * near):
+    for k in range(near, 4 * near + 1, max(1, near // 4)):
         both = _nearest(a, pivots, k)[:, :, None] == _nearest(b, pivots, k)[:, None, :]
         if (both.sum(axis=(1, 2)) >= min(shared, len(pivots))).mean() >= recall:
             break
