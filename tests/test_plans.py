@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 #: Functions that built-in expressions can't give, and the search and sampling loops.
 PYTHON = {
-    "boxed", "medcalc_extract", "medcalc_correct", "number_of", "lcs_recall", "clean_answer", "svamp", "math_correct", "calculation", "rouge", "rouge_summary", "tree_search", "tree_search_hash", "tree_search_valued", "metric_by_name", "sample_outputs", "token_f1", "symbolic_equal", "value_votes", "text_labels",
+    "boxed", "medcalc_extract", "medcalc_correct", "number_of", "lcs_recall", "clean_answer", "svamp", "math_correct", "calculation", "rouge", "rouge_summary", "tree_search", "tree_search_hash", "tree_search_valued", "metric_by_name", "sample_outputs", "token_f1", "symbolic_equal", "value_votes", "text_labels", "json_array",
 }
 #: Joins with a table of one row, and ranges of a column.
 ONE_ROW = {"method_accuracy", "resume_watermark"}

@@ -16,6 +16,7 @@ from ..operators import datasets as D
 from ..operators import partition as part
 from ..operators import intervals, kept_scores, search, tree, voting
 from ..sources import files
+from ..sources.json_arrays import read_json_array
 from ..sources.shared import shared_folder
 from . import views as V
 
@@ -1244,6 +1245,15 @@ def json_roundtrip(spark, d):
     return files.read_any(spark, path, f"n_nationkey {kind}, n_name string")
 
 
+@query("json_array", "SELECT doc_id, lang, text FROM documents")
+def json_array(spark, d):
+    """Documents as JSON arrays, one per task that wrote them, read back by byte ranges."""
+    path = _folder(spark) + "/documents.json"
+    docs = V.table(spark, d, "documents").select("doc_id", "lang", "text")
+    files.write_json(docs, path)
+    return read_json_array(spark, path, docs.schema)
+
+
 @query("combine_files", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 <> 2")
 def combine_files(spark, d):
     folder, nation = _folder(spark), V.table(spark, d, "nation").select("n_nationkey", "n_name")
