@@ -18,6 +18,7 @@ from ..operators import intervals, kept_scores, search, tree, voting
 from ..sources import files
 from ..sources.json_arrays import read_json_array
 from ..sources.shared import shared_folder
+from ..streaming.votes import last_votes, vote_arriving
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1245,6 +1246,17 @@ def json_roundtrip(spark, d):
     return files.read_any(spark, path, f"n_nationkey {kind}, n_name string")
 
 
+@query("running_votes", vote_sql("vote-sum"), "cand")
+def running_votes(spark, d):
+    """Candidates that arrive in two parts, the odd ones first, the stream stopped in between."""
+    folder, session = _folder(spark), spark.newSession()
+    cand = V.cand(spark, d)
+    for k in (1, 0):
+        cand.filter(F.col("cand_idx") % 2 == k).write.mode("append").parquet(f"{folder}/arrived")
+        vote_arriving(session.readStream.schema(cand.schema).parquet(f"{folder}/arrived"), f"{folder}/votes")
+    return last_votes(spark.read.parquet(f"{folder}/votes/updates")).select("id", "answer", rounded("weight"))
+
+
 @query("json_array", "SELECT doc_id, lang, text FROM documents")
 def json_array(spark, d):
     """Documents as JSON arrays, one per task that wrote them, read back by byte ranges."""

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.voting import parse_method, scored
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ANSWER = "answer string"
 TALLY = "n long, scored long, total decimal(38,12), best double, best_at long, first_at long"
 
@@ -106,3 +107,18 @@ def last_votes(updates: DataFrame) -> DataFrame:
     """(id, answer, weight): of all rows that :func:`running_votes` gave, the last of each question."""
     best = F.max_by(F.struct("answer", "weight"), "seen").alias("w")
     return updates.groupBy("id").agg(best).select("id", "w.answer", "w.weight")
+
+
+def vote_arriving(cand: DataFrame, target: str, method: str = "vote-sum") -> None:
+    """Take what has arrived of the stream ``cand`` since the last call and add the new winners to the table ``target``/updates.
+
+    ``cand`` is of a session of its own, whose state store is set to RocksDB; other sessions keep their settings. A batch that is run again
+    after a failure overwrites what it had written."""
+    session = cand.sparkSession
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/updates/batch={number}")
+
+    stream = running_votes(cand, method).writeStream.outputMode("update").foreachBatch(batch)
+    stream.option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
