@@ -923,7 +923,9 @@ def _problems(spark: SparkSession, d: str, kind) -> DataFrame:
 def tree_search_valued(spark, d):
     """A value model scores the steps; finished ones are checked against the answer."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("sure", "lost", "long", "slow")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    found = search.tree_search(_problems(spark, d, kind), search.ScriptModel(), dataclasses.replace(search.PIPELINE, value_model=True))
+    found = search.tree_search(
+        _problems(spark, d, kind), search.ScriptModel(), dataclasses.replace(search.PIPELINE, value_model=True), columns=("id", "depth", "type", "correct")
+    )
     finish = F.col("type") == "Finish"
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count_if(finish).alias("n_finish"), F.count_if(finish & F.col("correct")).alias("n_pos"))
 
