@@ -897,7 +897,7 @@ def tree_from_chains(spark, d):
 )
 def tree_search(spark, d):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("sure", "lost", "long", "slow")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    found = search.tree_search(_problems(spark, d, kind), search.ScriptModel())
+    found = search.tree_search(_problems(spark, d, kind), search.ScriptModel(), columns=("id", "pid", "depth", "type", "v", "correct"))
     finish = F.col("type") == "Finish"
     # Six visits halve what a root of sure steps lacks.
     root = F.max(F.when(F.col("pid").isNull() & (F.col("id").cast("long") % 4 < 2), F.col("v"))).alias("root")
