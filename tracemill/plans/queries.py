@@ -932,7 +932,7 @@ def tree_search_valued(spark, d):
 
 @query("tree_search_hash")
 def tree_search_hash(spark, d):
-    found = search.tree_search(_problems(spark, d, F.lit("drawn")), search.HashModel())
+    found = search.tree_search(_problems(spark, d, F.lit("drawn")), search.HashModel(), columns=("id", "depth", "type", "correct"))
     finish = F.col("type") == "Finish"
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count_if(finish & F.col("correct")).alias("n_pos"), F.count_if(finish & ~F.col("correct")).alias("n_neg"))
 
