@@ -62,6 +62,23 @@ def test_pairs(a, b, wanted):
         assert (S.key(a) == S.key(b)) is wanted
 
 
+def test_answers_that_repeat_are_read_once(monkeypatch):
+    made = []
+
+    class Counting(S.Reader):
+        def __init__(self, text):
+            made.append(text)
+            super().__init__(text)
+
+    monkeypatch.setattr(S, "Reader", Counting)
+    for _ in range(50):
+        assert S.same(r"\frac{41x}{7}+\frac{x}{7}", "6x") is True
+        assert S.same("6x", "7x+0") is False
+        assert S.key("6x") != S.key("7x+0") and S.value("41+0") == 41
+        assert S.same("6x" + " " * S.MAX_LETTERS, "6x") is None
+    assert len([m for m in made if len(m) <= S.MAX_LETTERS]) == 4
+
+
 @st.composite
 def expressions(draw, depth=3):
     """(text, value at x): an expression and its exact value at a point, null where it divides by zero."""
