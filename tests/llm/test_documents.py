@@ -482,3 +482,25 @@ def test_quality(spark, docs, empty):
     assert quality.score(docs, ranker).filter(F.col("score").isNull()).count() == 0
     assert quality.score(empty, ranker).count() == 0
     assert {r["score"] for r in quality.score(df, quality.fit(df, labels_of(spark, []))).collect()} == {0.5}
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    """Each row is first in one block, each block compares both classes, and the mark is the exact quantile of all rows."""
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    monkeypatch.setattr(quality, "OTHERS", 10)
+    rng = np.random.default_rng(1)
+    rows = [(i, int(i % 9 == 0), [float(v) for v in rng.random(19)]) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, x array<double>")
+    made = quality.blocks(df, {0: 1600, 1: 200}).collect()
+    good, own = ([np.frombuffer(r[c], bool) for r in made] for c in ("good", "own"))
+    assert sum(int(o.sum()) for o in own) == 1800 and all(g.any() and not g.all() for g in good)
+    placed = sorted(tuple(v) for r, o in zip(made, own) for v in np.frombuffer(r["x"]).reshape(len(o), -1)[o].tolist())
+    assert placed == sorted(tuple(x) for _, _, x in rows)
+    values = [*rng.normal(size=300).tolist(), 0.0, -0.0, 0.0, 5.0, 5.0, 5.0, -7.5, 1e300, -1e300]
+    s = spark.createDataFrame([(v,) for v in values], "s double")
+    for k in (0, 1, 150, 153, 305, len(values) - 1):
+        assert quality.ranked(s, k) == sorted(values)[k]
+    stats = df.select("doc_id", F.transform("x", lambda x: x + F.col("label") * 0.3).alias("x"))
+    ranker = quality.fit_measured(stats, df.select("doc_id", F.col("label").alias("quality")))
+    over = quality.score_measured(stats, ranker).filter("score > 0.5").count()
+    assert over == 200

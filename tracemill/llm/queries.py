@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embeddings, exact_dedup, filter_audit, licenses, minhash, packing, quality, spelling, suffix, token_counts, toxicity
-from .common import table
+from .common import scratch, table
 from .vocabulary import path
 
 
@@ -42,8 +42,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    ranker = quality.fit(docs, labels.filter(~held_out))
-    return quality.score(docs, ranker).select(
+    stats = scratch(quality.measured(docs), "quality")
+    ranker = quality.fit_measured(stats, labels.filter(~held_out))
+    return quality.score_measured(stats, ranker).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
